@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash, toxicity
+from . import decontaminate, html, language, licenses, mixing, quality, simhash, tokens, topk, toxicity
 from .common import table
 
 
+#: A public vocabulary, by its place on this machine; read by the driver only.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _remainder(by: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(by))
 
@@ -19,6 +23,33 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str, model_file: str = TOKENIZER) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.read_pieces(model_file))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: of ten neighbours one directory, of ten directories one above, and so on; the first file of a directory is its LICENSE."""
+    up = lambda by: F.floor(F.col("doc_id") / by).cast("string")
+    top, middle, low = F.concat_ws("/", F.coalesce("source", F.lit("none")), up(1000)), F.concat_ws("/", F.lit(""), up(100)), F.concat_ws("/", F.lit(""), up(10))
+    first = lambda by: F.pmod(F.col("doc_id"), F.lit(by)) == 0
+    path = F.when(first(1000), F.concat(top, F.lit("/LICENSE"))).when(first(100), F.concat(top, middle, F.lit("/LICENSE"))).when(first(10), F.concat(top, middle, low, F.lit("/LICENSE"))).otherwise(F.concat(top, middle, low, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), path.alias("path"), "text")
+    return licenses.scan(files).withColumnRenamed("key", "doc_id")
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("id % 50 = 0"), 5).withColumnRenamed("id", "vec_id")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +75,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_language": op2_language,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_token_counts": op4_token_counts,
+    "op5_license_scan": op5_license_scan,
+    "op6_top_k": op6_top_k,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
@@ -73,6 +109,15 @@ placed AS (SELECT *, sum(size) OVER (ORDER BY finish, rank, k, upto ROWS UNBOUND
 got AS (SELECT rank, upto, sum(greatest(0, least(size, (SELECT sum(size) FROM sized) - (place - size)))) AS taken FROM placed GROUP BY rank, upto)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END AS BIGINT) AS taken
 FROM queued LEFT JOIN got USING (rank, upto)""",
+    "op6_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id AND len(q.e) = len(d.e)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op7_decontaminate": f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 b AS (SELECT item_id, row_number() OVER () AS n, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
