@@ -77,7 +77,7 @@ def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
     rest = F.sum(F.col("w") * F.col("w")).over(square.orderBy("w", "term")) / (F.col("norm") * F.col("norm"))
     weights = staged(weights.withColumn("anchor", F.sqrt(rest) >= threshold - 1e-9), "weights")
     anchors = F.array(*[F.lit(r["term"]) for r in weights.where("anchor").select("term").distinct().orderBy("term").collect()])
-    tells = units.where(F.arrays_overlap("words", anchors) if len(TEMPLATES) else F.lit(False)).withColumn("id", F.xxhash64("key", "unit"))
+    tells = staged(units.where(F.arrays_overlap("words", anchors)), "units")  # few, and read three times below
 
     each = tells.select("key", "unit", F.explode("words").alias("term")).groupBy("key", "unit", "term").agg(F.count("*").alias("tf"))
     ranked = each.join(F.broadcast(idf.select("term", "idf")), "term", "left").join(F.broadcast(idf.select("most").distinct()))
