@@ -7,7 +7,7 @@ the languages that the texts alone make likely. A host's prior is smoothed towar
 domain's towards that of all pages, so a host with few pages borrows from its surroundings.
 
 The n-gram model is naive Bayes over hashed 1- to 3-grams of lower-cased characters, fitted on at most
-``max_fit_rows`` labelled texts of each language (those with the smallest hash of the id). Its evidence grows
+``max_fit_rows`` labelled texts of each language, those with the smallest hash of the id. Its evidence grows
 with the text up to about ``most`` n-grams, since n-grams of a text aren't independent.
 
 Null or empty pages, and pages without a declaration or an address, have what evidence is left. Without any
@@ -46,9 +46,10 @@ def fit_ngrams(docs: DataFrame, max_fit_rows: int = 1000, most_languages: int =
     """Languages in order, and for each a row of ln P(n-gram | language); of fixed size for a bounded number of languages."""
     here = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null")
     ids = here.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("order"))
-    # The smallest hashes of a language are found range by range, so that no task gets a language as a whole.
-    some = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang", F.pmod("order", F.lit(64))).orderBy("order", "doc_id"))).where(F.col("n") <= max_fit_rows)
-    least = some.withColumn("m", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).where(F.col("m") <= max_fit_rows).select("lang", "doc_id").distinct()
+    # About as many rows as are wanted are taken by a threshold on the hash, so no task gets a language as a whole.
+    share = ids.groupBy("lang").agg((F.lit(1.2 * max_fit_rows) / F.count("*")).alias("share"))
+    few = ids.join(F.broadcast(share.limit(most_languages + 1)), "lang").where(F.pmod("order", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    least = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 30)), "doc_id"))).where(F.col("n") <= max_fit_rows).select("lang", "doc_id").distinct()
     sample = here.join(F.broadcast(least), ["lang", "doc_id"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
