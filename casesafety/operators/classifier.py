@@ -38,7 +38,7 @@ class SafetyClassifier:
         return Normalizer(inputCol="weighted", outputCol="features", p=2.0).transform(self.idf.transform(counted)).drop("terms", "counts", "weighted")
 
 
-def fit_safety_classifier(df: DataFrame, text: str = "text", label: str = "label", id_col: str = "response_id", min_df: int = 2, max_features: int = 30000, max_iter: int = 3000) -> SafetyClassifier:
+def fit_safety_classifier(df: DataFrame, text: str = "text", label: str = "label", id_col: str = "response_id", min_df: int = 2, max_features: int = 30000, max_iter: int = 3000, tol: float = 1e-5) -> SafetyClassifier:
     """Fits on the labelled rows. Only the vocabulary, of at most ``max_features`` terms, passes through the driver."""
     fit_guard(df, label)
     rows = df.where(F.col(label).isNotNull())
@@ -50,7 +50,7 @@ def fit_safety_classifier(df: DataFrame, text: str = "text", label: str = "label
     unfitted = SafetyClassifier(words, idf, None)
     weighted = unfitted.features(rows, text).join(F.broadcast(class_weights(rows, label).withColumnRenamed("label", "class")), F.col(label) == F.col("class")).select(F.col(label).cast("double").alias("label"), "features", "weight").persist()
     n = weighted.count()
-    lr = LogisticRegression(maxIter=max_iter, weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0, standardization=False)
+    lr = LogisticRegression(maxIter=max_iter, tol=tol, weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0, standardization=False)
     model = lr.fit(weighted)
     weighted.unpersist()
     return SafetyClassifier(words, idf, model)
