@@ -29,6 +29,8 @@ from .common import staged
 from .features import code_points, sequence_ngrams
 
 BITS = 16
+#: Combinations of host, suffix and declaration that are broadcast at most (a short array each); more are joined by shuffle.
+BROADCAST_COMBINATIONS = 50_000
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
 
 
@@ -134,7 +136,8 @@ def identify(pages: DataFrame, docs: DataFrame, *, max_fit_rows: int = 1000, mos
     total = F.col("e_host") + F.col("e_suffix") + F.col("e_declared")
     place = F.array_position(names, F.col("lang"))
     around = combos.groupBy("host", "suffix", "declared").agg(F.array_sort(F.collect_list(F.struct(place.alias("k"), total.alias("e")))).alias("around"))
-    fused = judged.join(around, ["host", "suffix", "declared"])
+    around = staged(around, "around")
+    fused = judged.join(F.broadcast(around) if around.count() <= BROADCAST_COMBINATIONS else around, ["host", "suffix", "declared"])
     fused = fused.withColumn("sum", F.zip_with("evidence", "around", lambda e, a: e + a["e"]))
     top = F.array_max("sum")
     pick = lambda c, m: F.element_at(names, F.array_position(c, m).cast("int"))
