@@ -69,8 +69,8 @@ def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
     units = _units(files)
     seen = units.where("unit > 0").select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("words", known))).alias("term"))
     counts = staged(seen.groupBy("term").agg(F.count("*").alias("units")), "counts")  # '' counts the units
-    total = F.broadcast(counts.where("term = ''").select(F.col("units").alias("total")))
-    idf = vocabulary.select("term").distinct().join(counts, "term", "left").join(total).select("term", (F.log((F.col("total") + 1) / (F.coalesce("units", F.lit(0)) + 1)) + 1).alias("idf"), (F.log(F.col("total") + 1) + 1).alias("most"))
+    total = F.lit((counts.where("term = ''").agg(F.sum("units")).first()[0] or 0) + 1)
+    idf = vocabulary.select("term").distinct().join(counts, "term", "left").select("term", (F.log(total / (F.coalesce("units", F.lit(0)) + 1)) + 1).alias("idf"))
     weights = vocabulary.join(F.broadcast(idf), "term").withColumn("w", F.col("n") * F.col("idf"))
     square = Window.partitionBy("template")
     weights = weights.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(square)))
@@ -80,8 +80,7 @@ def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
     tells = staged(units.where(F.arrays_overlap("words", anchors)), "units")  # few, and read three times below
 
     each = tells.select("key", "unit", F.explode("words").alias("term")).groupBy("key", "unit", "term").agg(F.count("*").alias("tf"))
-    ranked = each.join(F.broadcast(idf.select("term", "idf")), "term", "left").join(F.broadcast(idf.select("most").distinct()))
-    valued = ranked.withColumn("v", F.col("tf") * F.coalesce("idf", "most"))
+    valued = each.join(F.broadcast(idf), "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.log(total) + 1))
     norms = valued.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("unit_norm"))
     dots = valued.join(F.broadcast(weights.select("template", "license", "term", "w", "norm")), "term").groupBy("key", "unit", "template", "license", "norm").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     cosines = dots.join(norms, ["key", "unit"]).select("key", "license", F.round(F.col("dot") / (F.col("norm") * F.col("unit_norm")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
