@@ -95,12 +95,10 @@ def declared(html):
 
 
 def _given(counts: DataFrame, key: str, name: str, smooth: float) -> DataFrame:
-    """(key, lang, name): ln P(key | lang), smoothed over the keys there are and one more."""
+    """(key, lang, name): ln P(key | lang), smoothed over the keys there are and one more. ``counts`` has every language for every key."""
     by = counts.groupBy(key, "lang").agg(F.sum("n").alias("n"))
-    keys, langs = by.select(key).distinct(), by.groupBy("lang").agg(F.sum("n").alias("all"))
-    size = keys.count() + 1
-    filled = keys.join(F.broadcast(langs)).join(by, [key, "lang"], "left")  # every key with every language: a few each
-    return filled.select(key, "lang", F.log((F.coalesce("n", F.lit(0.0)) + smooth) / (F.col("all") + smooth * size)).alias(name))
+    langs, size = by.groupBy("lang").agg(F.sum("n").alias("all")), by.select(key).distinct().count() + 1
+    return by.join(F.broadcast(langs), "lang").select(key, "lang", F.log((F.col("n") + smooth) / (F.col("all") + smooth * size)).alias(name))
 
 
 def identify(pages: DataFrame, docs: DataFrame, *, max_fit_rows: int = 1000, most: float = 200.0, smooth: float = 1.0, borrow: float = 20.0) -> DataFrame:
