@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 #: Clusters that are broadcast to the draws at most; beyond that the draws are joined by shuffle.
 BROADCAST_CLUSTERS = 1_000_000
+#: Slots of a replicate that are laid out at a time.
+SLOTS = 4096
+#: Multipliers of a 32-bit mixing function and of the slots; below 2^31 and 2^32, so that no product leaves 64 bits. Fixed values.
+MIX, SPREAD, MASK = (569420461, 1935289751), 2654435769, 4294967295
 
 
 def drop_incomplete(pairs: DataFrame, cluster: str = "anchor_id") -> DataFrame:
@@ -43,17 +47,25 @@ def mean_difference(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return stats.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("mean_difference"))
 
 
+def _mixed(x):
+    """A 32-bit number spread over all 32-bit numbers, one to one: two rounds of shift and multiply, in generated code."""
+    for shift, by in zip((16, 15), MIX, strict=True):
+        x = (x.bitwiseXOR(F.shiftright(x, shift)) * by).bitwiseAND(F.lit(MASK))
+    return x.bitwiseXOR(F.shiftright(x, 15))
+
+
 def resample(stats: DataFrame, n_boot: int = 5000, seed: int = 2026, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, b, diff): every replicate's mean difference. Groups of ``by`` with fewer than two clusters are left out."""
     order = Window.partitionBy(*by).orderBy("cluster") if by else Window.partitionBy(F.lit(0)).orderBy("cluster")
     numbered = stats.withColumn("k", F.row_number().over(order) - 1)
     sizes = numbered.groupBy(*by).agg(F.count("*").alias("clusters")).where("clusters > 1")
-    # A row for each replicate and slot; the replicates of a group are spread before its slots are laid out.
+    # A row for each replicate and slot; the replicates of a group are spread before its slots are laid out, a block at a time.
     replicates = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(*by, "b")
-    slots = replicates.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("clusters").cast("int") - 1)))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string")))
-    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    drawn = slots.withColumn("k", F.floor(u * F.col("clusters")).cast("int")).select(*by, "b", "k")
+    seeded = replicates.withColumn("h", _mixed(F.col("b").cast("long") + seed))
+    blocks = seeded.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("clusters") - 1, F.lit(SLOTS).cast("long"))))
+    slots = blocks.withColumn("j", F.explode(F.sequence("from", F.least(F.col("from") + SLOTS, "clusters") - 1)))
+    draw = _mixed(F.col("h").bitwiseXOR((F.col("j") * SPREAD).bitwiseAND(F.lit(MASK))))
+    drawn = slots.select(*by, "b", F.shiftright(draw * F.col("clusters"), 32).cast("int").alias("k"))
     side = numbered.select(*by, "k", "s", "n")
     side = F.broadcast(side) if side.count() <= BROADCAST_CLUSTERS else side
     return drawn.join(side, [*by, "k"]).groupBy(*by, "b").agg((F.sum("s") / F.sum("n")).alias("diff"))

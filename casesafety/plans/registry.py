@@ -346,12 +346,18 @@ def duplicate_predictions(spark, d):
 _STATS = f"SELECT anchor_id AS cluster, sum(score_a - score_b) AS s, count(*) AS n FROM ({_PAIRS}) WHERE score_a IS NOT NULL AND score_b IS NOT NULL AND anchor_id IS NOT NULL GROUP BY anchor_id"
 
 
+def _mixed(x: str) -> str:
+    for shift, by in zip((16, 15), bootstrap.MIX, strict=True):
+        x = f"((xor({x}, {x} >> {shift}) * {by}) & {bootstrap.MASK})"
+    return f"xor({x}, {x} >> 15)"
+
+
 def _draws(stats: str, by: str = "") -> str:
     key, part = (f"{by}, ", f"PARTITION BY {by}") if by else ("", "")
     same = f"AND d.{by} = c.{by}" if by else ""
     return f"""WITH c AS (SELECT *, row_number() OVER ({part} ORDER BY cluster) - 1 AS k, count(*) OVER ({part}) AS size FROM ({stats})),
-    d AS (SELECT {key}b, CAST(floor(CAST('0x' || substr(md5('2026|' || b || '|' || j), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * size) AS BIGINT) AS k
-          FROM (SELECT {key}size, b, unnest(range(size)) AS j FROM (SELECT DISTINCT {key}size FROM c WHERE size > 1), (SELECT unnest(range({N_BOOT})) AS b)))
+    h AS (SELECT {key}size, b, {_mixed("(2026 + b)")} AS h FROM (SELECT DISTINCT {key}size FROM c WHERE size > 1), (SELECT unnest(range({N_BOOT})) AS b)),
+    d AS (SELECT {key}b, ({_mixed(f"xor(h, (j * {bootstrap.SPREAD}) & {bootstrap.MASK})")} * size) >> 32 AS k FROM (SELECT *, unnest(range(size)) AS j FROM h))
     SELECT {f"d.{by}, " if by else ""}b, sum(s) / sum(n) AS diff FROM d JOIN c ON d.k = c.k {same} GROUP BY ALL"""
 
 
