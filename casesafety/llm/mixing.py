@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import n_words, staged
 
-#: Rows of a source that a range holds about; the hash has so many bits; ranges of finish times under one sum.
+#: Rows of a source that a range holds about; the hash has so many bits; ranges under one sum.
 RANGE_ROWS, HASH_BITS, UNDER = 512, 52, 1024
 
 
@@ -42,6 +42,16 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     return leveled.select("source", "rank", "source_size", F.least(F.col("most").cast("double"), reached * F.col("weight")).alias("target"))
 
 
+def _before(rows: DataFrame, by: list[str], place: str) -> DataFrame:
+    """(by, place, base): the words of ``rows`` in earlier places. ``UNDER`` places are summed up first, so that no window holds them all."""
+    each = rows.groupBy(*by, F.floor(F.col(place) / UNDER).alias("shelf"), place).agg(F.sum("size").alias("words"))
+    shelves = each.groupBy(*by, "shelf").agg(F.sum("words").alias("shelf_words"))
+    over = Window.partitionBy(*(by or [F.lit(0)])).orderBy("shelf")
+    earlier = shelves.select(*by, "shelf", (F.sum("shelf_words").over(over) - F.col("shelf_words")).alias("shelf_base"))
+    within = F.sum("words").over(Window.partitionBy(*by, "shelf").orderBy(place)) - F.col("words")
+    return each.join(earlier, [*by, "shelf"]).select(*by, place, (F.col("shelf_base") + within).alias("base"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats: int = 3, seed: int = 1) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for each row of ``docs`` (doc_id, source, text); taken counts repeats."""
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
@@ -54,24 +64,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats:
 
     # The source's words up to and with each document, in shuffled order.
     words = named.where("size > 0").withColumn("range", F.shiftright("order", HASH_BITS - bits))
-    sums = words.groupBy("rank", "range").agg(F.sum("size").alias("words"))
-    earlier = F.sum("words").over(Window.partitionBy("rank").orderBy("range")) - F.col("words")
-    base = sums.select(F.col("rank").alias("r"), F.col("range").alias("g"), earlier.alias("base"))
     own = Window.partitionBy("rank", "range").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = words.join(base, (F.col("rank") == F.col("r")) & (F.col("range") == F.col("g"))).withColumn("upto", F.col("base") + F.sum("size").over(own))
+    queued = words.join(_before(words, ["rank"], "range"), ["rank", "range"]).withColumn("upto", F.col("base") + F.sum("size").over(own)).drop("base")
 
     # Each pass that starts before the budget's virtual time (1) is one more document in the queue.
     started = F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: (k * F.col("source_size") + F.col("upto") - F.col("size")) < F.col("target"))
     passes = queued.withColumn("pass", F.explode(started))
     finish = (F.col("pass") * F.col("source_size") + F.col("upto")) / F.col("target")
     n = max(1, 1 << bits)
-    timed = passes.withColumn("finish", finish).withColumn("slot", F.floor(F.least("finish", F.lit(1.0)) * n)).withColumn("shelf", F.floor(F.col("slot") / UNDER))
-    slots = timed.groupBy("shelf", "slot").agg(F.sum("size").alias("words"))
-    shelves = slots.groupBy("shelf").agg(F.sum("words").alias("words"))
-    before_shelf = shelves.select("shelf", (F.sum("words").over(Window.partitionBy(F.lit(0)).orderBy("shelf")) - F.col("words")).alias("shelf_base"))
-    before_slot = slots.join(before_shelf, "shelf").select("slot", (F.col("shelf_base") + F.sum("words").over(Window.partitionBy("shelf").orderBy("slot")) - F.col("words")).alias("slot_base"))
+    timed = passes.withColumn("finish", finish).withColumn("slot", F.floor(F.least("finish", F.lit(1.0)) * n))
     queue = Window.partitionBy("slot").orderBy("finish", "rank", "pass", "upto").rowsBetween(Window.unboundedPreceding, 0)
-    placed = timed.join(before_slot, "slot").withColumn("place", F.col("slot_base") + F.sum("size").over(queue))
+    placed = timed.join(_before(timed, [], "slot"), "slot").withColumn("place", F.col("base") + F.sum("size").over(queue))
     budget = sizes.agg(F.sum("size")).first()[0] or 0
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(budget) - (F.col("place") - F.col("size"))))
     columns = ["doc_id", "source", "size", "source_size", "target"]
