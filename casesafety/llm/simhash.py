@@ -27,6 +27,8 @@ from .common import staged
 from .components import connected_components
 
 RADIUS, SEED = 3, 42
+#: Fingerprints that more than one in so many rows have are joined by broadcast: there are fewer of them than this number.
+HEAVY = 1024
 _BLOCK = 1 << 15
 
 
@@ -122,13 +124,16 @@ def links(fps: DataFrame, hot: int = 256) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, hot: int = 256) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable by links."""
     rows = staged(fingerprints(docs, words), "fingerprints")
-    first = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
+    first = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")), "first")
     root = staged(connected_components(links(first.select("fp"), hot)), "roots")
     linked = first.join(root, F.col("fp") == F.col("node")).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(least, "root").select("fp", "least")
-    ids = first.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = staged(first.join(moved, "fp", "left").select("fp", "times", F.coalesce("least", "first").alias("component_id")), "ids")
+    share = rows.count() / HEAVY
+    heavy = F.broadcast(ids.where(F.col("times") > share).select("fp", "component_id"))
+    rest = rows.join(heavy.select("fp"), "fp", "left_anti").join(ids.where(F.col("times") <= share).select("fp", "component_id"), "fp")
+    return rows.join(heavy, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
