@@ -17,7 +17,7 @@ from . import fixtures as fx
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-N_BOOT = 200
+N_BOOT = 5000
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

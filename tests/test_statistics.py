@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casesafety.operators import bootstrap, classifier, pairing, reports
+from casesafety.plans import registry
 
 
 def pairs(spark, rows):
@@ -62,3 +63,11 @@ def test_reports(spark):
     assert sorted(r["field"] for r in reports.run_record_violations(runs).collect()) == ["prompt", "provider"]
     days = spark.createDataFrame([("m", "2026-01-01", 10.0), ("m", "2026-02-01", 30.0)], "model_id string, evaluation_date string, cscs double")
     assert [r["change"] for r in reports.longitudinal(days).orderBy("evaluation_date").collect()] == [None, 20.0]
+
+
+@pytest.mark.parametrize("name", ["bootstrap_diffs", "bootstrap_ci", "bootstrap_by_group", "poisson_bootstrap"])
+def test_registered_bootstraps_draw_the_references_replicates(spark, sf_dir, monkeypatch, name):
+    drawn, real = [], bootstrap.percentile_ci
+    monkeypatch.setattr(bootstrap, "percentile_ci", lambda diffs, by=(): drawn.append(diffs) or real(diffs, by))
+    df = registry.QUERIES[name](spark, sf_dir)
+    assert (drawn[0] if drawn else df).select("b").distinct().count() == 5000
