@@ -5,13 +5,14 @@ Pages of a host are taken as made from one template. A token is an element with
 equivalence class; the vector is kept as one number, the sum over pages of the page's hash times the number of
 occurrences, so a host's pages are never brought together. Classes with enough support, whose tokens occur
 once in a page where they occur, are valid; their tokens nest by their paths into the host's template. The
-template's slot with the host's main text (an ``article`` or ``main`` element, else the container that holds most of
-what stands in its surroundings, level by level) is extracted from each page, without what stands in
+template's slot with the host's main text (an ``article`` or ``main`` element, else the smallest container that holds
+all text of the host's pages) is extracted from each page, without what stands in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments. Nothing else is
 dropped: text that repeats over pages stays.
 
-Null or empty pages give an empty text. A page without the host's slot is read by its own
-``article``/``main`` or as a whole. Rows that repeat are extracted each; extra columns are ignored.
+Null or empty pages give an empty text. A page whose slot is an ``article`` or ``main`` is read by all such elements
+that it has; so is a page that lacks the host's slot or has text beside it; without any it is read as a whole.
+Rows that repeat are extracted each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def walk(html: str) -> Iterator[tuple[str, str, bool, str]]:
 
 
 def _tokens(html: str) -> dict[str, list[int]]:
-    """path -> [occurrences, characters of text in or below it] of elements where main text may stand."""
+    """path -> [occurrences, characters of text in or below it] of elements where main text may stand; path '' is the page itself."""
     found: dict[str, list[int]] = {}
     for kind, path, out, text in walk(html):
         if out:
@@ -116,6 +117,7 @@ def _tokens(html: str) -> dict[str, list[int]]:
         if kind == "open":
             found.setdefault(path, [0, 0])[0] += 1
         elif n := len(text.strip()):
+            found.setdefault("", [1, 0])[1] += n
             while path:
                 found.setdefault(path, [0, 0])[1] += n
                 path = path.rpartition("/")[0]
@@ -161,10 +163,10 @@ def templates(pages: DataFrame, support: float = 0.5) -> DataFrame:
         named = [t for t in chars if t.rpartition("/")[2] in MAIN]
         slot = max(named, key=lambda t: (chars[t], -len(t), t)) if named else ""
         while not named:
-            below = [t for t in chars if t.rpartition("/")[0] == slot and t.rpartition("/")[2] in HOLDERS and chars[t] >= 0.6 * chars.get(slot, 0)]
+            below = [t for t in chars if t.rpartition("/")[0] == slot and t.rpartition("/")[2] in HOLDERS and chars[t] == chars.get(slot)]
             if not below:
                 break
-            slot = max(below, key=lambda t: (chars[t], t))
+            slot = max(below)
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "slot": [slot]})
 
     return classes.groupBy("host").applyInPandas(nest, "host string, slot string")
@@ -173,13 +175,11 @@ def templates(pages: DataFrame, support: float = 0.5) -> DataFrame:
 def main_text(html: str | None, slot: str) -> str:
     """The text of the page's slot: references decoded, white space made one space."""
     parts = list(walk(html or ""))
-    for inside in dict.fromkeys([slot, *(p for k, p, out, _ in parts if k == "open" and not out and p.rpartition("/")[2] in MAIN)]):
-        deeper = inside + "/"
-        if inside and any(k == "open" and p == inside and not out for k, p, out, _ in parts):
-            break
-    else:
-        inside = deeper = ""
-    kept = (t for k, p, out, t in parts if k == "text" and (not out or t == " ") and (not inside or p == inside or p.startswith(deeper)))
+    within = lambda p, tops: any(p == t or p.startswith(t + "/") for t in tops)
+    tops = [slot] if slot and slot.rpartition("/")[2] not in MAIN and any(k == "open" and p == slot and not out for k, p, out, _ in parts) else []
+    if not tops or any(k == "text" and not out and t.strip() and not within(p, tops) for k, p, out, t in parts):
+        tops = list(dict.fromkeys(p for k, p, out, _ in parts if k == "open" and not out and p.rpartition("/")[2] in MAIN))
+    kept = (t for k, p, out, t in parts if k == "text" and (not out or t == " ") and (not tops or within(p, tops)))
     return " ".join(unescape("".join(kept)).split())
 
 

@@ -70,6 +70,22 @@ def test_repeated_text_stays(spark):
     assert {r["text"] for r in got} == {f"Same opening line. Own {k}." for k in range(5)}
 
 
+def test_text_beside_the_largest_container_stays(spark):
+    page = lambda body: f"<html><body>{body}</body></html>"
+    kinds = {
+        "title.example": (lambda k: page(f"<h1>Title {k}</h1><div>{'text ' * 40}</div>"), lambda k: f"Title {k} " + "text " * 39 + "text"),
+        "split.example": (lambda k: page(f"<section>{'first ' * 3}</section><div>{'second ' * 7}</div>"), lambda k: "first " * 3 + "second " * 6 + "second"),
+        "bare.example": (lambda k: f"<div>note</div><p>{'long ' * 30}</p>", lambda k: "note " + "long " * 29 + "long"),
+    }
+    rows = [(k, f"http://{h}/{k}", make(k)) for h, (make, _) in kinds.items() for k in range(5)]
+    want = {(h, k): text(k) for h, (_, text) in kinds.items() for k in range(5)}
+    # Pages of several sites under the host '': one has text beside the others' path, one has two articles.
+    rows += [(k, None, page(f"<div>own {k}</div>")) for k in range(6)] + [(8, None, page("<div>teaser</div><p>the text</p>")), (9, None, "<article>one</article><section><main>two</main></section>")]
+    want |= {("", k): f"own {k}" for k in range(6)} | {("", 8): "teaser the text", ("", 9): "one two"}
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {((r["url"] or "//").split("/")[2], r["page_id"]): r["text"] for r in got} == want
+
+
 # Languages.
 def test_languages_of_pages(spark):
     sf = "/root/testdata/sf0.01"
