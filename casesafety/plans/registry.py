@@ -433,8 +433,9 @@ def class_weights(spark, d):
 
 @query("safety_predictions")
 def safety_predictions(spark, d):
-    rows = responses(spark, d)
-    return classifier.predict_safety(classifier.fit_safety_classifier(rows), rows)
+    """Fitted on the labelled responses; every document is scored."""
+    every = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("response_id"), "text")
+    return classifier.predict_safety(classifier.fit_safety_classifier(responses(spark, d)), every)
 
 
 # Reports.

@@ -58,6 +58,12 @@ def test_classifier_separates_a_toy_set(spark):
         classifier.fit_safety_classifier(df.where("label = 1"))
 
 
+def test_every_document_is_predicted(spark, sf_dir):
+    got = registry.QUERIES["safety_predictions"](spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert sorted(r[0] for r in got.select("response_id").collect()) == sorted(r[0] for r in docs.select("doc_id").collect())
+
+
 def test_reports(spark):
     runs = spark.createDataFrame([("m", None, None)], "model_id string, provider string, prompt string").withColumns({"evaluation_date": F.lit("2026-01-01").cast("date"), "decoding_params": F.create_map(F.lit("t"), F.lit("1")), "n_runs": F.lit(1)})
     assert sorted(r["field"] for r in reports.run_record_violations(runs).collect()) == ["prompt", "provider"]
