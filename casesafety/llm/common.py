@@ -39,6 +39,11 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_hash():
+    """A 64-bit hash of the column ``text``, which tells apart rows that share a doc_id or have none; a null text has one of its own."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit hashes (finaliser with fixed odd multipliers)."""
     h = h ^ (h >> np.uint64(33))

@@ -52,11 +52,14 @@ def _before(rows: DataFrame, by: list[str], place: str) -> DataFrame:
     return each.join(earlier, [*by, "shelf"]).select(*by, place, (F.col("shelf_base") + within).alias("base"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats: int = 3, seed: int = 1) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each row of ``docs`` (doc_id, source, text); taken counts repeats."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats: int = 3, seed: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, keys, size, source_size, target, taken) for each row of ``docs`` (doc_id, source, text, keys); taken counts repeats.
+
+    ``keys`` are columns that tell apart rows with the same doc_id; rows equal in doc_id and size stand in their order.
+    """
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
     order = F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
-    sizes = staged(docs.select("doc_id", F.col("source").cast("string"), n_words(F.col("text")).alias("size"), order.alias("order")), "sizes")
+    sizes = staged(docs.select("doc_id", F.col("source").cast("string"), *keys, n_words(F.col("text")).alias("size"), order.alias("order")), "sizes")
     targets = staged(source_targets(sizes, weights, repeats), "targets")
     count, sources = sizes.count(), targets.count()
     bits = min(HASH_BITS, max(0, (count // RANGE_ROWS).bit_length()))
@@ -64,7 +67,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats:
 
     # The source's words up to and with each document, in shuffled order.
     words = named.where("size > 0").withColumn("range", F.shiftright("order", HASH_BITS - bits))
-    own = Window.partitionBy("rank", "range").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("rank", "range").orderBy("order", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, 0)
     queued = words.join(_before(words, ["rank"], "range"), ["rank", "range"]).withColumn("upto", F.col("base") + F.sum("size").over(own)).drop("base")
 
     # Each pass that starts before the budget's virtual time (1) is one more document in the queue.
@@ -77,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats:
     placed = timed.join(_before(timed, [], "slot"), "slot").withColumn("place", F.col("base") + F.sum("size").over(queue))
     budget = sizes.agg(F.sum("size")).first()[0] or 0
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(budget) - (F.col("place") - F.col("size"))))
-    columns = ["doc_id", "source", "size", "source_size", "target"]
+    columns = ["doc_id", "source", *keys, "size", "source_size", "target"]
     taken = placed.groupBy(*columns, "upto").agg(F.sum(part).cast("long").alias("taken")).select(*columns, "taken")
     # Documents of size 0, and those whose first pass would start after the cut.
     never = named.where("size = 0").unionByName(queued.where(F.col("upto") - F.col("size") >= F.col("target")).select(named.columns))

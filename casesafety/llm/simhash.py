@@ -9,8 +9,8 @@ Documents with the same fingerprint are one entry, so groups of copies cost noth
 that more than ``hot`` different fingerprints share is not paired out: those fingerprints meet at hubs
 instead (``_hub_links``), which gives the same components in time proportional to their number.
 
-Null or empty texts have fingerprint zero. Rows that repeat a doc_id are members of the same component.
-Extra columns are ignored.
+Null or empty texts have fingerprint zero. Components follow from texts alone: rows that share a doc_id, or have none,
+are told apart by a hash of their text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, text_hash
 from .components import connected_components
 
 RADIUS, SEED = 3, 42
@@ -52,14 +52,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+    """(doc_id, text_hash, fp long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), words) for t in b.column("text")), np.int64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -122,24 +122,30 @@ def links(fps: DataFrame, hot: int = 256) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, hot: int = 256) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable by links."""
+    """(doc_id, text_hash, fp, root, component_id) of every row.
+
+    component_id is the smallest doc_id reachable by links, null if none is there; root is a fingerprint of the component, by which it is known.
+    """
     rows = staged(fingerprints(docs, words), "fingerprints")
     first = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")), "first")
     root = staged(connected_components(links(first.select("fp"), hot)), "roots")
     linked = first.join(root, F.col("fp") == F.col("node")).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    moved = linked.join(least, "root").select("fp", "least")
-    ids = staged(first.join(moved, "fp", "left").select("fp", "times", F.coalesce("least", "first").alias("component_id")), "ids")
+    moved = linked.join(least, "root").select("fp", "root", "least")
+    ids = staged(first.join(moved, "fp", "left").select("fp", "times", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id")), "ids")
     share = rows.count() / HEAVY
-    heavy = F.broadcast(ids.where(F.col("times") > share).select("fp", "component_id"))
-    rest = rows.join(heavy.select("fp"), "fp", "left_anti").join(ids.where(F.col("times") <= share).select("fp", "component_id"), "fp")
-    return rows.join(heavy, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
+    heavy = F.broadcast(ids.where(F.col("times") > share).select("fp", "root", "component_id"))
+    rest = rows.join(heavy.select("fp"), "fp", "left_anti").join(ids.where(F.col("times") <= share).select("fp", "root", "component_id"), "fp")
+    return rows.join(heavy, "fp").unionByName(rest).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id. Only where that id is on several rows are texts compared, to keep one of them."""
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
-    here = docs.join(kept, "doc_id")
-    once = here.where("times = 1").select(docs.columns)
-    again = here.where("times > 1").select(docs.columns).dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component: that of its smallest doc_id (null is the largest), then text hash. Of rows equal in both, any one."""
+    each = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    chosen = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "times")).alias("c"))
+    chosen = chosen.select(F.col("c.doc_id").alias("chosen_id"), F.col("c.text_hash").alias("chosen_hash"), "c.times")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"))
+    here = keyed.join(chosen, F.col("id").eqNullSafe(F.col("chosen_id")) & (F.col("hash") == F.col("chosen_hash")))
+    once = here.where("times = 1").select("row.*")
+    again = here.where("times > 1").dropDuplicates(["id", "hash"]).select("row.*")
     return once.unionByName(again)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casesafety.llm import decontaminate, mixing, quality, simhash, toxicity
-from casesafety.llm.common import staged, table
+from casesafety.llm.common import staged, table, text_hash
 from casesafety.llm.features import lower_char_ngrams, shape_and_char_ngrams
 from casesafety.llm.nbsvm import scorer
 
@@ -34,8 +34,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the words it takes of each (repeats counted)."""
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken")
-    return docs.join(taken, "doc_id")
+    taken = mixing.mix(docs.select("doc_id", "source", "text", text_hash().alias("key")), keys=("key",))
+    # Rows are known by doc_id (null included), source and text; those equal in all three are numbered on either side.
+    left = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("from"), text_hash().alias("hash"))
+    left = left.withColumn("copy", F.row_number().over(Window.partitionBy("id", "from", "hash").orderBy("id")))
+    right = taken.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "source", "key").orderBy(F.desc("taken")))).where("taken > 0")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("hash") == F.col("key")) & (F.col("copy") == F.col("number"))
+    return left.join(right, same).select("row.*", "size", "source_size", "target", "taken")
 
 
 STAGES = [

@@ -146,6 +146,26 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_one_row_of_each_component_is_kept(spark):
+    near = "one two three four five six seven eight nine ten " * 30
+    rows = [*ODD, (None, "no id", "c"), (None, "alone and without an id", "a"), (9, "first text of a shared id", "a"), (9, "quite another wording here", "b"), (8, near, "a"), (9, near, "b"), (9, near + " ", "c")]
+    docs = documents(spark, rows)
+    kept = simhash.keep_first(docs, simhash.near_duplicates(docs))
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in kept.collect())
+    assert got == sorted([(0, "no id"), (0, "alone and without an id"), (1, None), (4, "one"), (5, "é " * 30000), (8, near), (9, "first text of a shared id"), (9, "quite another wording here")], key=lambda x: (x[0], x[1] or ""))
+
+
+def test_mixed_rows_are_known_by_id_and_text(spark):
+    import corpus_pipeline
+
+    docs = documents(spark, [*ODD, (4, "two words", "b"), (None, "another without id", "a"), (None, "no id", None)], extra=False)
+    got = corpus_pipeline.mixed_sources(spark, docs, "").collect()
+    taken = [r["taken"] for r in mixing.mix(docs).collect() if r["taken"]]
+    assert sorted(r["taken"] for r in got) == sorted(taken) and {(r["doc_id"], r["text"]) for r in got if r["doc_id"] is None} == {(None, "no id"), (None, "another without id")}
+    assert all(r["size"] == len(r["text"].split()) for r in got)
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(0, 100)] + [(7, 7), (500, 400), (400, 500)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.connected_components(df).collect()}
