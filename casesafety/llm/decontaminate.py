@@ -13,7 +13,7 @@ it finds is verified on the shingles themselves.
 Documents are never shuffled. Items go to the executors in blocks of at most ``BLOCK_WORDS`` words (one pass
 over the documents for each block), so what is broadcast has a fixed bound.
 
-Null texts count as empty; rows that repeat a doc_id or item_id are reported each; extra columns are ignored.
+Null texts count as empty; an item without an id is one like any other; rows that repeat a doc_id or item_id are reported each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ class Sketches:
 
 def _blocks(items: DataFrame, width: int, threshold: float) -> Iterator[Sketches]:
     """Sketches of the items, block after block; every block is bounded, whatever the table's size."""
-    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null")
+    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     total = items.agg(F.sum(n_words(F.col("text")))).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_WORDS))
     for k in range(n):

@@ -212,6 +212,14 @@ def test_decontamination_of_odd_rows(spark):
     assert decontaminate.contained_items(documents(spark, []), items).count() == 0
 
 
+def test_items_without_an_id_count(spark):
+    items = spark.createDataFrame([(None, "one"), (None, "no id"), (1, "absent")], "item_id long, text string")
+    docs = documents(spark, ODD)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs, items).collect()}
+    assert got == {(4, None), (6, None), (None, None)}
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminated(docs, items).collect()) == [1, 2, 3, 5]
+
+
 # Classifiers.
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
