@@ -3,22 +3,23 @@
 Four kinds of evidence are added as logarithms: the likelihood of the visible text under a character n-gram
 model of each language; the likelihood of the language that the markup declares; that of the address's last
 suffix; and a prior of the host. The last three are estimated by grouped aggregation over all pages, from
-the languages that the texts alone make likely. A host's prior is smoothed towards that of its domain, the
-domain's towards that of all pages, so a host with few pages borrows from its surroundings.
+the languages that the texts alone make likely, without the page that is judged itself. A host's prior is smoothed
+towards that of its domain, the domain's towards that of all pages, so a host with few pages borrows from its
+surroundings. A domain is the last two labels of a host, or three where the last two are a shared suffix (``co.uk``).
 
-The n-gram model is naive Bayes over hashed 1- to 3-grams of lower-cased characters, fitted on at most
-``max_fit_rows`` labelled texts of each language, those with the smallest hash of the id. Its evidence grows
+The n-gram model is naive Bayes over hashed 1- to 3-grams of lower-cased characters, fitted on about
+``max_fit_rows`` labelled texts of each language, those with the smallest hash of the id (all rows of these ids).
+It has ``CELLS`` numbers at most: with more than 256 languages n-grams share buckets. Its evidence grows
 with the text up to about ``most`` n-grams, since n-grams of a text aren't independent.
 
 Null or empty pages, and pages without a declaration or an address, have what evidence is left. Without any
-labelled text the language is null. Rows that repeat are judged each; extra columns are ignored.
+labelled text the language is null. Of languages with equal evidence the first by name is taken. Pages are read whole,
+in time proportional to their length. Rows that repeat are judged each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -27,42 +28,54 @@ from pyspark.sql import functions as F
 
 from .common import staged
 from .features import code_points, sequence_ngrams
+from .markup import visible_text
 
-BITS = 16
-#: Combinations of host, suffix and declaration that are broadcast at most (a short array each); more are joined by shuffle.
-BROADCAST_COMBINATIONS = 50_000
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
+#: Numbers in the n-gram model, and buckets of a language as a power of two, at most.
+CELLS, BITS = 1 << 24, 16
+#: Numbers in the evidence around pages (combinations of host, suffix and declaration by languages) that are broadcast at most; more are joined by shuffle.
+BROADCAST_NUMBERS = 400_000
+#: Parts that a combination's pages are dealt to in that shuffle; languages that are aggregated as columns of their own.
+PARTS, WIDE = 16, 64
+#: Labels below a country's that many owners share. Fixed values.
+SHARED = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "ltd", "me", "ne", "net", "nom", "or", "org", "plc", "sch")
 
 
-def _grams(text: str) -> np.ndarray:
+def _grams(text: str, bits: int) -> np.ndarray:
     if not text:
         return np.zeros(0, np.uint32)
-    return np.concatenate(sequence_ngrams(code_points(f" {text.lower()} "), range(1, 4), 48)) & np.uint32((1 << BITS) - 1)
+    return np.concatenate(sequence_ngrams(code_points(f" {text.lower()} "), range(1, 4), 48)) & np.uint32((1 << bits) - 1)
 
 
-def visible_text(html: str | None) -> str:
-    return " ".join(unescape(_HIDDEN.sub(" ", html or "")).split())
-
-
-def fit_ngrams(docs: DataFrame, max_fit_rows: int = 1000, most_languages: int = 200) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and for each a row of ln P(n-gram | language); of fixed size for a bounded number of languages."""
+def fit_ngrams(docs: DataFrame, max_fit_rows: int = 1000) -> tuple[list[str], np.ndarray]:
+    """Languages in order, and for each a row of ln P(n-gram | language), at most ``CELLS`` numbers in all."""
     here = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null")
     ids = here.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("order"))
     # About as many rows as are wanted are taken by a threshold on the hash, so no task gets a language as a whole.
-    share = ids.groupBy("lang").agg((F.lit(1.2 * max_fit_rows) / F.count("*")).alias("share"))
-    few = ids.join(F.broadcast(share.limit(most_languages + 1)), "lang").where(F.pmod("order", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    share = staged(ids.groupBy("lang").agg((F.lit(1.2 * max_fit_rows) / F.count("*")).alias("share")), "languages")
+    n = share.count()
+    if not n:
+        return [], np.zeros((0, 2), np.float32)
+    bits = max(1, min(BITS, (CELLS // n).bit_length() - 1))
+    few = ids.join(share, "lang").where(F.pmod("order", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     least = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 30)), "doc_id"))).where(F.col("n") <= max_fit_rows).select("lang", "doc_id").distinct()
-    sample = here.join(F.broadcast(least), ["lang", "doc_id"])
+    sample = here.join(least, ["lang", "doc_id"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lang, text in zip(b["lang"], b["text"], strict=True):
+                g, n = np.unique(_grams(text or "", bits), return_counts=True)
+                yield pd.DataFrame({"lang": lang, "gram": g.astype(np.int32), "n": n})
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = sum((np.bincount(_grams(t or ""), minlength=1 << BITS) for t in pdf["text"]), np.zeros(1 << BITS, np.int64))
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "counts": [n.astype(np.int64).tobytes()]})
+    def logs(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.full(1 << bits, 0.1)
+        known = pdf[pdf["gram"].notna()]
+        n[known["gram"].to_numpy(np.int64)] += known["n"].to_numpy(np.float64)
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "logs": [np.log(n / n.sum()).astype(np.float32).tobytes()]})
 
-    rows = sorted(sample.groupBy("lang").applyInPandas(count, "lang string, counts binary").limit(most_languages + 1).collect())
-    if len(rows) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    counts = np.array([np.frombuffer(r["counts"], np.int64) for r in rows], np.float64).reshape(len(rows), 1 << BITS) + 0.1
-    return [r["lang"] for r in rows], np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    counts = sample.mapInPandas(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    every = share.select("lang").join(counts, "lang", "left")  # a language of empty texts is one, too
+    rows = sorted(every.groupBy("lang").applyInPandas(logs, "lang string, logs binary").collect())
+    return [r["lang"] for r in rows], np.stack([np.frombuffer(r["logs"], np.float32) for r in rows])
 
 
 def text_evidence(pages: DataFrame, table: np.ndarray, most: float):
@@ -72,10 +85,11 @@ def text_evidence(pages: DataFrame, table: np.ndarray, most: float):
     @F.pandas_udf("array<double>")
     def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rows = kept.value
+        bits = rows.shape[1].bit_length() - 1
         for htmls in batches:
             out = []
             for h in htmls:
-                g = _grams(visible_text(h))
+                g = _grams(visible_text(h), bits)
                 e = rows[:, g].sum(axis=1, dtype=np.float64) / max(1, len(g)) * (len(g) * most / (len(g) + most))
                 out.append((e - e.max(initial=-np.inf)).tolist() if len(e) else [])
             yield pd.Series(out)
@@ -86,7 +100,8 @@ def text_evidence(pages: DataFrame, table: np.ndarray, most: float):
 def address_parts(url):
     """(host, domain, suffix) of an address; '' where there is none."""
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    return host, F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    shared = host.rlike(rf"\.(?:{'|'.join(SHARED)})\.[a-z]{{2}}$")
+    return host, F.when(shared, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2)), F.substring_index(host, ".", -1)
 
 
 def declared(html):
@@ -94,11 +109,18 @@ def declared(html):
     return F.coalesce(F.lower(F.regexp_extract(F.substring_index(html, "<body", 1), r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([a-zA-Z]+)""", 1)), F.lit(""))
 
 
-def _given(counts: DataFrame, key: str, name: str, smooth: float) -> DataFrame:
-    """(key, lang, name): ln P(key | lang), smoothed over the keys there are and one more. ``counts`` has every language for every key."""
-    by = counts.groupBy(key, "lang").agg(F.sum("n").alias("n"))
-    langs, size = by.groupBy("lang").agg(F.sum("n").alias("all")), by.select(key).distinct().count() + 1
-    return by.join(F.broadcast(langs), "lang").select(key, "lang", F.log((F.col("n") + smooth) / (F.col("all") + smooth * size)).alias(name))
+def _sums(df: DataFrame, keys: list[str], column: str, size: int, name: str) -> DataFrame:
+    """(keys, name): the sum of the arrays ``column`` of ``size`` numbers for each of the keys."""
+    if size <= WIDE:
+        wide = df.groupBy(*keys).agg(*[F.sum(F.element_at(column, k + 1)).alias(f"n{k}") for k in range(size)])
+        return wide.select(*keys, F.array(*[f"n{k}" for k in range(size)]).alias(name))
+    each = df.select(*keys, F.posexplode(column).alias("k", "x")).groupBy(*keys, "k").agg(F.sum("x").alias("x"))
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("s")).select(*keys, F.transform("s", lambda e: e["x"]).alias(name))
+
+
+def _log_given(n: str, share: str, whole: str, smooth: float, size: int) -> str:
+    """SQL for ln P(key | language), smoothed over the keys there are and one more, without the page itself."""
+    return f"ln(({n} - {share} + {smooth}D) / ({whole} - {share} + {smooth * (size + 1)}D))"
 
 
 def identify(pages: DataFrame, docs: DataFrame, *, max_fit_rows: int = 1000, most: float = 200.0, smooth: float = 1.0, borrow: float = 20.0) -> DataFrame:
@@ -109,34 +131,34 @@ def identify(pages: DataFrame, docs: DataFrame, *, max_fit_rows: int = 1000, mos
         return pages.select("page_id", "url", declared(F.col("html")).alias("declared"), none.alias("text_lang"), none.alias("lang"), F.lit(None).cast("double").alias("probability"))
     host, domain, suffix = address_parts(F.col("url"))
     judged = pages.select("page_id", "url", host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), declared(F.col("html").cast("string")).alias("declared"), text_evidence(pages, grams, most)(F.col("html").cast("string")).alias("evidence"))
-    judged = staged(judged, "evidence")
-    names = F.array(*[F.lit(x) for x in langs])
     weight = F.transform("evidence", lambda e: F.exp(e))
     share = F.transform(weight, lambda w: w / F.aggregate(weight, F.lit(0.0), lambda a, b: a + b))
-    # How many pages of each language, as the texts have it, by host and declaration: the languages are a few columns, no rows.
-    parts = [F.sum(F.coalesce(F.element_at("share", k + 1), F.lit(0.0))).alias(f"n{k}") for k in range(len(langs))]
-    wide = judged.select("host", "domain", "suffix", "declared", share.alias("share")).groupBy("host", "domain", "suffix", "declared").agg(*parts)
-    long = F.explode(F.arrays_zip(names.alias("lang"), F.array(*[f"n{k}" for k in range(len(langs))]).alias("n"))).alias("x")
-    counts = staged(wide.select("host", "domain", "suffix", "declared", long).select("host", "domain", "suffix", "declared", "x.lang", "x.n"), "counts")
-
-    whole = counts.groupBy("lang").agg(F.sum("n").alias("n_all"))
-    whole = whole.select("lang", ((F.col("n_all") + smooth) / (F.sum("n_all").over(Window.partitionBy(F.lit(0))) + smooth * len(langs))).alias("p_all"))
-    by_domain = counts.groupBy("domain", "lang").agg(F.sum("n").alias("n"))
-    of_domain = by_domain.withColumn("total", F.sum("n").over(Window.partitionBy("domain"))).join(F.broadcast(whole), "lang")
-    of_domain = of_domain.select("domain", "lang", ((F.col("n") + borrow * F.col("p_all")) / (F.col("total") + borrow)).alias("p_domain"))
-    by_host = counts.groupBy("host", "domain", "lang").agg(F.sum("n").alias("n"))
-    of_host = by_host.withColumn("total", F.sum("n").over(Window.partitionBy("host"))).join(of_domain, ["domain", "lang"])
-    prior = of_host.select("host", "lang", F.log((F.col("n") + borrow * F.col("p_domain")) / (F.col("total") + borrow)).alias("e_host"))
-
-    # One array of evidence for each combination of host, suffix and declaration, added to each page's own.
-    combos = counts.select("host", "suffix", "declared", "lang").distinct().join(prior, ["host", "lang"])
-    combos = combos.join(_given(counts, "suffix", "e_suffix", smooth), ["suffix", "lang"]).join(_given(counts, "declared", "e_declared", smooth), ["declared", "lang"])
-    total = F.col("e_host") + F.col("e_suffix") + F.col("e_declared")
-    place = F.array_position(names, F.col("lang"))
-    around = combos.groupBy("host", "suffix", "declared").agg(F.array_sort(F.collect_list(F.struct(place.alias("k"), total.alias("e")))).alias("around"))
-    around = staged(around, "around")
-    fused = judged.join(F.broadcast(around) if around.count() <= BROADCAST_COMBINATIONS else around, ["host", "suffix", "declared"])
-    fused = fused.withColumn("sum", F.zip_with("evidence", "around", lambda e, a: e + a["e"]))
+    judged = staged(judged.withColumn("share", share), "evidence")
+    # How many pages of each language, as the texts have it: an array for each combination, and for each of its parts.
+    size = len(langs)
+    combos = staged(_sums(judged, ["host", "domain", "suffix", "declared"], "share", size, "n"), "combinations")
+    around = combos.select("host", "domain", "suffix", "declared")
+    sizes = {}
+    for key in ("host", "domain", "suffix", "declared"):
+        by = _sums(combos, [key], "n", size, f"n_{key}")
+        sizes[key] = by.count() if key in ("suffix", "declared") else 0
+        around = around.join(by, key)
+    around = staged(around.select("host", "suffix", "declared", F.arrays_zip("n_host", "n_domain", "n_suffix", "n_declared").alias("around")), "around")
+    whole = _sums(combos.withColumn("one", F.lit(1)), ["one"], "n", size, "n").first()
+    total = sum(whole["n"]) if whole else 0.0
+    if around.count() * size <= BROADCAST_NUMBERS:
+        joined = judged.join(F.broadcast(around), ["host", "suffix", "declared"])
+    else:  # a hot host's pages are dealt to several parts
+        dealt = judged.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int"))
+        joined = dealt.join(around.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["host", "suffix", "declared", "part"])
+    names, numbers = F.array(*[F.lit(x) for x in langs]), F.array(*[F.lit(float(x)) for x in (whole["n"] if whole else [0.0] * size)])
+    p_all = f"(x.whole + {smooth}D) / {total + smooth * size}D"
+    p_domain = f"((x.n_domain - x.share + {borrow}D * {p_all}) / (domain_pages - 1 + {borrow}D))"
+    prior = f"ln((x.n_host - x.share + {borrow}D * {p_domain}) / (host_pages - 1 + {borrow}D))"
+    given = " + ".join(_log_given(f"x.n_{key}", "x.share", "x.whole", smooth, sizes[key]) for key in ("suffix", "declared"))
+    zipped = F.zip_with(F.arrays_zip("evidence", "share", numbers.alias("whole")), "around", lambda a, b: F.struct(a["evidence"].alias("evidence"), a["share"].alias("share"), a["whole"].alias("whole"), b["n_host"].alias("n_host"), b["n_domain"].alias("n_domain"), b["n_suffix"].alias("n_suffix"), b["n_declared"].alias("n_declared")))
+    fused = joined.withColumn("z", zipped).selectExpr("page_id", "url", "declared", "evidence", "z", "aggregate(z, 0D, (a, x) -> a + x.n_host) AS host_pages", "aggregate(z, 0D, (a, x) -> a + x.n_domain) AS domain_pages")
+    fused = fused.withColumn("sum", F.expr(f"transform(z, x -> x.evidence + {prior} + {given})"))
     top = F.array_max("sum")
     pick = lambda c, m: F.element_at(names, F.array_position(c, m).cast("int"))
     odds = F.aggregate("sum", F.lit(0.0), lambda a, e: a + F.exp(e - top))

@@ -6,7 +6,8 @@ vocabulary. Each node has a failure link, where matching goes on when no child f
 that are popped on the way; so a word's count takes time linear in its length, and no piece is ever built.
 
 Words are runs of anything but ASCII white space, each read with ``mark`` before it. A null or empty text has
-0 tokens. Extra columns are ignored.
+0 tokens. A very long word is cut like any other, but not remembered, so a worker's memory has a bound. Rows that
+repeat are counted each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: The sign that stands for the space before a word in the vocabulary read by ``read_pieces``.
 MARK = "▁"
-#: Counts of words that a worker remembers before it starts anew.
-REMEMBER = 200_000
+#: Counts of words that a worker remembers before it starts anew, and bytes of the longest of these words; longer ones are counted each time.
+REMEMBER, LONGEST = 200_000, 64
 
 
 def read_pieces(model_file: str) -> list[str]:
@@ -92,9 +93,10 @@ class _Counts(dict):
 
     def __missing__(self, word: bytes) -> int:
         n = self.match.count(self.mark + word.decode("utf-8", "surrogatepass"))
-        if len(self) >= REMEMBER:
-            self.clear()
-        self[word] = n
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[word] = n
         return n
 
 

@@ -1,13 +1,16 @@
 """Operators over pages and vectors, and the pipeline."""
 
+import math
 import re
+import time
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casesafety.llm import html, language, queries, simhash, topk
+from casesafety.llm import html, language, markup, queries, simhash, topk
 
 
 # Pages.
@@ -86,6 +89,51 @@ def test_text_beside_the_largest_container_stays(spark):
     assert {((r["url"] or "//").split("/")[2], r["page_id"]): r["text"] for r in got} == want
 
 
+# Five hosts' worth of frames: a fixed slogan in a neutral element beside the text, and words that repeat in the text.
+LAYOUT = '<html><body><div class="x1"><p>Buy our fine wares</p></div><div class="c1"><p>Own text {k} about topic {k}</p><p>Same line everywhere</p></div><div class="x2"><p>Open all day</p></div></body></html>'
+
+
+def test_template_is_deduced_from_the_vectors(spark):
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", LAYOUT.format(k=f"{k}" * 20)) for k in range(6)], "page_id long, url string, html string")
+    text = lambda found: {r["page_id"]: r["text"] for r in html.extract(df, deduced=found).collect()}
+    own = {k: f"Own text {str(k) * 20} about topic {str(k) * 20} Same line everywhere" for k in range(6)}
+    tokens = html.occurrences(df)
+    assert text(html.deduce(tokens)) == own and text(None) == own
+    # Without classes (each token with a vector of its own) nothing is known to be fixed; nor with all tokens in one class, whose order doesn't hold.
+    every = {k: f"Buy our fine wares {own[k]} Open all day" for k in own}
+    assert text(html.deduce(tokens.withColumn("vector", F.col("token")))) == every
+    mixed = tokens.withColumn("high", F.when(F.col("name") == "", -F.col("high")).otherwise(F.col("high")))
+    assert text(html.deduce(mixed)) == every  # a class out of order is not valid
+
+
+def test_classes_must_nest(spark):
+    """Two elements that come and go together, but stand in different slots of the template, are no part of it."""
+    body = lambda k: f'<html><body><div class="a"><p>Own {k} {"word " * 9}{k}</p>{"<p class=z>Two of us</p>" if k % 3 else ""}</div><div class="b"><h2>Fixed</h2>{"<p class=y>Here too</p>" if k % 3 else ""}</div></body></html>'
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", body(k)) for k in range(9)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got == {k: f"Own {k} {'word ' * 9}{k}" + (" Two of us Here too" if k % 3 else "") for k in range(9)}
+
+
+@pytest.mark.parametrize(
+    ("markup_", "text"),
+    [
+        ('<main><p>Story</p><article class="comment"><p>Reader says hi</p></article></main>', "Story"),
+        ('<article><p>Story</p></article><article class="comment-item"><p>Reader says hi</p></article>', "Story"),
+        ('<article><p>One</p><div class="related-work"><p>Two</p></div><div class="search">Three</div><div class="social">Four</div><div id="form-2">Five</div><div class="social-science">Six</div></article>', "One Two Three Four Five Six"),
+        ('<article><p>One</p><div class="related"><a href="/x">Other story</a></div><div class="share"><a>Tell</a> <a>Send</a></div><aside>Side</aside><div class="ad">Buy</div><div class="newsletter-box">Join</div></article>', "One"),
+        ('<div class="has-sidebar"><p>Text</p><div class="sidebar">Side</div></div>', "Text"),
+        ('<div role="banner">Top</div><div role="main"><p>Text</p></div><div>Other</div>', "Text"),
+        ('<p title="a > b">One</p><p class=don\'t>Two</p><p title=\'open>Three</p>', "One Two Three"),
+        ("<p>a < b &lt; c && d<p>x</p", "a < b < c && d x"),
+        ("<p>one<svg/>two<script>if (a < b) {}</SCRIPT >three<style>p{}", "onetwothree"),
+        ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>", "a b c d e f g"),
+        ("<p>It<!-- gone -->em <b>bo</b>ld<br>next<!-->last", "Item bold nextlast".replace("nextlast", "nextlast")),
+    ],
+)
+def test_markup_of_all_kinds(markup_, text):
+    assert html.Page(markup_).text(0, frozenset()) == text
+
+
 # Languages.
 def test_languages_of_pages(spark):
     sf = "/root/testdata/sf0.01"
@@ -110,6 +158,84 @@ def test_evidence_is_fused(spark):
     assert language.identify(df.limit(0), docs).count() == 0
 
 
+def plain_language(pages, docs, most=200.0, smooth=1.0, borrow=20.0):
+    """The same fusion with dictionaries, a page at a time: (language by text, language, probability) for each page."""
+    from urllib.parse import urlparse
+
+    def grams(text):
+        from casesafety.llm.features import code_points, sequence_ngrams
+
+        return [int(g) & 65535 for a in sequence_ngrams(code_points(f" {text.lower()} "), range(1, 4), 48) for g in a] if text else []
+
+    langs = sorted({x for _, x, _ in docs})
+    counts = {x: Counter(g for _, y, t in docs if y == x for g in grams(t or "")) for x in langs}
+    log_p = {x: (lambda g, c=counts[x]: math.log((c[g] + 0.1) / (sum(c.values()) + 0.1 * 65536))) for x in langs}
+    facts = []
+    for _, url, page in pages:
+        text = " ".join(re.sub(r"<[^>]*>", " ", page or "").split())
+        g = grams(text)
+        e = {x: sum(map(log_p[x], g)) / max(1, len(g)) * (len(g) * most / (len(g) + most)) for x in langs}
+        e = {x: v - max(e.values()) for x, v in e.items()}
+        z = sum(map(math.exp, e.values()))
+        host = (urlparse(url or "").hostname or "") if "://" in (url or "") else ""
+        labels = host.split(".")
+        domain = ".".join(labels[-3:] if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in language.SHARED else labels[-2:])
+        said = re.search(r"<html lang=.(\w+)", page or "")
+        facts.append((e, {x: math.exp(v) / z for x, v in e.items()}, host, domain, labels[-1], said[1] if said else ""))
+    whole = {x: sum(f[1][x] for f in facts) for x in langs}
+    p_all = {x: (whole[x] + smooth) / (sum(whole.values()) + smooth * len(langs)) for x in langs}
+    out = []
+    for e, share, *keys in facts:
+        host, domain, suffix, said = ([f for f in facts if f[2 + k] == keys[k]] for k in range(4))
+        total = {}
+        for x in langs:
+            n = lambda rows, x=x: sum(f[1][x] for f in rows) - share[x]  # noqa: E731, B023
+            p_domain = (n(domain) + borrow * p_all[x]) / (len(domain) - 1 + borrow)
+            prior = (n(host) + borrow * p_domain) / (len(host) - 1 + borrow)
+            given = [(n(rows) + smooth) / (whole[x] - share[x] + smooth * (len({f[2 + k] for f in facts}) + 1)) for rows, k in ((suffix, 2), (said, 3))]
+            total[x] = e[x] + math.log(prior) + sum(map(math.log, given))
+        best = max(langs, key=lambda x: (total[x], -langs.index(x)))
+        out.append((max(langs, key=lambda x: (e[x], -langs.index(x))), best, 1 / sum(math.exp(v - total[best]) for v in total.values())))
+    return out
+
+
+@pytest.mark.parametrize("way", ["broadcast", "shuffled", "long"])
+def test_fusion_matches_the_plain_version(spark, monkeypatch, way):
+    if way != "broadcast":
+        monkeypatch.setattr(language, "BROADCAST_NUMBERS", 0)
+    if way == "long":
+        monkeypatch.setattr(language, "WIDE", 1)
+    rng = np.random.default_rng(6)
+    words = {"en": "the cat and dog went home with ball".split(), "de": "der hund und die katze gehen nach hause".split(), "fr": "le chien et la maison avec une balle".split()}
+    text = lambda x, n: " ".join(rng.choice(words[x], n))
+    docs = [(k, x, text(x, 9)) for k, x in enumerate(["en", "de", "fr"] * 6)] + [(90, "en", None)]
+    hosts = ["http://a.co.uk/", "http://www.a.co.uk/", "http://b.co.uk/", "http://x.de/", "http://y.de/", "http://c.com.au/", "http://d.com/", "nowhere"]
+    pages = []
+    for k in range(60):
+        x = ["en", "de", "fr"][int(rng.integers(3))]
+        declared = f' lang="{x if rng.random() < 0.8 else "de"}"' if rng.random() < 0.9 else ""
+        pages.append((k, hosts[int(rng.integers(8))] + str(k), f"<html{declared}><body><p>{text(x, int(rng.integers(3)))}</p></body></html>"))
+    pages += [(100, None, None), (101, "", "")]
+    got = {r["page_id"]: r for r in language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "doc_id long, lang string, text string")).collect()}
+    for (k, _, _), (by_text, lang, p) in zip(pages, plain_language(pages, docs), strict=True):
+        assert (got[k]["text_lang"], got[k]["lang"]) == (by_text, lang) and got[k]["probability"] == pytest.approx(p, rel=1e-4), k
+
+
+def test_more_than_two_hundred_languages(spark):
+    text = lambda k: f"{chr(97 + k // 18)}{chr(97 + k % 18)}z " * 30
+    docs = spark.createDataFrame([(k, f"l{k:03}", text(k)) for k in range(300)], "doc_id long, lang string, text string")
+    pages = spark.createDataFrame([(k, "http://h.example/", f"<p>{text(k)}</p>") for k in (0, 37, 299)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["lang"] for r in language.identify(pages, docs).collect()} == {k: f"l{k:03}" for k in (0, 37, 299)}
+
+
+def test_long_and_broken_pages_take_linear_time():
+    for page in ("<a " * 1_700_000, "<" * 5_000_000, "<div>" * 100_000, "<p><div>" + "<b>" * 50_000 + "<hr>" * 50_000, "<div>" * 50_000 + "</b>" * 50_000, "<a b='" * 800_000, "</" * 2_000_000, "<!--" * 1_000_000):
+        began = time.time()
+        p = html.Page(page)
+        p.tokens(), p.text(1, frozenset((1,))), markup.visible_text(page)
+        assert time.time() - began < 20, page[:20]
+
+
 # Vectors.
 def plain_top(rows, k=5):
     good = [(i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
