@@ -10,10 +10,13 @@ shingles to contain the item: no contained item is lost, however long the docume
 its hashes up in each partition's sketches, below that partition's largest sketch hash only. What
 it finds is verified on the shingles themselves.
 
-Documents are never shuffled. Items go to the executors in blocks of at most ``BLOCK_WORDS`` words (one pass
-over the documents for each block), so what is broadcast has a fixed bound.
+Documents are read once, whatever the benchmark's size. Items of at most ``BLOCK_WORDS`` words (16 characters each) together go to the
+executors as a whole, and documents are not shuffled. More are kept as tables: documents look their hashes up in a bit
+map of ``FILTER_BITS`` bits and send on the shingles that may be an item's, which meet the sketches, then all shingles of
+the items found, by hash. A frequent shingle's documents are dealt to ``PARTS`` parts. Both ways give the same rows.
 
-Null texts count as empty; an item without an id is one like any other; rows that repeat a doc_id or item_id are reported each; extra columns are ignored.
+Null texts count as empty; an item without an id is one like any other; rows that repeat a doc_id or item_id are reported each; extra columns
+are ignored. An item may be as long as a document.
 """
 
 from __future__ import annotations
@@ -28,9 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, n_words
+from .common import mixed, n_words, staged, text_hash
 
-BLOCK_WORDS = 500_000
+#: Words of a benchmark that is broadcast, at most; bits of the map that is broadcast for a larger one; parts that the documents of a shingle are dealt to.
+BLOCK_WORDS, FILTER_BITS, PARTS = 500_000, 1 << 26, 16
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,7 +63,7 @@ def needed(n: int, threshold: float) -> int:
 
 
 class Sketches:
-    """The sketches of one block of items, by size partition."""
+    """The sketches of a benchmark of bounded size, by size partition."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, threshold: float):
         self.width, self.threshold = width, threshold
@@ -81,7 +85,7 @@ class Sketches:
             self.parts.append((h[-1], h, item))
 
     def contained(self, text: str | None) -> list[tuple[int, float]]:
-        """(item_id, containment) of each item that the text contains, in item order of the block."""
+        """(item_id, containment) of each item that the text contains, in item order."""
         w = words_of(text)
         h = shingle_hashes(w, self.width)
         some = h[self.seen[h & np.uint64((1 << 20) - 1)]]
@@ -103,44 +107,99 @@ class Sketches:
         return out
 
 
-def _blocks(items: DataFrame, width: int, threshold: float) -> Iterator[Sketches]:
-    """Sketches of the items, block after block; every block is bounded, whatever the table's size."""
-    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    total = items.agg(F.sum(n_words(F.col("text")))).first()[0] or 0
-    n = max(1, math.ceil(total / BLOCK_WORDS))
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
-        yield Sketches([tuple(r) for r in part.orderBy("item_id").toLocalIterator()], width, threshold)
+def _items(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+
+
+def _small(items: DataFrame, width: int, threshold: float) -> Sketches | None:
+    """The sketches of a benchmark that is small enough to be broadcast; None for a larger one."""
+    some = items.where(n_words(F.col("text")) > 0)
+    words, chars = some.agg(F.coalesce(F.sum(n_words(F.col("text"))), F.lit(0)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    if words > BLOCK_WORDS or chars > 16 * BLOCK_WORDS:
+        return None
+    return Sketches([tuple(r) for r in some.orderBy("item_id", "text").collect()], width, threshold)
+
+
+def _shuffled(docs: DataFrame, items: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(doc_id, text_hash, times, item_id, containment) of a benchmark of any size; times: how many rows have this doc_id and text."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = words_of(text)
+                h, at = np.unique(shingle_hashes(w, width), return_index=True)
+                n, need = len(h), needed(len(h), threshold)
+                texts = [b" ".join(w[i : i + width]) for i in at.tolist()]
+                small = np.arange(n) < n - need + 1  # the sketch
+                cols = [np.full(n, row), np.full(n, n), np.full(n, need), h.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [pa.array(texts, pa.binary()), pa.array(small, pa.bool_())], names=["item", "n", "need", "hash", "shingle", "sketch"])
+
+    known = staged(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    parts = staged(known.select("item", "text").mapInArrow(shingles, "item long, n long, need long, hash long, shingle binary, sketch boolean"), "shingles")
+    # The map has at most FILTER_BITS / 64 words, however many shingles there are.
+    place = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = parts.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    kept = docs.sparkSession.sparkContext.broadcast(table)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = kept.value.view(np.uint64)
+        for b in batches:
+            for doc, mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                w = words_of(text)
+                h, at = np.unique(shingle_hashes(w, width), return_index=True)
+                low = h & np.uint64(FILTER_BITS - 1)
+                some = np.flatnonzero(seen[(low >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1))
+                if len(some):
+                    texts = [b" ".join(w[i : i + width]) for i in at[some].tolist()]
+                    cols = [pa.array([doc] * len(some), pa.int64()), pa.array([mark] * len(some), pa.int64()), pa.array(h[some].view(np.int64)), pa.array(texts, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "hash", "shingle"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), F.col("text").cast("string"))
+    found = rows.mapInArrow(hits, "doc_id long, text_hash long, hash long, shingle binary")
+    each = staged(found.groupBy("doc_id", "text_hash", "hash", "shingle").agg(F.count("*").alias("times")), "hits")
+    each = each.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(PARTS)).cast("int"))
+    dealt = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    candidates = each.select("doc_id", "text_hash", "times", "hash", "part").join(parts.where("sketch").select("item", "hash", dealt), ["hash", "part"]).select("doc_id", "text_hash", "times", "item").distinct()
+    # Verified on all shingles that the two have in common.
+    pairs = staged(candidates, "candidates").join(parts.select("item", "n", "need", "hash", "shingle"), "item")
+    c, e = pairs.alias("c"), each.drop("times", "part").alias("e")
+    same = (F.col("c.hash") == F.col("e.hash")) & (F.col("c.shingle") == F.col("e.shingle")) & F.col("c.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("c.text_hash") == F.col("e.text_hash"))
+    counted = c.join(e, same).groupBy("c.doc_id", "c.text_hash", "c.times", "c.item", "c.n", "c.need").agg(F.count("*").alias("shared"))
+    good = counted.where("shared >= need").select("doc_id", "text_hash", "times", "item", (F.col("shared") / F.col("n")).alias("containment"))
+    return good.join(known.select("item", "item_id"), "item").select("doc_id", "text_hash", "times", "item_id", "containment")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, item_id, containment) for each item that is contained in a document."""
-    out = None
-    for sketches in _blocks(items, width, threshold):
-        kept = docs.sparkSession.sparkContext.broadcast(sketches)
+    items = _items(items)
+    sketches = _small(items, width, threshold)
+    if sketches is None:
+        found = _shuffled(docs, items, width, threshold)
+        return found.select("doc_id", "item_id", "containment", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("one")).drop("one")
+    kept = docs.sparkSession.sparkContext.broadcast(sketches)
 
-        def run(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = [(d.as_py(), *hit) for d, t in zip(b.column(0), b.column(1), strict=True) for hit in kept.value.contained(t.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["doc_id", "item_id", "containment"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(d.as_py(), *hit) for d, t in zip(b.column(0), b.column(1), strict=True) for hit in kept.value.contained(t.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["doc_id", "item_id", "containment"])
 
-        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, containment double")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, containment double")
 
 
-def _clean(docs: DataFrame, sketches: Sketches):
+def decontaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that contain no item, all their columns as they are."""
+    items = _items(items)
+    sketches = _small(items, width, threshold)
+    if sketches is None:
+        bad = staged(_shuffled(docs, items, width, threshold).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
+        keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"))
+        return keyed.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti").select("row.*")
     kept = docs.sparkSession.sparkContext.broadcast(sketches)
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
         return pd.Series([not kept.value.contained(t) for t in texts], dtype=bool)
 
-    return clean(F.col("text").cast("string"))
-
-
-def decontaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that contain no item, all their columns as they are."""
-    for sketches in _blocks(items, width, threshold):
-        docs = docs.where(_clean(docs, sketches))
-    return docs
+    return docs.where(clean(F.col("text").cast("string")))

@@ -2,9 +2,9 @@
 hinge-loss model fitted by dual coordinate descent.
 
 Features are hashed into a fixed number of buckets, so the model's size is a constant (``1 << bits``
-weights) and may be broadcast. The fit uses a bounded, documented sample of the labelled rows
-(``max_fit_rows``, half of it kept for either class, chosen by a hash of the id); scores are made for
-every row and the whole text.
+weights) and may be broadcast. The fit uses a bounded, documented sample of the labelled rows: at most
+``max_fit_rows`` ids, half of them of either class, with at most ``max_fit_chars`` characters, half of them for either class,
+taken in order of a hash of the id; whole texts, one for each id. Scores are made for every row and the whole text.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A featurizer takes a text and gives arrays of hashed n-grams (uint32), repeats included.
@@ -55,13 +55,13 @@ class Distinct:
 
 
 def indicators(featurizer: Featurizer, bits: int):
-    """The function for ``mapInPandas`` that turns (doc_id, text, label) into (label, sorted distinct buckets)."""
+    """The function for ``mapInPandas`` that turns (doc_id, text, label, hash) into (doc_id, label, characters, hash, sorted distinct buckets)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         distinct = Distinct(bits)
         for b in batches:
             out = [np.sort(distinct(featurizer(t or ""))).astype(np.int32).tobytes() for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"].astype("int32"), "grams": out})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"].astype("int32"), "chars": b["text"].str.len(), "hash": b["hash"], "grams": out})
 
     return run
 
@@ -126,7 +126,9 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float
     if not n1 or not n0:
         return Model(bits, np.zeros((2, size), np.float32), 0.0, 1.0, float(np.log((n1 + 1) / (n0 + 1))) if len(y) else 0.0)
     cost = np.where(y > 0, c * len(y) / (2 * n1), c * len(y) / (2 * n0))
-    fold = np.arange(len(y)) % 3  # the curve from margin to score is fitted on margins of rows that were left out
+    fold = np.empty(len(y), int)  # the curve from margin to score is fitted on margins of rows that were left out
+    for k in (-1, 1):
+        fold[y == k] = np.arange((y == k).sum()) % 3
     held = np.zeros(len(y))
 
     def one(take: np.ndarray):
@@ -148,21 +150,27 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, label: str, featurizer: Featurizer, *, bits: int = 18, max_fit_rows: int = 6000,
+    docs: DataFrame, labels: DataFrame, label: str, featurizer: Featurizer, *, bits: int = 18, max_fit_rows: int = 6000, max_fit_chars: int = 1 << 25,
     alpha: float = 1.0, min_df: int = 3, c: float = 1.0, epochs: int = 20, seed: int = 7,
 ) -> Model:
     """Learns ``label`` (0/1) from ``docs`` (doc_id, text) joined with ``labels`` (doc_id, ``label``).
 
     Of the labelled rows at most ``max_fit_rows / 2`` of each class take part: those with the smallest hash of
-    the id. So the join's small side has a proven bound, and so has the one task that fits. Rows without a
-    label, or with a null id, are not learned from; a null text counts as empty; repeated label rows with
-    different labels are both learned from.
+    the id; of rows that share an id, the one with the smallest hash of its text. Each class's rows are taken in that
+    order as long as their texts have ``max_fit_chars / 2`` characters at most together; one that has more than an
+    eighth of that on its own is passed over. So the join's small side has a proven bound, and so has the one
+    task that fits. Rows without a label, or with a null id, are not learned from; a null text counts as empty; an id that is
+    labelled both ways is learned from both ways.
     """
     good = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").distinct()
     order = [F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.col("doc_id")]
     part = [good.where(F.col("label") == k).orderBy(*order).limit(max_fit_rows // 2) for k in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(part[0].unionByName(part[1])), "doc_id")
-    grams = sample.mapInPandas(indicators(featurizer, bits), "doc_id long, label int, grams binary")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    short = docs.select("doc_id", text.alias("text")).join(F.broadcast(part[0].unionByName(part[1])), "doc_id").where(F.length("text") <= max_fit_chars // 16)
+    grams = short.withColumn("hash", F.xxhash64("text")).mapInPandas(indicators(featurizer, bits), "doc_id long, label int, chars long, hash long, grams binary")
+    one = grams.groupBy("doc_id", "label").agg(F.min_by(F.struct("chars", "grams"), "hash").alias("row")).select("doc_id", "label", "row.*")
+    upto = F.sum("chars").over(Window.partitionBy("label").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sample = one.withColumn("upto", upto).where(F.col("upto") <= max_fit_chars // 2).select("doc_id", "label", "grams")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "label", "grams"])
@@ -170,7 +178,7 @@ def fit(
         m = fit_rows(rows, pdf["label"].to_numpy(), bits, alpha, min_df, c, epochs, seed)
         return pd.DataFrame({"weights": [np.ascontiguousarray(m.weights).tobytes()], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
 
-    got = grams.groupBy(F.lit(0).alias("one")).applyInPandas(solve, "weights binary, bias double, slope double, shift double").collect()
+    got = sample.groupBy(F.lit(0).alias("one")).applyInPandas(solve, "weights binary, bias double, slope double, shift double").collect()
     if not got:  # no labelled rows
         return Model(bits, np.zeros((2, 1 << bits), np.float32), 0.0, 1.0, 0.0)
     w = np.frombuffer(got[0]["weights"], np.float32).reshape(2, -1)

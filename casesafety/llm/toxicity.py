@@ -1,7 +1,7 @@
 """Toxicity: linear classifier over character 3- to 5-grams scaled by naive Bayes log-count ratios.
 
 Texts are lower-cased; empty or null texts have no n-grams and get the bias's score; rows that repeat are
-scored each; extra columns are ignored.
+scored each; the fit's sample is bounded in rows and characters (``nbsvm.fit``); extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from casesafety.llm import components, decontaminate, licenses, mixing, nbsvm, quality, queries, simhash, tokens, toxicity
+from casesafety.llm import components, decontaminate, features, licenses, mixing, nbsvm, quality, queries, simhash, tokens, toxicity
 
 ODD = [(1, None, None), (2, "", "a"), (3, " \n\t", "a"), (4, "one", "b"), (4, "one", "b"), (5, "é " * 30000, "b"), (6, "One", None), (None, "no id", "a")]
 
@@ -141,8 +142,10 @@ def test_near_duplicates_of_a_table(spark, sf_dir):
 def test_near_duplicates_of_odd_rows(spark):
     got = sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(documents(spark, ODD[:-1])).collect())
     assert got == [(1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 5), (6, 4)]
-    docs = documents(spark, ODD[:-1])
-    assert sorted(r["doc_id"] for r in simhash.keep_first(docs, simhash.near_duplicates(docs)).collect()) == [1, 4, 5]
+    docs = documents(spark, ODD).withColumns({"times": F.lit("x"), "row": F.lit("x"), "hash": F.lit("x"), "root": F.lit("x")})
+    kept = simhash.keep_first(docs, simhash.near_duplicates(docs))
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "no id"), (1, None), (4, "one"), (5, "é " * 30000)]
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
@@ -198,13 +201,20 @@ def test_contained_items_match_the_plain_version(spark, monkeypatch):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("x"))
     want = plain_contained(docs, items)
     assert want and sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(d, i).collect()) == want
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)  # several blocks
-    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(d, i).collect()) == want
+    left = sorted(k for k, _ in docs if k not in {x for x, _ in want})
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminated(d, i).collect()) == left
+    shares = sorted((r["doc_id"], r["item_id"], r["containment"]) for r in decontaminate.contained_items(d, i).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)  # too large to be broadcast
+    for bits in (1 << 26, 1 << 6):  # the map of bits may be as full as it likes
+        monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+        assert sorted((r["doc_id"], r["item_id"], r["containment"]) for r in decontaminate.contained_items(d, i).collect()) == shares
     clean = decontaminate.decontaminated(d, i)
-    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(k for k, _ in docs if k not in {x for x, _ in want})
+    assert sorted(r["doc_id"] for r in clean.collect()) == left and clean.columns == d.columns
 
 
-def test_decontamination_of_odd_rows(spark):
+@pytest.mark.parametrize("words", [decontaminate.BLOCK_WORDS, 0])
+def test_decontamination_of_odd_rows(spark, monkeypatch, words):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
     items = spark.createDataFrame([(1, "one"), (1, "one")], "item_id long, text string")
     docs = documents(spark, ODD)
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs, items).collect()) == [(4, 1)] * 4 + [(6, 1)] * 2
@@ -212,7 +222,18 @@ def test_decontamination_of_odd_rows(spark):
     assert decontaminate.contained_items(documents(spark, []), items).count() == 0
 
 
-def test_items_without_an_id_count(spark):
+def test_one_very_long_item(spark):
+    """An item of 600,000 words is more than is broadcast; it is found in a longer document, and in no other."""
+    item = " ".join(f"w{k}" for k in range(600_000))
+    items = spark.createDataFrame([(1, item), (2, "a short item of six words"), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, item[: len(item) // 2]), (3, "here is A Short item of six words in text"), (None, "clean text of a document")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs, items).collect()) == [(1, 1), (3, 2)]
+    assert [r["doc_id"] for r in decontaminate.decontaminated(docs, items).collect()] in ([2, None], [None, 2])
+
+
+@pytest.mark.parametrize("words", [decontaminate.BLOCK_WORDS, 0])
+def test_items_without_an_id_count(spark, monkeypatch, words):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
     items = spark.createDataFrame([(None, "one"), (None, "no id"), (1, "absent")], "item_id long, text string")
     docs = documents(spark, ODD)
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs, items).collect()}
@@ -222,13 +243,17 @@ def test_items_without_an_id_count(spark):
 
 # Classifiers.
 def test_held_out_accuracy(spark):
+    """On rows that were not learned from, both find most of their class and are far better than always answering the same."""
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    good = [r for r in queries.op8_quality(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
-    assert np.mean([r["predicted"] == labels[r["doc_id"]]["quality"] for r in good]) >= 0.97
-    tox = [r for r in queries.op10_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
-    assert np.mean([r["predicted"] == labels[r["doc_id"]]["toxic"] for r in tox]) >= 0.9
-    assert all(0 <= r["score"] <= 1 for r in good + tox)
+    for query, label, least_recall, least_precision in ((queries.op8_quality, "quality", 0.95, 0.95), (queries.op10_toxicity, "toxic", 0.65, 0.7)):
+        rows = [(r["predicted"], labels[r["doc_id"]][label], r["score"]) for r in query(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
+        hit = sum(p and y for p, y, _ in rows)
+        recall, precision = hit / sum(y for _, y, _ in rows), hit / max(1, sum(p for p, _, _ in rows))
+        constant = max(np.mean([y for _, y, _ in rows]), 1 - np.mean([y for _, y, _ in rows]))
+        accuracy = np.mean([p == y for p, y, _ in rows])
+        assert recall >= least_recall and precision >= least_precision, (label, recall, precision)
+        assert 1 - accuracy <= 0.6 * (1 - constant) and all(0 <= s <= 1 for _, _, s in rows), (label, accuracy, constant)
 
 
 def test_classifiers_on_odd_rows(spark):
@@ -265,6 +290,106 @@ def test_distinct_keeps_each_bucket_once():
     assert len(d([])) == 0
 
 
+def plain_char_grams(text):
+    t = f" {text.lower()} "
+    return {t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)} if text else set()
+
+
+def plain_shape_grams(text):
+    def shape(words, i):
+        w = words[i]
+        upper, letter = (lambda c: c.isupper()), (lambda c: c.isalpha())
+        last = w[-1]
+        kind = "letter" if letter(last) else "digit" if last.isdigit() else last
+        return (kind, upper(w[0]), len(w) > 1 and upper(w[1]), len(w) == 1, i > 0 and w == words[i - 1])
+
+    words = text.split()
+    shapes = [shape(words, i) for i in range(len(words))]
+    return {text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)} | {tuple(shapes[i : i + n]) for n in (1, 2, 3) for i in range(len(shapes) - n + 1)}
+
+
+@pytest.mark.parametrize(("plain", "featurizer"), [(plain_char_grams, features.lower_char_ngrams), (plain_shape_grams, features.shape_and_char_ngrams)])
+def test_features_are_those_of_the_plain_version(plain, featurizer):
+    texts = ["Hello hello world, 42!", "", "a", "Ab  AB ab. Ab ab.", "one two one two one two", "Straße ÉTÉ été 3rd (x)"]
+    seen = {}
+    for t in texts:
+        mine = {int(h) for a in featurizer(t) for h in a}
+        assert len(mine) == len(plain(t))
+        seen[t] = mine
+    for a in texts:  # two texts share as many hashes as they share n-grams
+        for b in texts:
+            assert len(seen[a] & seen[b]) == len(plain(a) & plain(b))
+
+
+def plain_scores(docs, labels, plain, alpha, min_df, c):
+    """Naive Bayes ratios, the same hinge-loss problem solved by another method (projected coordinate steps on a dense kernel until still), and the curve through left-out margins."""
+    rows = sorted((d, y, plain(t or "")) for d, t in docs for i, y in labels if i == d)
+    rows = [(y, g) for _, y, g in rows]
+    n1 = sum(y for y, _ in rows)
+    cost = [c * len(rows) / (2 * (n1 if y else len(rows) - n1)) for y, _ in rows]
+
+    def solved(part):
+        p, q = Counter(), Counter()
+        for k in part:
+            (p if rows[k][0] else q).update(rows[k][1])
+        every = {g for k in part for g in rows[k][1] if p[g] + q[g] >= min_df}
+        size = 1 << BITS
+        sp, sq = sum(p.values()) + alpha * size, sum(q.values()) + alpha * size
+        r = {g: math.log((p[g] + alpha) / sp) - math.log((q[g] + alpha) / sq) for g in every}
+        unit = lambda gs: {g: r[g] / z for g in gs if g in r} if (z := max(1e-9, math.sqrt(sum(r.get(g, 0) ** 2 for g in gs)))) else {}
+        x = [unit(rows[k][1]) for k in part]
+        y = np.array([1.0 if rows[k][0] else -1.0 for k in part])
+        kernel = np.array([[sum(v * b.get(g, 0) for g, v in a.items()) + 1 for b in x] for a in x]) * np.outer(y, y)
+        a, top = np.zeros(len(part)), np.array([cost[k] for k in part])
+        for _ in range(20000):
+            for i in range(len(part)):
+                a[i] = min(max(a[i] - (kernel[i] @ a - 1) / kernel[i, i], 0), top[i])
+            grad = kernel @ a - 1
+            if np.abs(a - np.clip(a - grad, 0, top)).max() < 1e-7:
+                break
+        return lambda gs: sum(a[i] * y[i] * (sum(v * x[i].get(g, 0) for g, v in unit(gs).items()) + 1) for i in range(len(part)))
+
+    held, fold = [0.0] * len(rows), [sum(z == y for z, _ in rows[:i]) % 3 for i, (y, _) in enumerate(rows)]
+    for k in range(3):
+        f = solved([i for i in range(len(rows)) if fold[i] != k])
+        for i in range(len(rows)):
+            if fold[i] == k:
+                held[i] = f(rows[i][1])
+    f = solved(list(range(len(rows))))
+    slope, shift = nbsvm.logistic_fit(np.array(held), np.array([1.0 if y else -1.0 for y, _ in rows]))
+    return {d: 1 / (1 + math.exp(-(slope * f(plain(t or "")) + shift))) for d, t in docs}
+
+
+BITS = 18
+
+
+@pytest.mark.parametrize(("label", "plain", "featurizer"), [("quality", plain_shape_grams, features.shape_and_char_ngrams), ("toxic", plain_char_grams, features.lower_char_ngrams)])
+def test_classifiers_match_the_plain_version(spark, label, plain, featurizer):
+    rng = random.Random(8)
+    good, bad = "calm kind warm mild fair nice".split(), "vile foul rude mean Nasty! CRUEL!".split()
+    docs = [(k, " ".join(rng.choices(bad if k % 3 == 0 else good, k=rng.randrange(3, 9)) + rng.choices(good + bad, k=2))) for k in range(36)] + [(40, ""), (41, None), (42, "mild foul words")]
+    labels = [(k, int(k % 3 == 0)) for k in range(36)]
+    d = spark.createDataFrame(docs + docs[:5] * 3, "doc_id long, text string")  # rows that repeat are one row of the fit
+    model = nbsvm.fit(d, spark.createDataFrame(labels, f"doc_id long, {label} int"), label, featurizer, bits=BITS, min_df=2, epochs=4000)
+    got = {r["doc_id"]: r["score"] for r in nbsvm.scores(d, model, featurizer).collect()}
+    assert got == pytest.approx(plain_scores(docs, labels, plain, 1.0, 2, 1.0), abs=0.02)
+
+
+@pytest.mark.parametrize(("bounds", "rows"), [({}, 41), ({"max_fit_rows": 10}, 10), ({"max_fit_chars": 640}, 20)])
+def test_fit_sample_is_bounded(spark, monkeypatch, bounds, rows):
+    docs = [(1, "same words " * 5)] * 50 + [(1, "other text")] + [(k, f"text {k:02} " * 4) for k in range(2, 40)] + [(99, "long " * 5000)]
+    labels = [(k, k % 2) for k in range(1, 40)] + [(99, 1), (1, 0)]
+
+    def spy(found, *_):
+        raise RuntimeError(f"fitted on {len(found)} rows")
+
+    monkeypatch.setattr(nbsvm, "fit_rows", spy)
+    with pytest.raises(Exception, match="fitted on") as e:
+        nbsvm.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic", features.lower_char_ngrams, **bounds)
+    n = int(re.search(r"fitted on (\d+) rows", str(e.value))[1])
+    assert n <= rows and (bounds or n == rows)
+
+
 # Token counts.
 def greedy(word, pieces):
     n = at = 0
