@@ -10,9 +10,14 @@ def round_half_even(c: Column, places: int) -> Column:
     return F.bround(c, places)
 
 
+#: A number as people write it: no hexadecimal digits, no suffix for a type.
+NUMBER = r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(nan|inf|infinity)$"
+
+
 def rating(c: Column) -> Column:
-    """A cell as a double; null if it is missing or isn't a number."""
-    return c.cast("string").try_cast("double")
+    """A cell as a double; null if it is missing or isn't a number ('2d' and '0x1p0' are none)."""
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def count_or_none(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -29,8 +29,8 @@ def with_terms(df: DataFrame, text_col: str, low: int = 1, high: int = 2) -> Dat
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, low: int = 1, high: int = 2) -> DataFrame:
-    """(id, term, tf) counted within each row's text."""
-    words = df.select(id_col, tokens(F.col(text_col)).alias("words"))
+    """(id, term, tf) counted within each id's text. Texts, not terms, are dealt out by id, and what groups by it again needs no further shuffle."""
+    words = df.select(id_col, text_col).repartition(id_col).select(id_col, tokens(F.col(text_col)).alias("words"))
     return words.select(id_col, F.explode(ngrams(F.col("words"), low, high)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
@@ -38,14 +38,12 @@ def vocabulary(counts: DataFrame, min_df: int = 2, max_features: int = 30000) ->
     """(term, df, tf, idx): the ``max_features`` most frequent terms that at least ``min_df`` rows have; ties go by term, idx is its place by term."""
     per = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= min_df)
     top = per.orderBy(F.desc("tf"), "term").limit(max_features)
-    terms = F.array_sort(F.collect_list("term"))  # a bounded list
-    place = top.agg(terms.alias("terms")).select(F.posexplode("terms").alias("idx", "term"))
-    return top.join(F.broadcast(place), "term").select("term", "df", "tf", "idx")
+    return top.select("term", "df", "tf", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"))  # over a bounded list
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, n_rows: int, id_col: str) -> DataFrame:
     """(id, idx, value): tf * (ln((1 + n) / (1 + df)) + 1), rows of length 1."""
     idf = F.log((F.lit(1.0) + n_rows) / (F.lit(1.0) + F.col("df"))) + 1.0
     raw = counts.join(F.broadcast(vocab.select("term", "idx", "df")), "term").select(id_col, "idx", (F.col("tf") * idf).alias("value"))
-    norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    return raw.join(norm, id_col).select(id_col, "idx", (F.col("value") / F.col("norm")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(id_col)))
+    return raw.select(id_col, "idx", (F.col("value") / norm).alias("value"))

@@ -1,37 +1,47 @@
 """Paired cluster bootstrap of a mean score difference.
 
 A replicate draws as many clusters as there are, with replacement, and takes the mean over the drawn rows. Sums and
-counts of each cluster suffice for that. Draws come from a hash of (seed, replicate, slot), so the interval is the
-same for any partitioning.
+counts of each cluster suffice for that. A draw is a number of 32 bits made of (seed, replicate, slot): two keys of 32 bits
+each from a digest of seed and replicate, mixed with the slot by two different one-to-one functions and added up. So
+the interval is the same for any partitioning, replicates of different seeds have nothing in common, and draws within a
+replicate repeat as chance has it.
+
+Up to ``BROADCAST_CLUSTERS`` clusters (two numbers each) go to every task, which draws whole replicates as arrays; more are
+numbered in a distributed sort and joined to the draws. Both give the same replicates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Clusters that are broadcast to the draws at most; beyond that the draws are joined by shuffle.
+#: Clusters that are broadcast to the draws at most.
 BROADCAST_CLUSTERS = 1_000_000
-#: Slots of a replicate that are laid out at a time.
-SLOTS = 4096
-#: Multipliers of a 32-bit mixing function and of the slots; below 2^31 and 2^32, so that no product leaves 64 bits. Fixed values.
-MIX, SPREAD, MASK = (569420461, 1935289751), 2654435769, 4294967295
+#: Slots of a replicate that are laid out at a time; clusters that are weighed at a time.
+SLOTS, CHUNK = 4096, 128
+#: Multipliers of a 32-bit mixing function and of the slots for either key; below 2^31 and 2^32, so that no product leaves 64 bits. Fixed values.
+MIX, SPREAD, MASK = (569420461, 1935289751), (2654435769, 2246822519), 4294967295
+#: A Poisson(1) weight is the number of these that a number of 32 bits reaches.
+POISSON = tuple(int(2**32 * sum(exp(-1) / factorial(i) for i in range(k + 1))) for k in range(12))
 
 
-def drop_incomplete(pairs: DataFrame, cluster: str = "anchor_id") -> DataFrame:
+def drop_incomplete(pairs: DataFrame, cluster: str = "anchor_id", score_a: str = "score_a", score_b: str = "score_b") -> DataFrame:
     """Rows with both scores (null and NaN count as missing) and a cluster."""
     there = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
-    return pairs.where(there("score_a") & there("score_b") & F.col(cluster).isNotNull())
+    return pairs.where(there(score_a) & there(score_b) & F.col(cluster).isNotNull())
 
 
-def cluster_stats(pairs: DataFrame, cluster: str = "anchor_id", by: tuple[str, ...] = ()) -> DataFrame:
+def cluster_stats(pairs: DataFrame, cluster: str = "anchor_id", by: tuple[str, ...] = (), score_a: str = "score_a", score_b: str = "score_b") -> DataFrame:
     """(by, cluster, s, n): the sum of differences and the rows of each cluster."""
-    d = F.col("score_a") - F.col("score_b")
-    return drop_incomplete(pairs, cluster).groupBy(*by, F.col(cluster).alias("cluster")).agg(F.sum(d).alias("s"), F.count("*").alias("n"))
+    d = F.col(score_a) - F.col(score_b)
+    return drop_incomplete(pairs, cluster, score_a, score_b).groupBy(*by, F.col(cluster).alias("cluster")).agg(F.sum(d).alias("s"), F.count("*").alias("n"))
 
 
 def require_clusters(stats: DataFrame, least: int = 2) -> int:
@@ -54,21 +64,101 @@ def _mixed(x):
     return x.bitwiseXOR(F.shiftright(x, 15))
 
 
-def resample(stats: DataFrame, n_boot: int = 5000, seed: int = 2026, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, b, diff): every replicate's mean difference. Groups of ``by`` with fewer than two clusters are left out."""
-    order = Window.partitionBy(*by).orderBy("cluster") if by else Window.partitionBy(F.lit(0)).orderBy("cluster")
-    numbered = stats.withColumn("k", F.row_number().over(order) - 1)
+def _mixed_array(x: np.ndarray) -> np.ndarray:
+    for shift, by in zip((16, 15), MIX, strict=True):
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(by)) & np.uint64(MASK)
+    return x ^ (x >> np.uint64(15))
+
+
+def _keys(text: Column) -> tuple[Column, Column]:
+    """Two keys of 32 bits from a digest."""
+    return tuple(F.conv(F.substring(F.md5(text), at, 8), 16, 10).cast("long") for at in (1, 9))
+
+
+def _numbers(keys: tuple, slot: Column) -> Column:
+    """A number of 32 bits for each slot."""
+    one, two = (_mixed(k.bitwiseXOR((slot * by).bitwiseAND(F.lit(MASK)))) for k, by in zip(keys, SPREAD, strict=True))
+    return (one + two).bitwiseAND(F.lit(MASK))
+
+
+def _number_array(keys: tuple, slots: np.ndarray) -> np.ndarray:
+    one, two = (_mixed_array(k ^ ((slots * np.uint64(by)) & np.uint64(MASK))) for k, by in zip(keys, SPREAD, strict=True))
+    return (one + two) & np.uint64(MASK)
+
+
+def _numbered(stats: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``stats`` with each cluster's number k within its group, in order; sorted in ranges, so that no task has all clusters."""
+    ranges = stats.orderBy(*by, "cluster").persist(StorageLevel.DISK_ONLY).select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    sizes = dict(ranges.groupBy("range").agg((F.max("at") + 1).alias("size")).collect())  # a number for each range
+    starts, total = {}, 0
+    for k in sorted(sizes):
+        starts[k], total = total, total + sizes[k]
+    start = stats.sparkSession.createDataFrame(list(starts.items()), "range int, start long")
+    placed = ranges.join(F.broadcast(start), "range").withColumn("place", F.col("start") + F.col("at")).drop("range", "at", "start")
+    if not by:
+        return placed.withColumnRenamed("place", "k")
+    return placed.join(placed.groupBy(*by).agg(F.min("place").alias("first")), list(by)).withColumn("k", F.col("place") - F.col("first")).drop("place", "first")
+
+
+def _held(stats: DataFrame, by: tuple[str, ...]) -> DataFrame | None:
+    """The statistics as a local table in order, if there are few enough clusters."""
+    rows = stats.limit(BROADCAST_CLUSTERS + 1).toArrow()
+    if rows.num_rows > BROADCAST_CLUSTERS:
+        return None
+    rows = rows.sort_by([(c, "ascending") for c in (*by, "cluster")])
+    return stats.sparkSession.createDataFrame(rows)
+
+
+def _drawn_in_arrays(held: DataFrame, n_boot: int, seed: int, by: tuple[str, ...]) -> DataFrame:
+    local = held.toArrow().to_pandas()
+    s, n = local["s"].to_numpy(np.float64), local["n"].to_numpy(np.float64)
+    groups = local.groupby(list(by), dropna=False, sort=False).indices if by else {(): np.arange(len(local))}
+    spans = [np.sort(at) for at in groups.values() if len(at) > 1]
+    spark = held.sparkSession
+    kept = spark.sparkContext.broadcast((s, n, spans))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, n, spans = kept.value
+        for b in batches:
+            out = []
+            for group, one, two in zip(b["group"], b["one"], b["two"], strict=True):
+                at = spans[group]
+                k = at[(_number_array((np.uint64(one), np.uint64(two)), np.arange(len(at), dtype=np.uint64)) * np.uint64(len(at)) >> np.uint64(32)).astype(np.int64)]
+                out.append((s[k].sum(), n[k].sum()))
+            yield pd.DataFrame({"group": b["group"], "b": b["b"], "s": [x for x, _ in out], "n": [int(x) for _, x in out]})
+
+    key = _keys(F.concat(F.lit(f"{seed}|"), F.col("b").cast("string")))
+    asked = spark.range(n_boot * len(spans)).select((F.col("id") % n_boot).cast("int").alias("b"), F.floor(F.col("id") / n_boot).cast("int").alias("group")).withColumns({"one": key[0], "two": key[1]})
+    drawn = asked.mapInPandas(draw, "group int, b int, s double, n long")
+    if not by:
+        return drawn.drop("group")
+    groups_of = local.iloc[[int(at[0]) for at in spans]][list(by)].assign(group=range(len(spans)))
+    labels = spark.createDataFrame(list(groups_of.itertuples(index=False, name=None)), T.StructType([*held.select(*by).schema.fields, T.StructField("group", T.IntegerType())]))
+    return drawn.join(F.broadcast(labels), "group").select(*by, "b", "s", "n")
+
+
+def _drawn_by_join(stats: DataFrame, n_boot: int, seed: int, by: tuple[str, ...]) -> DataFrame:
+    numbered = _numbered(stats, by)
     sizes = numbered.groupBy(*by).agg(F.count("*").alias("clusters")).where("clusters > 1")
     # A row for each replicate and slot; the replicates of a group are spread before its slots are laid out, a block at a time.
     replicates = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(*by, "b")
-    seeded = replicates.withColumn("h", _mixed(F.col("b").cast("long") + seed))
-    blocks = seeded.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("clusters") - 1, F.lit(SLOTS).cast("long"))))
+    key = _keys(F.concat(F.lit(f"{seed}|"), F.col("b").cast("string")))
+    blocks = replicates.withColumns({"one": key[0], "two": key[1]}).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("clusters") - 1, F.lit(SLOTS).cast("long"))))
     slots = blocks.withColumn("j", F.explode(F.sequence("from", F.least(F.col("from") + SLOTS, "clusters") - 1)))
-    draw = _mixed(F.col("h").bitwiseXOR((F.col("j") * SPREAD).bitwiseAND(F.lit(MASK))))
-    drawn = slots.select(*by, "b", F.shiftright(draw * F.col("clusters"), 32).cast("int").alias("k"))
-    side = numbered.select(*by, "k", "s", "n")
-    side = F.broadcast(side) if side.count() <= BROADCAST_CLUSTERS else side
-    return drawn.join(side, [*by, "k"]).groupBy(*by, "b").agg((F.sum("s") / F.sum("n")).alias("diff"))
+    draw = _numbers((F.col("one"), F.col("two")), F.col("j"))
+    drawn = slots.select(*by, "b", F.shiftright(draw * F.col("clusters"), 32).alias("k"))
+    return drawn.join(numbered.select(*by, "k", "s", "n"), [*by, "k"]).groupBy(*by, "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def resampled_sums(stats: DataFrame, n_boot: int = 5000, seed: int = 2026, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, b, s, n): every replicate's sums. Groups of ``by`` with fewer than two clusters are left out."""
+    held = _held(stats, by)
+    return _drawn_by_join(stats, n_boot, seed, by) if held is None else _drawn_in_arrays(held, n_boot, seed, by)
+
+
+def resample(stats: DataFrame, n_boot: int = 5000, seed: int = 2026, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, b, diff): every replicate's mean difference. Groups of ``by`` with fewer than two clusters are left out."""
+    return resampled_sums(stats, n_boot, seed, by).select(*by, "b", (F.col("s") / F.col("n")).alias("diff"))
 
 
 def percentile_ci(diffs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -76,36 +166,45 @@ def percentile_ci(diffs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return diffs.groupBy(*by).agg(F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(*by, F.col("q")[0].alias("ci_2_5"), F.col("q")[1].alias("ci_97_5"))
 
 
-def paired_cluster_bootstrap(pairs: DataFrame, cluster: str = "anchor_id", n_boot: int = 5000, seed: int = 2026) -> DataFrame:
+def paired_cluster_bootstrap(pairs: DataFrame, cluster: str = "anchor_id", n_boot: int = 5000, seed: int = 2026, score_a: str = "score_a", score_b: str = "score_b") -> DataFrame:
     """(mean_difference, ci_2_5, ci_97_5), one row; an error if there are fewer than two clusters."""
-    stats = cluster_stats(pairs, cluster).persist()
+    stats = cluster_stats(pairs, cluster, (), score_a, score_b)
+    held = _held(stats, ())
+    stats = stats if held is None else held
     require_clusters(stats)
     return mean_difference(stats).join(percentile_ci(resample(stats, n_boot, seed)))
 
 
-def bootstrap_by_group(pairs: DataFrame, by: tuple[str, ...], cluster: str = "anchor_id", n_boot: int = 5000, seed: int = 2026) -> DataFrame:
-    """(by, mean_difference, ci_2_5, ci_97_5) of each group with two or more clusters, all in one job."""
-    stats = cluster_stats(pairs, cluster, by)
+def bootstrap_by_group(pairs: DataFrame, by: tuple[str, ...], cluster: str = "anchor_id", n_boot: int = 5000, seed: int = 2026, score_a: str = "score_a", score_b: str = "score_b") -> DataFrame:
+    """(by, mean_difference, ci_2_5, ci_97_5) of each group with two or more clusters, all in one job. Groups with a null in ``by`` are left out."""
+    stats = cluster_stats(pairs.dropna(subset=list(by)), cluster, by, score_a, score_b)
+    held = _held(stats, by)
+    stats = stats if held is None else held
     return mean_difference(stats, by).join(percentile_ci(resample(stats, n_boot, seed, by), by), list(by))
 
 
-def poisson_bootstrap(pairs: DataFrame, cluster: str = "anchor_id", n_boot: int = 5000, seed: int = 2026) -> DataFrame:
+def poisson_bootstrap(pairs: DataFrame, cluster: str = "anchor_id", n_boot: int = 5000, seed: int = 2026, score_a: str = "score_a", score_b: str = "score_b") -> DataFrame:
     """An approximation for very many clusters: each cluster has a Poisson(1) weight in each replicate. (mean_difference, ci_2_5, ci_97_5).
 
-    Weights are seeded by the cluster's key, so they don't depend on the partitioning; replicates without any row are dropped.
+    Weights are numbers of 32 bits made of (seed, cluster, replicate), so they don't depend on the partitioning; replicates without any row are dropped.
     """
-    stats = cluster_stats(pairs, cluster)
+    stats = cluster_stats(pairs, cluster, (), score_a, score_b)
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, n = np.zeros(n_boot), np.zeros(n_boot)
+        sums, slots = np.zeros((n_boot, 2)), np.arange(n_boot, dtype=np.uint64)
         for pdf in batches:
-            for key, cs, cn in zip(pdf["key"], pdf["s"], pdf["n"], strict=True):
-                w = np.random.Generator(np.random.Philox(key=[seed, key])).poisson(1.0, n_boot)
-                s += w * cs
-                n += w * cn
-        yield pd.DataFrame({"b": np.arange(n_boot, dtype=np.int32), "s": s, "n": n})
-
-    keyed = stats.select(F.xxhash64("cluster").bitwiseAND(F.lit((1 << 63) - 1)).alias("key"), "s", F.col("n").cast("double"))
+            for k in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[k : k + CHUNK]
+                keys = (part["one"].to_numpy(np.uint64)[:, None], part["two"].to_numpy(np.uint64)[:, None])
+                u = _number_array(keys, slots[None, :]).astype(np.uint32)
+                w = np.zeros(u.shape, np.uint8)
+                for t in POISSON:
+                    w += u >= np.uint32(min(t, MASK))
+                sums += w.T.astype(np.float64) @ part[["s", "n"]].to_numpy(np.float64)
+        yield pd.DataFrame({"b": np.arange(n_boot, dtype=np.int32), "s": sums[:, 0], "n": sums[:, 1]})
+
+    key = _keys(F.concat(F.lit(f"{seed}|"), F.col("cluster").cast("string")))
+    keyed = stats.select(key[0].alias("one"), key[1].alias("two"), "s", F.col("n").cast("double"))
     sums = keyed.mapInPandas(weigh, "b int, s double, n double").groupBy("b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     diffs = sums.where("n > 0").select("b", (F.col("s") / F.col("n")).alias("diff"))
     return mean_difference(stats).join(percentile_ci(diffs))

@@ -37,6 +37,15 @@ class SafetyClassifier:
         counted = self.words.transform(with_terms(df, text))
         return Normalizer(inputCol="weighted", outputCol="features", p=2.0).transform(self.idf.transform(counted)).drop("terms", "counts", "weighted")
 
+    def save(self, path: str) -> None:
+        """Writes the three fitted parts below ``path``, over what is there."""
+        for name, part in (("words", self.words), ("idf", self.idf), ("regression", self.model)):
+            part.write().overwrite().save(f"{path}/{name}")
+
+    @staticmethod
+    def load(path: str) -> SafetyClassifier:
+        return SafetyClassifier(CountVectorizerModel.load(f"{path}/words"), ElementwiseProduct.load(f"{path}/idf"), LogisticRegressionModel.load(f"{path}/regression"))
+
 
 def fit_safety_classifier(df: DataFrame, text: str = "text", label: str = "label", id_col: str = "response_id", min_df: int = 2, max_features: int = 30000, max_iter: int = 3000, tol: float = 1e-5) -> SafetyClassifier:
     """Fits on the labelled rows. Only the vocabulary, of at most ``max_features`` terms, passes through the driver."""
@@ -44,15 +53,18 @@ def fit_safety_classifier(df: DataFrame, text: str = "text", label: str = "label
     rows = df.where(F.col(label).isNotNull())
     terms = [r["term"] for r in vocabulary(term_counts(rows, id_col, text), min_df, max_features).orderBy("idx").select("term").collect()]
     words = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="counts")
-    counted = words.transform(with_terms(rows, text))
+    # Counted once, for the document frequencies and the fit; the weighted rows are small, so few partitions do.
+    counted = words.transform(with_terms(rows, text)).select(F.col(label).alias("label"), "counts").persist()
     smooth = IDF(inputCol="counts", outputCol="idf").fit(counted).idf.toArray() + 1.0
     idf = ElementwiseProduct(scalingVec=Vectors.dense(smooth), inputCol="counts", outputCol="weighted")
-    unfitted = SafetyClassifier(words, idf, None)
-    weighted = unfitted.features(rows, text).join(F.broadcast(class_weights(rows, label).withColumnRenamed("label", "class")), F.col(label) == F.col("class")).select(F.col(label).cast("double").alias("label"), "features", "weight").persist()
-    n = weighted.count()
+    scaled = Normalizer(inputCol="weighted", outputCol="features", p=2.0).transform(idf.transform(counted))
+    weighted = scaled.join(F.broadcast(class_weights(rows, label).withColumnRenamed("label", "class")), F.col("label") == F.col("class")).select(F.col("label").cast("double").alias("label"), "features", "weight")
+    n = counted.count()
+    weighted = weighted.coalesce(max(1, min(weighted.rdd.getNumPartitions(), n // 500))).persist()
     lr = LogisticRegression(maxIter=max_iter, tol=tol, weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0, standardization=False)
     model = lr.fit(weighted)
     weighted.unpersist()
+    counted.unpersist()
     return SafetyClassifier(words, idf, model)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..sources.cases import BLANK
+from ..sources.cases import BLANK, with_parsed
 
 
 def _found(condition: Column, rule: str, field: Column | str, message: str) -> Column:
@@ -23,7 +23,7 @@ def record_rules(strict: bool = True) -> list[Column]:
     missing = F.array_sort(F.array_except(F.array(*map(F.lit, schemas.REQUIRED)), F.col("keys")))
     rules = [_found(blank, "blank_line", "", "blank line")] if strict else []
     rules += [
-        _found(~blank & (F.col("v").isNull() | F.col("keys").isNull()), "malformed_json", "", "not a JSON object"),
+        _found(~blank & F.col("keys").isNull(), "malformed_json", "", "not a JSON object"),
         _found(F.size(missing) > 0, "missing_required", F.array_join(missing, ","), "required fields are missing"),
     ]
     rules += [_found(has(x) & ~F.coalesce(value(x).isin(*allowed), F.lit(False)), "bad_enum", x, "value not allowed") for x, allowed in schemas.ENUMS.items()]
@@ -42,8 +42,7 @@ def case_violations(lines: DataFrame, strict: bool = True) -> DataFrame:
 
     ``strict`` reports blank lines, which are skipped otherwise. Of a key given twice in a record the last counts.
     """
-    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    parsed = lines.select("path", "line_no", "line", F.try_parse_json("line").alias("v"), F.json_object_keys("line").alias("keys"))
+    parsed = with_parsed(lines.select("path", "line_no", "line"))
     broken = F.explode(F.filter(F.array(*record_rules(strict)), lambda r: r.isNotNull())).alias("r")
     return parsed.select("path", "line_no", F.try_variant_get("v", "$.case_id", "string").alias("case_id"), broken).select("path", "line_no", "case_id", "r.*")
 
@@ -51,3 +50,9 @@ def case_violations(lines: DataFrame, strict: bool = True) -> DataFrame:
 def first_violation(violations: DataFrame) -> DataFrame:
     """The violation of the smallest path and line (ties: rule, then field), as at most one row."""
     return violations.orderBy("path", "line_no", "rule", "field").limit(1)
+
+
+def require_valid(violations: DataFrame) -> None:
+    """An error that names shard, line, rule and field of the first violation, if there is one."""
+    for r in first_violation(violations).collect():  # one row at most
+        raise ValueError(f"{r['path']}:{r['line_no']}: {r['rule']} {r['field']} ({r['message']})")

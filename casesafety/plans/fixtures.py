@@ -39,7 +39,7 @@ FROM {documents}"""
 
 LINES = """
 SELECT 'shard' AS path, cast(doc_id AS int) AS line_no,
-  CASE WHEN doc_id % 10 = 1 THEN concat('{{"case_id":"D', cast(doc_id AS varchar(20)), '","source_type":"case_report_derived","variant":"base","vignette":"', substr(md5(text),1,12), '"}}')
+  CASE WHEN doc_id % 10 = 1 THEN concat('{{"case_id":"D', cast(doc_id AS varchar(20)), '","source_type":"case_report_derived","variant":"base","vignette":', json_string(text), '}}')
        WHEN doc_id % 10 = 2 THEN concat('{{"case_id":"D', cast(doc_id AS varchar(20)), '","source_type":"unknown","domain":"', source, '","variant":"counterfactul","vignette":"v"}}')
        WHEN doc_id % 10 = 3 THEN concat('{{"case_id":"","source_type":"case_report_derived","domain":"', source, '","variant":"base","vignette":""}}')
        WHEN doc_id % 10 = 4 THEN concat('{{"case_id":"D', cast(doc_id AS varchar(20)), '","source_type":"case_report_derived","domain":"', source, '","variant":"base","vignette":["x"],"reference_management":[123]}}')
@@ -47,18 +47,18 @@ SELECT 'shard' AS path, cast(doc_id AS int) AS line_no,
        WHEN doc_id % 70 = 6 THEN '  '
        WHEN doc_id % 70 = 16 THEN '[1, 2]'
        WHEN doc_id % 70 = 26 THEN '{{"case_id": '
-       ELSE concat('{{"case_id":"D', cast(doc_id AS varchar(20)), '","anchor_id":"A', cast(doc_id % 50 AS varchar(20)), '","source_type":"case_report_derived","domain":"', source, '","variant":"base","vignette":"', substr(md5(text),1,12), '","reference_management":["a","b"]}}') END AS line
+       ELSE concat('{{"case_id":"D', cast(doc_id AS varchar(20)), '","anchor_id":"A', cast(doc_id % 50 AS varchar(20)), '","source_type":"case_report_derived","domain":"', source, '","variant":"base","vignette":', json_string(text), ',"reference_management":["a","b"]}}') END AS line
 FROM {documents}"""
 
 RAW_PREDICTIONS = """
 SELECT concat('C', cast(o_orderkey AS varchar(20))) AS case_id, 'm0' AS model_id, 'r0' AS run_id,
-  CASE o_orderkey % 9 WHEN 0 THEN '-0.01' WHEN 1 THEN '2.01' WHEN 2 THEN 'NaN' WHEN 3 THEN '' WHEN 4 THEN '1.5' ELSE '2' END AS diagnostic_reasoning,
+  CASE o_orderkey % 9 WHEN 0 THEN '-0.01' WHEN 1 THEN '2.01' WHEN 2 THEN 'NaN' WHEN 3 THEN '' WHEN 4 THEN '1.5' WHEN 5 THEN '2d' WHEN 6 THEN ' 1e0 ' ELSE '2' END AS diagnostic_reasoning,
   '2' AS immediate_management, '1' AS disposition, '2' AS red_flags, '0' AS antibiotic_stewardship, CASE WHEN o_orderkey % 17 = 0 THEN 'good' ELSE '2' END AS uncertainty,
   CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '2' WHEN 2 THEN '-1' ELSE '2.0' END AS danger_minor,
   '' AS danger_moderate, CASE WHEN o_orderkey % 19 = 0 THEN 'x' ELSE '1' END AS danger_severe
 FROM {orders}"""
 
-RESPONSES = "SELECT d.doc_id AS response_id, d.text, l.toxic AS label FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"
+RESPONSES = "SELECT d.doc_id AS response_id, d.text, l.toxic AS label FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id"
 
 LEVELS = """
 SELECT o_orderkey AS id, split(CASE o_orderkey % 6 WHEN 0 THEN 'minor' WHEN 1 THEN 'moderate' WHEN 2 THEN 'minor,minor,moderate,severe' WHEN 3 THEN 'severe,severe,minor' WHEN 4 THEN 'grave' ELSE 'severe' END, ',') AS levels
@@ -72,11 +72,13 @@ FROM {customer}"""
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of ``sql`` over the tables in ``sf_dir`` that it names in braces."""
+    """The rows of ``sql`` over the tables in ``sf_dir`` that it names in braces; ``json_string`` is a text as JSON."""
     names = set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql))
+    sql = re.sub(r"json_string\((\w+)\)", r"regexp_replace(to_json(array(\1)), '^.|.$', '')", sql)
     return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 
 def duck(sql: str) -> str:
     """The same text for DuckDB, where the tables have their own names."""
+    sql = re.sub(r"json_string\((\w+)\)", r"CAST(to_json(\1) AS VARCHAR)", sql)
     return re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", sql).replace("{{", "{").replace("}}", "}")

@@ -76,7 +76,7 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     FROM ({LINES}) WHERE json_valid(line) AND json_type(line) = 'OBJECT'""",
 )
 def parse_cases(spark, d):
-    parsed = case_sources.parse_cases(lines(spark, d)).where("source_type is not null")
+    parsed = case_sources.parse_cases(lines(spark, d))
     return parsed.select("line_no", "case_id", "anchor_id", "source_type", "domain", "variant", "vignette", F.coalesce(F.array_join("reference_management", ","), F.lit("")).alias("reference_management"))
 
 
@@ -352,13 +352,21 @@ def _mixed(x: str) -> str:
     return f"xor({x}, {x} >> 15)"
 
 
+def _number(text: str, slot: str) -> str:
+    """A number of 32 bits of a digest's text and a slot."""
+    keys = [f"CAST('0x' || substr(md5({text}), {at}, 8) AS BIGINT)" for at in (1, 9)]
+    one, two = (_mixed(f"xor({k}, ({slot} * {by}) & {bootstrap.MASK})") for k, by in zip(keys, bootstrap.SPREAD, strict=True))
+    return f"(({one} + {two}) & {bootstrap.MASK})"
+
+
 def _draws(stats: str, by: str = "") -> str:
     key, part = (f"{by}, ", f"PARTITION BY {by}") if by else ("", "")
     same = f"AND d.{by} = c.{by}" if by else ""
+    one, two = (_mixed(f"xor({k}, (j * {by_}) & {bootstrap.MASK})") for k, by_ in zip(("one", "two"), bootstrap.SPREAD, strict=True))
     return f"""WITH c AS (SELECT *, row_number() OVER ({part} ORDER BY cluster) - 1 AS k, count(*) OVER ({part}) AS size FROM ({stats})),
-    h AS (SELECT {key}size, b, {_mixed("(2026 + b)")} AS h FROM (SELECT DISTINCT {key}size FROM c WHERE size > 1), (SELECT unnest(range({N_BOOT})) AS b)),
-    d AS (SELECT {key}b, ({_mixed(f"xor(h, (j * {bootstrap.SPREAD}) & {bootstrap.MASK})")} * size) >> 32 AS k FROM (SELECT *, unnest(range(size)) AS j FROM h))
-    SELECT {f"d.{by}, " if by else ""}b, sum(s) / sum(n) AS diff FROM d JOIN c ON d.k = c.k {same} GROUP BY ALL"""
+    h AS (SELECT {key}size, b, CAST('0x' || substr(md5('2026|' || b), 1, 8) AS BIGINT) AS one, CAST('0x' || substr(md5('2026|' || b), 9, 8) AS BIGINT) AS two FROM (SELECT DISTINCT {key}size FROM c WHERE size > 1), (SELECT unnest(range({N_BOOT})) AS b)),
+    d AS (SELECT {key}b, ((({one} + {two}) & {bootstrap.MASK}) * size) >> 32 AS k FROM (SELECT *, unnest(range(size)) AS j FROM h))
+    SELECT {f"d.{by}, " if by else ""}b, round(sum(s), 6) / sum(n) AS diff FROM d JOIN c ON d.k = c.k {same} GROUP BY ALL"""
 
 
 @query("cluster_stats", f"SELECT cluster, round(s, 6) + 0.0 AS s, n FROM ({_STATS})")
@@ -371,9 +379,11 @@ def mean_difference(spark, d):
     return rounded(bootstrap.mean_difference(bootstrap.cluster_stats(pairs(spark, d))), "mean_difference")
 
 
-@query("bootstrap_diffs", f"SELECT CAST(b AS INTEGER) AS b, round(diff, 6) AS diff FROM ({_draws(_STATS)})")
+@query("bootstrap_diffs", f"SELECT CAST(b AS INTEGER) AS b, round(diff, 6) + 0.0 AS diff FROM ({_draws(_STATS)})")
 def bootstrap_diffs(spark, d):
-    return rounded(bootstrap.resample(bootstrap.cluster_stats(pairs(spark, d)), N_BOOT), "diff")
+    """Sums are rounded before they are divided, so that the order of their addition doesn't show."""
+    sums = bootstrap.resampled_sums(bootstrap.cluster_stats(pairs(spark, d)), N_BOOT)
+    return rounded(sums.select("b", (F.round("s", 6) / F.col("n")).alias("diff")), "diff")
 
 
 @query("bootstrap_ci", f"SELECT (SELECT round(sum(s) / sum(n), 6) FROM ({_STATS})) AS mean_difference, round(quantile_cont(diff, 0.025), 6) AS ci_2_5, round(quantile_cont(diff, 0.975), 6) AS ci_97_5 FROM ({_draws(_STATS)})")
@@ -394,9 +404,14 @@ def bootstrap_by_group(spark, d):
     return rounded(bootstrap.bootstrap_by_group(of, ("domain",), n_boot=N_BOOT), "mean_difference", "ci_2_5", "ci_97_5")
 
 
-@query("poisson_bootstrap")
+_WEIGHT = " + ".join(f"CAST(u >= {t} AS INTEGER)" for t in bootstrap.POISSON)
+_WEIGHED = f"""WITH c AS ({_STATS}), u AS (SELECT s, n, b, {_number("'2026|' || cluster", "b")} AS u FROM c, (SELECT unnest(range({N_BOOT})) AS b)), w AS (SELECT s, n, b, {_WEIGHT} AS w FROM u)
+    SELECT b, sum(w * s) / sum(w * n) AS diff FROM w GROUP BY b HAVING sum(w * n) > 0"""
+
+
+@query("poisson_bootstrap", f"SELECT (SELECT round(sum(s) / sum(n), 6) FROM ({_STATS})) AS mean_difference, round(quantile_cont(diff, 0.025), 6) AS ci_2_5, round(quantile_cont(diff, 0.975), 6) AS ci_97_5 FROM ({_WEIGHED})")
 def poisson_bootstrap(spark, d):
-    return bootstrap.poisson_bootstrap(pairs(spark, d), n_boot=N_BOOT)
+    return rounded(bootstrap.poisson_bootstrap(pairs(spark, d), n_boot=N_BOOT), "mean_difference", "ci_2_5", "ci_97_5")
 
 
 # Text features and the classifier.
@@ -426,7 +441,7 @@ def tfidf(spark, d):
     return rounded(tx.tfidf(counts, tx.vocabulary(counts), rows.count(), "response_id"), "value")
 
 
-@query("class_weights", f"SELECT label, n, round(total / (classes * n), 6) AS weight FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total, count(*) OVER () AS classes FROM ({RESP}) GROUP BY label)")
+@query("class_weights", f"SELECT label, n, round(total / (classes * n), 6) AS weight FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total, count(*) OVER () AS classes FROM ({RESP}) WHERE label IS NOT NULL GROUP BY label)")
 def class_weights(spark, d):
     return rounded(classifier.class_weights(responses(spark, d)), "weight")
 
@@ -434,8 +449,8 @@ def class_weights(spark, d):
 @query("safety_predictions")
 def safety_predictions(spark, d):
     """Fitted on the labelled responses; every document is scored."""
-    every = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("response_id"), "text")
-    return classifier.predict_safety(classifier.fit_safety_classifier(responses(spark, d)), every)
+    every = responses(spark, d)
+    return classifier.predict_safety(classifier.fit_safety_classifier(every), every)
 
 
 # Reports.

@@ -1,4 +1,4 @@
-"""spark-submit jobs/train_classifier.py RESPONSES OUT_DIR: fits on the labelled responses (Parquet: response_id, text, label) and scores all."""
+"""spark-submit jobs/train_classifier.py RESPONSES OUT_DIR: fits on the labelled responses (Parquet: response_id, text, label) and scores all. The model is at OUT_DIR/model (``SafetyClassifier.load``)."""
 
 import sys
 
@@ -11,9 +11,7 @@ def main(path: str, out: str) -> None:
     spark = SparkSession.builder.appName("train_classifier").getOrCreate()
     responses = spark.read.parquet(path)
     fitted = classifier.fit_safety_classifier(responses)
-    fitted.words.write().overwrite().save(f"{out}/model/words")
-    fitted.idf.write().overwrite().save(f"{out}/model/idf")
-    fitted.model.write().overwrite().save(f"{out}/model/regression")
+    fitted.save(f"{out}/model")
     classifier.predict_safety(fitted, responses).write.parquet(f"{out}/predictions")
 
 

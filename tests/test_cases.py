@@ -58,6 +58,64 @@ def test_lines(spark, tmp_path):
         sources.assert_shards_exist(sources.read_case_lines(spark, str(tmp_path), "none-*.jsonl"))
 
 
+def test_line_numbers_run_over_splits(spark, tmp_path):
+    for name, n in (("cases-1.jsonl", 5000), ("cases-2.jsonl", 37), ("other.jsonl", 3)):
+        (tmp_path / name).write_bytes(b"".join(b"%d%s" % (k, b"\r\n" if k % 3 else b"\n") for k in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "999b")
+    try:
+        lines = sources.read_case_lines(spark, str(tmp_path))
+        got = lines.collect()
+        assert lines.rdd.getNumPartitions() > 4 and len(got) == 5037 and all(r["line"] == str(r["line_no"]) for r in got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_parsing_skips_or_raises(spark, tmp_path):
+    lines = sources.read_case_lines(spark, shards(tmp_path, [record(), "[1]", "", '{"case_id": ', record(case_id="CR2", domain="absent")]))
+    kept = sources.parse_cases(lines)
+    assert [(r["line_no"], r["case_id"]) for r in kept.orderBy("line_no").collect()] == [(1, "CR1-BASE"), (5, "CR2")]
+    assert integrity.control_violations(kept).count() == 0
+    for line, what in ((2, "2: not a JSON object"), (4, "4: not a JSON object"), (5, "5: missing fields: domain")):
+        with pytest.raises(Exception, match=what):
+            sources.parse_cases(lines.where(f"line_no = {line}"), on_error="raise").collect()
+    assert sources.parse_cases(lines.where("line_no = 1"), on_error="raise").count() == 1
+
+
+def test_duplicate_keys_do_not_depend_on_the_session(spark, tmp_path):
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    found = validation.case_violations(sources.read_case_lines(spark, shards(tmp_path, ['{"case_id": "a", "case_id": "b"}'])))
+    assert spark.conf.get(name) == before
+    spark.conf.set(name, "false")
+    assert [(r["rule"], r["case_id"]) for r in found.collect()] == [("missing_required", "b")]
+    spark.conf.set(name, before)
+
+
+def test_validation_job_fails_with_the_reason(spark, tmp_path):
+    from jobs import validate_cases
+
+    good = [record(case_id=f"CR1-{x}", variant=v, vignette="Text one." + e, **kw) for x, v, e, kw in (("BASE", "base", "", {}), ("MISS", "missing_critical", " The case record does not report f.", {"withheld_feature": "f"}), ("CF", "counterfactual", " Same case, except: g.", {"counterfactual_change": "g"}))]
+    good += [record(case_id="G1", anchor_id=None, source_type="guideline_control", variant="guideline_control")]
+    (tmp_path / "a.csv").write_text("anchor_id,domain,title,url,pmcid,source_summary,candidate_diagnosis\nA1,d,t,,p,Text one.,\n")
+    (tmp_path / "g.csv").write_text("guideline_id,organization,title,year,url,use\n")
+
+    def run(name, rows, *expected):
+        (tmp_path / name).mkdir()
+        validate_cases.main(shards(tmp_path / name, rows), str(tmp_path / "a.csv"), str(tmp_path / "g.csv"), str(tmp_path / f"{name}-out"), *expected)
+
+    run("good", good, "4", "1", "1")
+    with pytest.raises(ValueError, match=r"cases-0000.jsonl:5: bad_enum variant"):
+        run("enum", [*good, record(case_id="CR9", variant="x")])
+    with pytest.raises(ValueError, match="row_count"):
+        run("count", good, "110", "1", "1")
+    with pytest.raises(ValueError, match="duplicate_ids"):
+        run("twice", [*good, good[0]])
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        validate_cases.main(str(tmp_path / "empty"), str(tmp_path / "a.csv"), str(tmp_path / "g.csv"), str(tmp_path / "o"))
+
+
 def test_manifests(spark, tmp_path):
     (tmp_path / "a.csv").write_text('anchor_id,domain,title,url,pmcid,source_summary,candidate_diagnosis\nA1,d,"One, two",u,p,s,c\n')
     (tmp_path / "g.csv").write_text("guideline_id,organization,title,year,url,use\nG1,o,t,2020,u,x\n")

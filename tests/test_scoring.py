@@ -35,7 +35,7 @@ def test_unknown_level(spark):
 
 @pytest.mark.parametrize("dimension", DIMENSIONS)
 def test_bad_ratings_are_named(spark, dimension):
-    for value, reason in (("-0.01", "out_of_range"), ("2.01", "out_of_range"), ("NaN", "out_of_range"), ("Infinity", "out_of_range"), ("-Infinity", "out_of_range"), ("", "missing"), (None, "missing"), ("x", "not_a_number")):
+    for value, reason in (("-0.01", "out_of_range"), ("2.01", "out_of_range"), ("NaN", "out_of_range"), ("Infinity", "out_of_range"), ("-Infinity", "out_of_range"), ("", "missing"), (None, "missing"), ("x", "not_a_number"), ("2d", "not_a_number"), ("1f", "not_a_number"), ("0x1p0", "not_a_number"), ("1_0", "not_a_number"), ("+3e0", "out_of_range")):
         df = frame(spark, [2] * 6).withColumn(dimension, F.lit(value).cast("string"))
         assert [(r["dimension"], r["reason"]) for r in scoring.rating_violations(df).collect()] == [(dimension, reason)]
     with pytest.raises(Exception, match="bad rating"):
@@ -52,12 +52,12 @@ def test_counts(spark):
 
 def test_csv_round_trip(spark, tmp_path):
     names = ["case_id", *DIMENSIONS, "danger_minor", "danger_moderate", "danger_severe", "reviewer_notes"]
-    rows = ["CASE-OK,2,2,2,2,2,2,,,,", "CASE-PENALTY,2,2,2,2,2,1,2,1,,", "CASE-FLOOR,2,2,2,2,2,2,,,3,", "CASE-SHORT,2,2,2,2,2,2"]
+    rows = ["row-1,2,2,2,2,2,2,,,,", "row-2,2,2,2,2,2,1,2,1,,", "row-3,2,2,2,2,2,2,,,3,", "row-4,2,2,2,2,2,2"]
     (tmp_path / "p.csv").write_text("\n".join([",".join(names), *rows]) + "\n")
     preds = predictions.read_predictions(spark, str(tmp_path / "p.csv"))
     predictions.write_scores(scoring.score(preds), str(tmp_path / "out"))
     got = {r["case_id"]: r["cscs"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {"CASE-OK": 100.0, "CASE-PENALTY": 50.0, "CASE-FLOOR": 0.0, "CASE-SHORT": 100.0}
+    assert got == {"row-1": 100.0, "row-2": 50.0, "row-3": 0.0, "row-4": 100.0}
 
 
 def test_stream_scores_like_a_batch(spark, tmp_path):

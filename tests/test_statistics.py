@@ -71,9 +71,59 @@ def test_reports(spark):
     assert [r["change"] for r in reports.longitudinal(days).orderBy("evaluation_date").collect()] == [None, 20.0]
 
 
+@pytest.mark.parametrize("way", ["arrays", "join"])
+def test_interval_is_that_of_a_plain_bootstrap(spark, monkeypatch, way):
+    if way == "join":
+        monkeypatch.setattr(bootstrap, "BROADCAST_CLUSTERS", 3)
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i}", f"A{int(rng.integers(40))}", float(rng.normal(0.3)), float(rng.normal())) for i in range(300)]
+    stats = {}
+    for _, a, x, y in rows:
+        s, n = stats.get(a, (0.0, 0))
+        stats[a] = s + x - y, n + 1
+    s, n = (np.array([v[k] for v in stats.values()]) for k in (0, 1))
+    k = rng.integers(len(s), size=(20000, len(s)))
+    want = np.quantile(s[k].sum(axis=1) / n[k].sum(axis=1), [0.025, 0.975])
+    got = bootstrap.paired_cluster_bootstrap(pairs(spark, rows).withColumnsRenamed({"score_a": "one", "score_b": "two"}), n_boot=4000, score_a="one", score_b="two").first()
+    assert (got["ci_2_5"], got["ci_97_5"]) == pytest.approx(want, abs=0.02)
+    near = bootstrap.poisson_bootstrap(pairs(spark, rows), n_boot=4000).first()
+    assert (near["ci_2_5"], near["ci_97_5"]) == pytest.approx(want, abs=0.03)
+
+
+def test_both_ways_draw_the_same(spark, monkeypatch):
+    df = some(spark, n=90).withColumn("g", F.when(F.col("anchor_id") < "A3", "x").otherwise("y"))
+    whole, by = bootstrap.cluster_stats(df), bootstrap.cluster_stats(df, by=("g",))
+    rows = lambda d: {tuple(r)[:-1]: pytest.approx(r["diff"]) for r in d.collect()}
+    first = rows(bootstrap.resample(whole, 40)), rows(bootstrap.resample(by, 40, by=("g",)))
+    monkeypatch.setattr(bootstrap, "BROADCAST_CLUSTERS", 2)
+    assert (rows(bootstrap.resample(whole, 40)), rows(bootstrap.resample(by, 40, by=("g",)))) == first
+
+
+def test_seeds_next_to_each_other_share_nothing(spark):
+    rng = np.random.default_rng(3)
+    stats = bootstrap.cluster_stats(pairs(spark, [(f"c{i}", f"A{i % 50}", float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]))
+    one, two = ({r["diff"] for r in bootstrap.resample(stats, 300, seed).collect()} for seed in (2026, 2027))
+    assert len(one) > 290 and not one & two
+    # Draws repeat as chance has it: of 2^19 draws among 2^32 numbers about 32 are met before.
+    slots = np.arange(1 << 19, dtype=np.uint64)
+    drawn = bootstrap._number_array((np.uint64(12345), np.uint64(99)), slots)
+    pairs_ = len(slots) - len(np.unique(drawn))
+    assert 10 <= pairs_ <= 60 and abs(np.mean(drawn) / 2**31 - 1) < 0.01
+
+
+def test_saved_classifier_loads(spark, tmp_path):
+    rows = [(i, f"call the doctor now {i}" if i % 3 else f"ignore the pain {i}", int(i % 3 == 0)) for i in range(30)]
+    df = spark.createDataFrame(rows, "response_id long, text string, label int")
+    fitted = classifier.fit_safety_classifier(df)
+    fitted.save(str(tmp_path / "m"))
+    again = classifier.SafetyClassifier.load(str(tmp_path / "m"))
+    assert sorted(classifier.predict_safety(again, df).collect()) == sorted(classifier.predict_safety(fitted, df).collect())
+
+
 @pytest.mark.parametrize("name", ["bootstrap_diffs", "bootstrap_ci", "bootstrap_by_group", "poisson_bootstrap"])
-def test_registered_bootstraps_draw_the_references_replicates(spark, sf_dir, monkeypatch, name):
+def test_registered_bootstraps_draw_five_thousand_replicates(spark, sf_dir, monkeypatch, name):
     drawn, real = [], bootstrap.percentile_ci
     monkeypatch.setattr(bootstrap, "percentile_ci", lambda diffs, by=(): drawn.append(diffs) or real(diffs, by))
-    df = registry.QUERIES[name](spark, sf_dir)
-    assert (drawn[0] if drawn else df).select("b").distinct().count() == 5000
+    monkeypatch.setattr(bootstrap, "resampled_sums", lambda *a, f=bootstrap.resampled_sums, **kw: drawn.append(f(*a, **kw)) or drawn[-1])
+    registry.QUERIES[name](spark, sf_dir)
+    assert drawn[0].select("b").distinct().count() == 5000
