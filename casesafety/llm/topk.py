@@ -72,6 +72,15 @@ def _read(kind: str, raw: bytes, dim: int) -> np.ndarray:
     return m if kind == "f8" else m / 256.0
 
 
+def _matrices(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the vectors of each length."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    size = np.diff(offsets)
+    for dim in np.unique(size).tolist():
+        at = np.flatnonzero(size == dim)
+        yield at, values[offsets[:-1][at][:, None] + np.arange(dim)]
+
+
 def _pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
     """By length, the vectors that the order goes by; it has no bearing on results."""
     sample = vectors.orderBy(F.xxhash64("id"), "id", "v").limit(PIVOTS).select("v").collect()
@@ -87,34 +96,39 @@ def _packed(vectors: DataFrame, pivots: dict[int, np.ndarray], rows: int, row_by
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes, near = [], []
-            for v in b.column(1).to_pylist():
-                score = pivots[len(v)] @ (np.array(v) / max(1.0, np.abs(v).max())) if len(v) in pivots else np.zeros(1)
-                codes.append(int(score.argmax()))
-                near.append(-float(score.max()))
-            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(near, pa.float64()), b.column(0), b.column(1)], names=["code", "near", "id", "v"])
+            codes, near = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            for at, v in _matrices(b.column(1)):
+                if v.shape[1] in pivots:
+                    score = (v / np.maximum(1.0, np.abs(v).max(axis=1, keepdims=True))) @ pivots[v.shape[1]].T
+                    codes[at], near[at] = score.argmax(axis=1), -score.max(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(near), b.column(0), b.column(1)], names=["code", "near", "id", "v"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, waiting = TaskContext.get().partitionId() << 32, {}
 
-        def block(dim: int) -> pa.RecordBatch:
+        def block(dim: int, size: int) -> pa.RecordBatch:
             nonlocal number
-            ids, m = zip(*waiting.pop(dim), strict=True)
-            m = np.array(m, np.float64)
+            ids, m = (np.concatenate(x) for x in zip(*waiting[dim], strict=True))
+            waiting[dim] = [(ids[size:], m[size:])]
+            ids, m = ids[:size], m[:size]
             kind, raw = _stored(m)
             number += 1
             bar = np.full(len(m), -np.inf)  # no score to beat yet
-            cols = [[number], [dim], [np.array(ids, np.int64).tobytes()], [kind], [raw], [m.max(axis=0).tobytes()], [m.min(axis=0).tobytes()], [bar.tobytes()]]
+            cols = [[number], [dim], [ids.tobytes()], [kind], [raw], [m.max(axis=0).tobytes()], [m.min(axis=0).tobytes()], [bar.tobytes()]]
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "dim", "ids", "kind", "matrix", "most", "least", "bar"])
 
         for b in batches:
-            for i, v in zip(b.column("id").to_pylist(), b.column("v").to_pylist(), strict=True):
-                waiting.setdefault(len(v), []).append((i, v))
-                if len(waiting[len(v)]) >= max(1, min(rows, row_bytes // (8 * len(v)))):
-                    yield block(len(v))
-        for dim in list(waiting):
-            yield block(dim)
+            every = b.column("id").to_numpy(zero_copy_only=False)
+            for at, v in _matrices(b.column("v")):
+                dim = v.shape[1]
+                waiting.setdefault(dim, []).append((every[at], v))
+                size = max(1, min(rows, row_bytes // (8 * dim)))
+                for _ in range(sum(len(i) for i, _ in waiting[dim]) // size):
+                    yield block(dim, size)
+        for dim, left in waiting.items():
+            if n := sum(len(i) for i, _ in left):
+                yield block(dim, n)
 
     n = max(1, math.ceil(vectors.count() / range_rows))
     ordered = vectors.select("id", "v").mapInArrow(order, "code int, near double, id long, v array<double>").repartitionByRange(n, "code", "near", "id").sortWithinPartitions("code", "near", "id", "v")
@@ -138,8 +152,8 @@ def _scores(q: np.ndarray, m: np.ndarray) -> np.ndarray | None:
     """[queries, vectors] of whole numbers; None if they may not fit a long."""
     q_top, m_top = (float(np.abs(x).max(initial=0)) for x in (q, m))
     top = q_top * m_top * q.shape[1] * 65536
-    if top < 2**53:
-        return ((q * 256) @ (m * 256).T).astype(np.int64)
+    if top < 2**53:  # sums of multiples of 1 / 65536 that a double holds exactly
+        return ((q @ m.T) * 65536).astype(np.int64)
     if top < 2**62 and max(q_top, m_top) < 2**52:
         return (q * 256).astype(np.int64) @ (m * 256).astype(np.int64).T
     return None
