@@ -45,6 +45,8 @@ from .common import staged
 from .markup import scan
 
 LEAST_TOKENS, LEAST_PAGES = 2, 3
+#: Hosts whose numbers of pages are broadcast, at most.
+BROADCAST_HOSTS = 200_000
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements that have no end tag; elements that may stand within a block of text; elements that end an open one of the same kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -356,6 +358,8 @@ def _template(pdf: pd.DataFrame) -> tuple[int, str, list[int]]:
 def deduce(tokens: DataFrame, support: float = 0.5) -> DataFrame:
     """(host, slot, path, fixed) from ``occurrences``: each host's main slot and the fixed text outside it."""
     total = tokens.where("token = 0").select("host", F.col("pages").alias("host_pages"))
+    # By broadcast, unless there are very many hosts, so that a host's rare tokens are not brought together.
+    total = F.broadcast(total) if total.count() <= BROADCAST_HOSTS else total
     frequent = tokens.join(total, "host").where(F.col("pages") >= support * F.col("host_pages")).drop("host_pages")
 
     def nest(pdf: pd.DataFrame) -> pd.DataFrame:
