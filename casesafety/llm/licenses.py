@@ -2,17 +2,17 @@
 then inheritance from the nearest directory above that has a licence file.
 
 A file's units are its lines, and, in a file named LICENSE, LICENCE, COPYING or NOTICE, also its whole text.
-Terms are lower-case words without numbers. Each unit is compared with each template by the cosine of
-term counts times idf = ln((1 + units) / (1 + units with the term)) + 1, over all lines of all files; terms
-that no template has count with the largest idf there is, that of a term in no unit. The best template
-of at least ``threshold`` is the file's own licence (ties: the first by name). A file without one takes that
-of the licence file in its own directory or the nearest one above it.
+Terms are lower-case words and numbers. Each unit is compared with each template by the cosine of
+term counts times idf = ln((1 + units) / (1 + units with the term)) + 1, over all terms of all lines of all files. The best
+template of at least ``threshold`` is the file's own licence (ties: the template of more words, then the first by name). A file
+without one takes that of the licence file in its own directory or the nearest one above it.
 
 Units are pre-selected without loss: of each template's terms, rarest first, so many are needed that the
 rest weighs less than the threshold; a unit with none of these has a smaller cosine.
 
-Null and empty texts have no units; a null path is a file in no directory. Rows that repeat are scanned each
-if their ``key`` differs; extra columns are ignored.
+Null and empty texts have no units; a null path is a file in no directory; a null ``key`` is one like any other, and rows that
+share a key are told apart by path and text. Rows that repeat are reported each; long texts are read whole, line by line; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,27 +26,35 @@ from .common import staged
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Apache License Version 2.0 http://www.apache.org/licenses/"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+#: Terms of the units that are compared, whose idf is broadcast, at most.
+BROADCAST_TERMS = 200_000
 #: Names of licence files, without what follows a dot.
 FILES = ("license", "licence", "copying", "notice")
 
 
 def terms(text):
-    """Lower-case words, without those that are numbers, of a text column."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.rlike("^[0-9]+$"))
+    """Lower-case words and numbers of a text column."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -55,37 +63,38 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 def _units(files: DataFrame) -> DataFrame:
-    """(key, unit, words): unit 0 is a licence file's whole text, the others are lines from 1."""
-    lines = files.select("key", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("key", (F.col("k") + 1).alias("unit"), terms(F.col("line")).alias("words"))
-    whole = files.where("is_license_file").select("key", F.lit(0).alias("unit"), terms(F.col("text")).alias("words"))
+    """(row, unit, words): unit 0 is a licence file's whole text, the others are lines from 1."""
+    lines = files.select("row", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("row", (F.col("k") + 1).alias("unit"), terms(F.col("line")).alias("words"))
+    whole = files.where("is_license_file").select("row", F.lit(0).alias("unit"), terms(F.col("text")).alias("words"))
     return lines.unionByName(whole).where(F.size("words") > 0)
 
 
 def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
-    """(key, license, cosine) of the files (key, text, is_license_file) that name a licence themselves."""
+    """(row, license, cosine) of the files (row, text, is_license_file) that name a licence themselves."""
     spark = files.sparkSession
     vocabulary = staged(_templates(spark), "templates")
-    known = F.array(*[F.lit(r["term"]) for r in vocabulary.select("term").distinct().orderBy("term").collect()])  # a fixed list
     units = _units(files)
-    seen = units.where("unit > 0").select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("words", known))).alias("term"))
+    seen = units.where("unit > 0").select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("term"))
     counts = staged(seen.groupBy("term").agg(F.count("*").alias("units")), "counts")  # '' counts the units
     total = F.lit((counts.where("term = ''").agg(F.sum("units")).first()[0] or 0) + 1)
-    idf = vocabulary.select("term").distinct().join(counts, "term", "left").select("term", (F.log(total / (F.coalesce("units", F.lit(0)) + 1)) + 1).alias("idf"))
-    weights = vocabulary.join(F.broadcast(idf), "term").withColumn("w", F.col("n") * F.col("idf"))
+    rarity = (F.log(total / (F.coalesce("units", F.lit(0)) + 1)) + 1).alias("idf")
+    weights = vocabulary.join(counts, "term", "left").select("template", "license", "term", "n", rarity).withColumn("w", F.col("n") * F.col("idf"))
     square = Window.partitionBy("template")
-    weights = weights.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(square)))
+    weights = weights.withColumns({"norm": F.sqrt(F.sum(F.col("w") * F.col("w")).over(square)), "length": F.sum("n").over(square)})
     rest = F.sum(F.col("w") * F.col("w")).over(square.orderBy("w", "term")) / (F.col("norm") * F.col("norm"))
     weights = staged(weights.withColumn("anchor", F.sqrt(rest) >= threshold - 1e-9), "weights")
-    anchors = F.array(*[F.lit(r["term"]) for r in weights.where("anchor").select("term").distinct().orderBy("term").collect()])
-    tells = staged(units.where(F.arrays_overlap("words", anchors)), "units")  # few, and read three times below
+    anchors = F.array(*[F.lit(r["term"]) for r in weights.where("anchor").select("term").distinct().orderBy("term").collect()])  # a fixed list
+    tells = staged(units.where(F.arrays_overlap("words", anchors)), "units")  # few, and read several times below
 
-    each = tells.select("key", "unit", F.explode("words").alias("term")).groupBy("key", "unit", "term").agg(F.count("*").alias("tf"))
-    valued = each.join(F.broadcast(idf), "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.log(total) + 1))
-    norms = valued.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("unit_norm"))
-    dots = valued.join(F.broadcast(weights.select("template", "license", "term", "w", "norm")), "term").groupBy("key", "unit", "template", "license", "norm").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    cosines = dots.join(norms, ["key", "unit"]).select("key", "license", F.round(F.col("dot") / (F.col("norm") * F.col("unit_norm")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
-    best = cosines.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("b"))
-    return best.select("key", "b.license", (-F.col("b.less")).alias("cosine"))
+    each = staged(tells.select("row", "unit", F.explode("words").alias("term")).groupBy("row", "unit", "term").agg(F.count("*").alias("tf")), "terms")
+    known = staged(each.select("term").distinct().join(counts, "term").select("term", rarity), "idf")
+    known = F.broadcast(known) if known.count() <= BROADCAST_TERMS else known
+    valued = each.join(known, "term").withColumn("v", F.col("tf") * F.col("idf"))
+    norms = valued.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("unit_norm"))
+    dots = valued.join(F.broadcast(weights.select("template", "license", "term", "w", "norm", "length")), "term").groupBy("row", "unit", "template", "license", "norm", "length").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    cosines = dots.join(norms, ["row", "unit"]).select("row", "license", "length", F.round(F.col("dot") / (F.col("norm") * F.col("unit_norm")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
+    best = cosines.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("less"), (-F.col("length")).alias("shorter"), "license")).alias("b"))
+    return best.select("row", "b.license", (-F.col("b.less")).alias("cosine"))
 
 
 def scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -95,10 +104,10 @@ def scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
     """
     name = F.lower(F.substring_index(F.element_at(F.split("path", "/"), -1), ".", 1))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", ""))
-    named = files.select("key", "path", "text", F.coalesce(name.isin(*FILES), F.lit(False)).alias("is_license_file"), folder.alias("dir"))
+    named = files.select("key", "path", "text", F.xxhash64("key", "path", "text").alias("row"), F.coalesce(name.isin(*FILES), F.lit(False)).alias("is_license_file"), folder.alias("dir"))
     own = staged(own_licenses(named, threshold), "licenses")
     places = staged(named.drop("text"), "places")
-    marked = places.join(own, "key", "left")
+    marked = places.join(own, "row", "left")
     given = marked.where("is_license_file and license is not null and dir is not null").groupBy(F.col("dir").alias("up")).agg(F.min("license").alias("dir_license"))
     # Directories, not files, look upwards; a hot root is met once by each directory below it.
     dirs = places.where("dir is not null").select("dir").distinct()

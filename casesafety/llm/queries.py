@@ -89,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-_TERMS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+'))"
+_TERMS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
 _FILES = """SELECT doc_id, text, CASE WHEN doc_id % 1000 = 0 THEN top || '/LICENSE' WHEN doc_id % 100 = 0 THEN top || middle || '/LICENSE' WHEN doc_id % 10 = 0 THEN top || middle || low || '/LICENSE'
                   ELSE top || middle || low || '/' || doc_id || '.txt' END AS path
@@ -97,25 +97,25 @@ _FILES = """SELECT doc_id, text, CASE WHEN doc_id % 1000 = 0 THEN top || '/LICEN
 
 ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": f"""
-WITH f AS (SELECT *, path LIKE '%/LICENSE' AS marked, regexp_replace(path, '/[^/]*$', '') AS dir FROM ({_FILES})),
+WITH f AS (SELECT *, row_number() OVER () AS r, path LIKE '%/LICENSE' AS marked, regexp_replace(path, '/[^/]*$', '') AS dir FROM ({_FILES})),
 units AS (
-  SELECT doc_id, i AS unit, {_TERMS.format("lines[i]")} AS words FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM f))
-  UNION ALL SELECT doc_id, 0, {_TERMS.format("text")} FROM f WHERE marked),
+  SELECT r, i AS unit, {_TERMS.format("lines[i]")} AS words FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT r, string_split(text, chr(10)) AS lines FROM f))
+  UNION ALL SELECT r, 0, {_TERMS.format("text")} FROM f WHERE marked),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM units WHERE unit > 0 AND len(words) > 0),
 t AS (SELECT template, license, term, count(*) AS k FROM (SELECT template, license, unnest({_TERMS.format("text")}) AS term FROM (VALUES {_TEMPLATES}) v(template, license, text)) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unit, unnest(words) AS term FROM units WHERE unit > 0) GROUP BY term),
-idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM t) LEFT JOIN df USING (term), n),
-w AS (SELECT template, license, term, k * idf AS w, sqrt(sum(k * idf * k * idf) OVER (PARTITION BY template)) AS norm FROM t JOIN idf USING (term)),
-tf AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest(words) AS term FROM units) GROUP BY ALL),
-v AS (SELECT doc_id, unit, tf.term, tf * coalesce(idf, ln(n + 1) + 1) AS v FROM tf LEFT JOIN idf ON tf.term = idf.term, n),
-unit_norm AS (SELECT doc_id, unit, sqrt(sum(v * v)) AS u FROM v GROUP BY ALL),
-c AS (SELECT doc_id, license, round(sum(v * w) / (any_value(norm) * any_value(u)), 6) AS cosine FROM v JOIN w ON v.term = w.term JOIN unit_norm USING (doc_id, unit) GROUP BY doc_id, unit, template, license),
-own AS (SELECT * FROM c WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
-given AS (SELECT dir AS up, min(license) AS dir_license FROM f JOIN own USING (doc_id) WHERE marked GROUP BY dir),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT r, unit, unnest(words) AS term FROM units WHERE unit > 0) GROUP BY term),
+idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT term FROM t UNION SELECT term FROM df) LEFT JOIN df USING (term), n),
+w AS (SELECT template, license, term, k * idf AS w, sqrt(sum(k * idf * k * idf) OVER (PARTITION BY template)) AS norm, sum(k) OVER (PARTITION BY template) AS length FROM t JOIN idf USING (term)),
+tf AS (SELECT r, unit, term, count(*) AS tf FROM (SELECT r, unit, unnest(words) AS term FROM units) GROUP BY ALL),
+v AS (SELECT r, unit, tf.term, tf * idf AS v FROM tf JOIN idf ON tf.term = idf.term),
+unit_norm AS (SELECT r, unit, sqrt(sum(v * v)) AS u FROM v GROUP BY ALL),
+c AS (SELECT r, license, any_value(length) AS length, round(sum(v * w) / (any_value(norm) * any_value(u)), 6) AS cosine FROM v JOIN w ON v.term = w.term JOIN unit_norm USING (r, unit) GROUP BY r, unit, template, license),
+own AS (SELECT * FROM c WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY r ORDER BY cosine DESC, length DESC, license) = 1),
+given AS (SELECT dir AS up, min(license) AS dir_license FROM f JOIN own USING (r) WHERE marked GROUP BY dir),
 nearest AS (SELECT dir, up, dir_license FROM (SELECT DISTINCT dir FROM f) JOIN given ON dir = up OR starts_with(dir, up || '/') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(up) DESC) = 1)
 SELECT doc_id, path, coalesce(license, dir_license) AS license, cosine, CASE WHEN license IS NOT NULL THEN 'file' WHEN dir_license IS NOT NULL THEN 'directory' END AS origin,
        CASE WHEN license IS NULL THEN up END AS origin_dir
-FROM f LEFT JOIN own USING (doc_id) LEFT JOIN nearest USING (dir)""",
+FROM f LEFT JOIN own USING (r) LEFT JOIN nearest USING (dir)""",
     "op1_mix_sources": f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,

@@ -425,14 +425,13 @@ def plain_licenses(files, threshold=0.6):
     import regex
 
     def terms(t):
-        return [w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w and not w.isascii() or w and not w.isdigit()]
+        return [w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w]
 
     marked = {k: (p or "").rpartition("/")[2].partition(".")[0].lower() in licenses.FILES for k, p, _ in files}
     units = [(k, terms(line)) for k, _, t in files for line in (t.split("\n") if t is not None else [])]
     units = [(k, w) for k, w in units if w]
     df, n = Counter(t for _, w in units for t in set(w)), len(units)
-    vocabulary = {t for _, x in licenses.TEMPLATES for t in terms(x)}
-    idf = lambda t: math.log((1 + n) / (1 + (df[t] if t in vocabulary else 0))) + 1
+    idf = lambda t: math.log((1 + n) / (1 + df[t])) + 1
     units += [(k, terms(t)) for k, _, t in files if marked[k] and t and terms(t)]
     vector = lambda w: {t: c * idf(t) for t, c in Counter(w).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
@@ -442,19 +441,19 @@ def plain_licenses(files, threshold=0.6):
         for name, text in licenses.TEMPLATES:
             t = vector(terms(text))
             c = round(sum(x * t.get(y, 0) for y, x in v.items()) / norm(v) / norm(t), 6)
-            if c >= threshold and (k not in own or (-c, name) < own[k]):
-                own[k] = (-c, name)
+            if c >= threshold:
+                own[k] = min(own.get(k, (0, 0, "")), (-c, -len(terms(text)), name))
     given_ = {}
     for k, p, _ in files:
         if marked[k] and k in own and "/" in p:
             d = p.rpartition("/")[0]
-            given_[d] = min(given_.get(d, own[k][1]), own[k][1])
+            given_[d] = min(given_.get(d, own[k][2]), own[k][2])
     out = {}
     for k, p, _ in files:
         d = (p or "").rpartition("/")[0]
         while d and d not in given_:
             d = d.rpartition("/")[0]
-        out[k] = (own[k][1], "file") if k in own else (given_[d], "directory") if d else (None, None)
+        out[k] = (own[k][2], "file") if k in own else (given_[d], "directory") if d else (None, None)
     return out
 
 
@@ -462,13 +461,18 @@ def test_license_scan_matches_the_plain_version(spark):
     files = [
         (1, "a/LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
         (2, "a/b/c/x.py", "import os"), (3, "a/b/LICENSE.txt", "Licensed under the Apache License, Version 2.0"), (4, "a/d/y.py", "# Licensed under CC BY 4.0\nx = 1"),
-        (5, "z/y.py", "the license of the software\nto any person"), (6, None, "Released under the MIT License."), (7, "a/e", None), (8, "a/f", ""), (9, "COPYING", "Released under the MIT License"),
+        (5, "z/y.py", "the license of the software\nto any person"), (6, None, "Released under the MIT License."), (7, "a/e", None), (8, "a/f", ""), (None, "q/x.c", "# Released under the MIT License"), (20, "b2/LICENSE", licenses.TEMPLATES[2][1]), (21, "b3/LICENSE", f"{licenses.TEMPLATES[2][1]}\n{licenses.TEMPLATES[4][1]}"),
+        *[(30 + i, f"g{i}/LICENSE", text) for i, (_, text) in enumerate(licenses.TEMPLATES)], (9, "COPYING", "Released under the MIT License"),
         (10, "z/w/NOTICE", "words of no license at all"), (11, "ab/LICENSE", "x"), (12, "a/b/c/d/LICENSE", "This is free and unencumbered software\nreleased into the public domain"),
         *[(100 + i, f"z/{i}.txt", "plain words without any meaning\nand a second line of the text") for i in range(30)],
     ]
     df = spark.createDataFrame(files, "key long, path string, text string").withColumns({"license": F.lit("x"), "cosine": F.lit(1), "dir": F.lit("x")})
     got = {r["key"]: (r["license"], r["origin"]) for r in licenses.scan(df).collect()}
     assert got == plain_licenses(files) and got[2] == ("Apache-2.0", "directory") and got[6][0] == "MIT" and got[5] == (None, None)
+    assert got[None] == ("MIT", "file") and got[20][0] == "BSD-2-Clause" and got[21][0] == "BSD-3-Clause"
+    assert [got[30 + i][0] for i in range(len(licenses.TEMPLATES))] == [name for name, _ in licenses.TEMPLATES]
+    again = licenses.scan(df.unionByName(df.where("key = 6 or key is null"))).collect()
+    assert len(again) == len(files) + 2 and Counter(r["license"] for r in again if r["key"] in (6, None)) == {"MIT": 4}
     assert licenses.scan(df.limit(0)).count() == 0
     assert licenses.scan(df.where("key = 5")).first()["license"] is None
 
