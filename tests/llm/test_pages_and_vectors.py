@@ -324,3 +324,34 @@ def test_pipeline_keeps_what_its_stages_keep(spark, sf_dir):
     mixed = {r["doc_id"]: r["taken"] for r in p.run(spark, sf_dir).collect()}
     last = {r["doc_id"] for r in docs.collect()}
     assert set(mixed) <= last and all(mixed.values())
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated and long rows, columns of clashing names, and empty tables."""
+    import corpus_pipeline as p
+
+    good, bad = "calm kind warm mild fair nice words of a quiet day".split(), "vile foul rude mean nasty cruel".split()
+    rng = np.random.default_rng(2)
+    text = lambda w, n: " ".join(rng.choice(w, n))
+    rows = [(k, text(bad if k % 4 == 0 else good, 25), "ab"[k % 2]) for k in range(60)]
+    rows += [(None, text(good, 25), "a"), (None, text(good, 25), None), (3, rows[3][1], "b"), (70, rows[5][1], "a"), (71, None, None), (72, "", "a"), (73, text(good, 30000), "a"), (74, text(good, 9) + " this passage is of the benchmark itself " + text(good, 9), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in ("times", "size", "score", "label", "row", "id", "hash", "copy", "key", "lang")})
+    labels = spark.createDataFrame([(k, int(k % 4 != 0), int(k % 4 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "this passage is of the benchmark itself"), (None, None)], "item_id long, text string")
+    for name, some in (("full", docs), ("none", docs.limit(0))):
+        d = str(tmp_path / name)
+        some.write.parquet(f"{d}/documents.parquet")
+        labels.where("true" if name == "full" else "false").write.parquet(f"{d}/labels.parquet")
+        items.where("true" if name == "full" else "false").write.parquet(f"{d}/benchmark.parquet")
+    out = p.run(spark, str(tmp_path / "full"))
+    assert set(docs.columns) | {"size", "source_size", "target", "taken"} == set(out.columns) and len(out.columns) == len(set(out.columns))
+    got = out.collect()
+    assert all(r["taken"] > 0 and r["times"] == "times" and r["size"] == len(r["text"].split()) for r in got)
+    kept = [(r["doc_id"], r["text"]) for r in got]
+    assert len(kept) == len(set(kept)) and set(kept) <= {(k, t) for k, t, _ in rows}
+    texts = [t for _, t in kept]
+    assert len(texts) == len(set(texts)) and not any("benchmark itself" in t for t in texts) and not any(set(t.split()) <= set(bad) for t in texts)
+    clean = {t for k, t, _ in rows if t and k != 74 and set(t.split()) <= set(good)}
+    assert len(clean - set(texts)) <= 0.35 * len(clean)  # near copies, and what the mix leaves out
+    empty = p.run(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and set(empty.columns) == set(out.columns)
