@@ -34,6 +34,8 @@ from .markup import visible_text
 CELLS, BITS = 1 << 24, 16
 #: Numbers in the evidence around pages (combinations of host, suffix and declaration by languages) that are broadcast at most; more are joined by shuffle.
 BROADCAST_NUMBERS = 400_000
+#: Rows of languages, or of ids to be fitted on, that are broadcast at most.
+BROADCAST_ROWS = 500_000
 #: Parts that a combination's pages are dealt to in that shuffle; languages that are aggregated as columns of their own.
 PARTS, WIDE = 16, 64
 #: Labels below a country's that many owners share. Fixed values.
@@ -56,9 +58,10 @@ def fit_ngrams(docs: DataFrame, max_fit_rows: int = 1000) -> tuple[list[str], np
     if not n:
         return [], np.zeros((0, 2), np.float32)
     bits = max(1, min(BITS, (CELLS // n).bit_length() - 1))
-    few = ids.join(share, "lang").where(F.pmod("order", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    small = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    few = ids.join(small(share, n), "lang").where(F.pmod("order", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     least = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 30)), "doc_id"))).where(F.col("n") <= max_fit_rows).select("lang", "doc_id").distinct()
-    sample = here.join(least, ["lang", "doc_id"])
+    sample = here.join(small(least, n * max_fit_rows), ["lang", "doc_id"])  # texts aren't shuffled
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
