@@ -48,11 +48,12 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the words it takes of each (repeats counted)."""
     taken = mixing.mix(docs.select("doc_id", "source", "text", text_hash().alias("key")), keys=("key",))
-    # Rows are known by doc_id (null included), source and text; those equal in all three are numbered on either side.
+    # Rows are known by doc_id (null included), source and text; those equal in all three are numbered in the same order on either side.
     left = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("from"), text_hash().alias("hash"))
-    left = left.withColumn("copy", F.row_number().over(Window.partitionBy("id", "from", "hash").orderBy("id")))
-    right = taken.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "source", "key").orderBy(F.desc("taken")))).where("taken > 0")
-    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("hash") == F.col("key")) & (F.col("copy") == F.col("number"))
+    left = left.select("*", F.xxhash64("id", "from", "hash").alias("known")).withColumn("copy", F.row_number().over(Window.partitionBy("known").orderBy("id", "from", "hash")))
+    right = taken.select("*", F.xxhash64("doc_id", "source", "key").alias("its")).withColumn("number", F.row_number().over(Window.partitionBy("its").orderBy("doc_id", "source", "key", F.desc("taken")))).where("taken > 0")
+    # One key of the join, the windows' own, so that texts are shuffled once.
+    same = (F.col("known") == F.col("its")) & (F.col("copy") - F.col("number") == 0)
     added = ("size", "source_size", "target", "taken")
     return left.join(right, same).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
