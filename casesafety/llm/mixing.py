@@ -69,6 +69,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats:
     words = named.where("size > 0").withColumn("range", F.shiftright("order", HASH_BITS - bits))
     own = Window.partitionBy("rank", "range").orderBy("order", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, 0)
     queued = words.join(_before(words, ["rank"], "range"), ["rank", "range"]).withColumn("upto", F.col("base") + F.sum("size").over(own)).drop("base")
+    queued = staged(queued, "queued")  # read four times below; it holds no texts
 
     # Each pass that starts before the budget's virtual time (1) is one more document in the queue.
     started = F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: (k * F.col("source_size") + F.col("upto") - F.col("size")) < F.col("target"))
