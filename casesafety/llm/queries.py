@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, language, licenses, mixing, quality, simhash, tokens, topk, toxicity
+from . import conversations, decontaminate, html, language, licenses, mixing, quality, simhash, tokens, topk, toxicity
 from .common import table
 
 
@@ -73,6 +73,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language": op2_language,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -95,7 +100,42 @@ _FILES = """SELECT doc_id, text, CASE WHEN doc_id % 1000 = 0 THEN top || '/LICEN
                   ELSE top || middle || low || '/' || doc_id || '.txt' END AS path
   FROM (SELECT *, coalesce(source, 'none') || '/' || doc_id // 1000 AS top, '/' || doc_id // 100 AS middle, '/' || doc_id // 10 AS low FROM documents)"""
 
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text of ASCII characters."""
+    byte = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, (r & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {byte}), lambda a, b: {bits}), 4294967295)"
+
+
+#: States: 0 nothing, 1 a first s, 2 a u, 3 an a stands in front. What is inserted before a row, and the state then.
+_INSERTED = "(0, 0, '', 0, ''), (0, 2, 'I', 5, 'user:' || chr(10) || ''), (0, 3, 'II', 10, 'user:' || chr(10) || 'assistant:' || chr(10) || ''), (1, 1, '', 0, ''), (1, 2, 'I', 5, 'user:' || chr(10) || ''), (1, 3, 'II', 10, 'user:' || chr(10) || 'assistant:' || chr(10) || ''), (2, 2, '', 0, ''), (2, 3, 'I', 5, 'assistant:' || chr(10) || ''), (3, 3, '', 0, ''), (3, 2, 'I', 5, 'user:' || chr(10) || '')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": f"""
+WITH RECURSIVE fate AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS f FROM conversations),
+spoilt AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fate),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM spoilt),
+rows AS (SELECT *, left(role, 1) AS initial, CASE WHEN bare = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM numbered),
+inserted(s, t, edits, cost, lines) AS (VALUES {_INSERTED}),
+edit(letter) AS (VALUES ('D'), ('K'), ('R')),
+best AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, 0 AS s, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'out': ''}} AS b FROM conversations
+  UNION ALL
+  SELECT conv_id, n, t, min(b) FROM (
+    SELECT best.conv_id, r.n, CASE WHEN letter = 'D' THEN i.t WHEN letter = 'R' THEN CASE i.t WHEN 2 THEN 3 ELSE 2 END
+        WHEN initial = 's' AND i.t = 0 THEN 1 WHEN initial = 'u' AND i.t <> 2 THEN 2 WHEN initial = 'a' AND i.t = 2 THEN 3 END AS t,
+      {{'cost': CAST(best.b.cost + i.cost + CASE letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END AS BIGINT), 'audit': best.b.audit || i.edits || letter,
+        'out': best.b.out || i.lines || CASE letter WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text || chr(10) ELSE CASE i.t WHEN 2 THEN 'assistant' ELSE 'user' END || ':' || text || chr(10) END}} AS b
+    FROM best JOIN rows r ON best.conv_id IS NOT DISTINCT FROM r.conv_id AND r.n = best.n + 1 JOIN inserted i ON i.s = best.s, edit
+    WHERE letter = 'D' OR fault NOT IN ('blank', 'duplicate')) WHERE t IS NOT NULL GROUP BY ALL),
+size AS (SELECT c.conv_id, count(n) AS size, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN rows r ON c.conv_id IS NOT DISTINCT FROM r.conv_id GROUP BY c.conv_id),
+pairs AS (SELECT a.conv_id, count(*) AS illegal FROM rows a JOIN rows b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND b.n = a.n + 1 WHERE a.initial || b.initial NOT IN ('su', 'ua', 'au') GROUP BY a.conv_id),
+ended AS (SELECT conv_id, n, min({{'cost': b.cost + CASE s WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END, 'audit': b.audit || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END, 'out': b.out || CASE s WHEN 1 THEN 'user:' || chr(10) || 'assistant:' || chr(10) WHEN 2 THEN 'assistant:' || chr(10) ELSE '' END}}) AS b FROM best GROUP BY ALL)
+SELECT size.conv_id, gaps, blank, duplicate, truncated, coalesce(illegal, 0) AS illegal, b.cost AS cost, b.audit AS audit, sha256(left(b.out, greatest(0, length(b.out) - 1))) AS repaired_sha256
+FROM size JOIN ended e ON size.conv_id IS NOT DISTINCT FROM e.conv_id AND e.n = size.size LEFT JOIN pairs ON size.conv_id IS NOT DISTINCT FROM pairs.conv_id""",
     "op5_license_scan": f"""
 WITH f AS (SELECT *, row_number() OVER () AS r, path LIKE '%/LICENSE' AS marked, regexp_replace(path, '/[^/]*$', '') AS dir FROM ({_FILES})),
 units AS (
