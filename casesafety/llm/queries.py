@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, html, language, licenses, mixing, quality, simhash, tokens, topk, toxicity
+from . import conversations, decontaminate, html, language, licenses, manifest, mixing, quality, simhash, tokens, topk, toxicity
 from .common import table
 
 
@@ -77,6 +77,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), manifest.without_newlines())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language": op2_language,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -112,7 +117,35 @@ def _crc32(text: str) -> str:
 #: States: 0 nothing, 1 a first s, 2 a u, 3 an a stands in front. What is inserted before a row, and the state then.
 _INSERTED = "(0, 0, '', 0, ''), (0, 2, 'I', 5, 'user:' || chr(10) || ''), (0, 3, 'II', 10, 'user:' || chr(10) || 'assistant:' || chr(10) || ''), (1, 1, '', 0, ''), (1, 2, 'I', 5, 'user:' || chr(10) || ''), (1, 3, 'II', 10, 'user:' || chr(10) || 'assistant:' || chr(10) || ''), (2, 2, '', 0, ''), (2, 3, 'I', 5, 'assistant:' || chr(10) || ''), (3, 3, '', 0, ''), (3, 2, 'I', 5, 'user:' || chr(10) || '')"
 
+
+def _leaf(text: str) -> str:
+    values = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR), '-')" for x in values) + ")"
+
+
+def _rising(name: str, first: str) -> str:
+    """Every level of the trees over ``first`` (tree, level, place, node, n)."""
+    return f"""{name} AS ({first} UNION ALL SELECT tree, level + 1, place // 3, sha256(string_agg(node, '' ORDER BY place)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, level, place // 3, n)"""
+
+
+def _falling(name: str, first: str, nodes: str) -> str:
+    """From each of ``first`` (id, tree, level, place, now, proof) up to its tree's root."""
+    return f"""{name} AS ({first} UNION ALL SELECT id, f.tree, f.level + 1, f.place // 3, sha256(string_agg(CASE WHEN s.place = f.place THEN now ELSE node END, '' ORDER BY s.place)), proof || coalesce(string_agg(node, '' ORDER BY s.place) FILTER (s.place <> f.place), '')
+  FROM {name} f JOIN {nodes} s ON s.tree = f.tree AND s.level = f.level AND s.place // 3 = f.place // 3 AND s.n > 1 GROUP BY id, f.tree, f.level, f.place, f.now, f.proof)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT *, coalesce('s' || source, 'n') AS tree, row_number() OVER () AS id, {_leaf("text")} AS leaf FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE leaf END AS other FROM d),
+{_rising("low", "SELECT tree, 0 AS level, place, leaf AS node, n FROM leaves")},
+{_rising("high", "SELECT '' AS tree, 0 AS level, row_number() OVER (ORDER BY encode(tree)) - 1 AS place, node, count(*) OVER () AS n FROM low WHERE n = 1")},
+{_falling("inside", "SELECT id, tree, 0 AS level, place, other AS now, '' AS proof FROM leaves", "low")},
+tops AS (SELECT tree, node, level, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM low WHERE n = 1),
+{_falling("outside", "SELECT id, '' AS tree, 0 AS level, t.place, now, proof FROM inside i JOIN tops t ON i.tree = t.tree AND i.level = t.level", "high")},
+whole AS (SELECT level, node FROM high WHERE n = 1)
+SELECT doc_id, leaf, tops.node AS subroot, whole.node AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = whole.node AS verified
+FROM leaves l JOIN tops ON l.tree = tops.tree JOIN outside o ON o.id = l.id JOIN whole ON o.level = whole.level""",
     "op11_conversation_repair": f"""
 WITH RECURSIVE fate AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS f FROM conversations),
 spoilt AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fate),

@@ -2,15 +2,16 @@
 
 import hashlib
 import random
+import zlib
 from functools import lru_cache
 
 import pytest
 from conftest import same_rows
 
-from casesafety.llm import conversations, queries
+from casesafety.llm import conversations, manifest, queries
 
 
-@pytest.mark.parametrize("name", ["op11_conversation_repair"])
+@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_merkle_manifest"])
 def test_against_duckdb(spark, duck, sf_dir, name):
     got = duck.execute(queries.ORACLE_SQL[name])
     ours, theirs = same_rows(queries.QUERIES[name](spark, sf_dir), got.fetchall(), [c[0] for c in got.description])
@@ -114,3 +115,64 @@ def test_damage_and_odd_conversations(spark):
     assert conversations.report(conversations.damage(df.limit(0))).count() == 0
     big = spark.createDataFrame([(1, 0, "user", "w " * 3_000_000 + "."), (1, 1, "assistant", "Yes.")], SCHEMA)
     assert conversations.report(big).first()["audit"] == "KK"
+
+
+def plain_manifest(rows):
+    """doc_id, leaf, subroot, root, proof, folded root and verdict of ``rows`` (doc_id, source, lang, n_chars, text), by whole lists."""
+    h = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    written = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: h(map(written, r))
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([h(levels[-1][k : k + 3]) for k in range(0, len(levels[-1]), 3)])
+        return levels
+
+    def path(levels, at):
+        for level in levels[:-1]:
+            run = at // 3 * 3
+            yield level[run:at], level[at + 1 : run + 3]
+            at //= 3
+
+    sources = sorted({r[1] for r in rows}, key=lambda s: (s is not None, (s or "").encode()))
+    mine = {s: sorted((r for r in rows if r[1] == s), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for s in sources}
+    trees = {s: tree([leaf(r) for r in mine[s]]) for s in sources}
+    top = tree([trees[s][-1][0] for s in sources])
+    out = []
+    for k, s in enumerate(sources):
+        for at, r in enumerate(mine[s]):
+            now = r
+            if r[0] is not None and r[4] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0:
+                now = (*r[:4], r[4].replace("\n", ""))
+            folded, proof = leaf(now), []
+            for before, after in [*path(trees[s], at), *path(top, k)]:
+                proof += before + after
+                folded = h([*before, folded, *after])
+            out.append((r[0], leaf(r), trees[s][-1][0], top[-1][0], h(proof), folded, folded == top[-1][0]))
+    return out
+
+
+@pytest.mark.parametrize(("rise", "step"), [(7, 12), (2, 20)])
+def test_manifest_is_that_of_whole_lists(spark, monkeypatch, rise, step):
+    monkeypatch.setattr(manifest, "STEP", step)
+    monkeypatch.setattr(manifest, "BROADCAST_SOURCES", 100_000 if rise == 7 else 0)
+    monkeypatch.setattr(manifest, "RANGE_SOURCES", 100_000 if rise == 7 else 3)
+    rng = random.Random(1)
+    ids = [*range(40), *range(1000, 1040), -1, -64, -65, 63, 64, 2**63 - 1, -(2**63), None, None, None, 7, 7, 7]
+    rows = [(i, rng.choice(["a", "a", "a", "b", "é", "\uffff", "\U0001f600", "", None, "n"]), rng.choice(["en", None]), rng.choice([1, None]), rng.choice(["x\ny", "", None, "line\n", "ü"])) for i in ids]
+    rows += [rows[3]] * 5 + [(None, "a", None, None, None)] * 30 + [(5, "a", "en", k % 9, f"t{k % 5}\n") for k in range(40)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, lang string, n_chars long, text string, place string").repartition(3)
+    got = manifest.manifest(df, manifest.without_newlines(), rise).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got), key=key) == sorted(plain_manifest(rows), key=key)
+
+
+def test_odd_manifests(spark):
+    schema = "doc_id long, source string, lang string, n_chars long, text string"
+    empty = spark.createDataFrame([], schema)
+    assert manifest.manifest(empty).count() == 0
+    one = manifest.manifest(spark.createDataFrame([(1, None, None, None, "a" * 3_000_000 + "\n")], schema)).first()
+    assert one["leaf"] == one["subroot"] == one["root"] == one["folded_root"] and one["verified"] and one["proof_sha256"] == hashlib.sha256(b"").hexdigest()
+    nulls = spark.createDataFrame([(None,) * 5] * 3, schema)
+    assert sorted(map(tuple, manifest.manifest(nulls).collect())) == sorted(plain_manifest([(None,) * 5] * 3))
