@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, html, language, licenses, manifest, mixing, quality, simhash, tokens, topk, toxicity
+from . import conversations, decontaminate, html, language, licenses, manifest, mixing, nearest, quality, simhash, tokens, topk, toxicity
 from .common import table
 
 
@@ -81,6 +81,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"), manifest.without_newlines())
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = nearest.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return nearest.nearest(vectors, vectors.where("id % 100 = 0"), 10).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language": op2_language,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_nearest": op13_nearest,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -135,6 +141,15 @@ def _falling(name: str, first: str, nodes: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_nearest": """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, d.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id AND len(q.e) = len(d.e)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
     "op12_merkle_manifest": f"""
 WITH RECURSIVE d AS (SELECT *, coalesce('s' || source, 'n') AS tree, row_number() OVER () AS id, {_leaf("text")} AS leaf FROM documents),
 leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE leaf END AS other FROM d),

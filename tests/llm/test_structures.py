@@ -1,17 +1,19 @@
 """Conversation repair, manifests and nearest neighbours against brute force."""
 
 import hashlib
+import math
 import random
 import zlib
 from functools import lru_cache
 
+import numpy as np
 import pytest
 from conftest import same_rows
 
-from casesafety.llm import conversations, manifest, queries
+from casesafety.llm import conversations, manifest, nearest, queries
 
 
-@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_merkle_manifest"])
+@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_merkle_manifest", "op13_nearest"])
 def test_against_duckdb(spark, duck, sf_dir, name):
     got = duck.execute(queries.ORACLE_SQL[name])
     ours, theirs = same_rows(queries.QUERIES[name](spark, sf_dir), got.fetchall(), [c[0] for c in got.description])
@@ -176,3 +178,54 @@ def test_odd_manifests(spark):
     assert one["leaf"] == one["subroot"] == one["root"] == one["folded_root"] and one["verified"] and one["proof_sha256"] == hashlib.sha256(b"").hexdigest()
     nulls = spark.createDataFrame([(None,) * 5] * 3, schema)
     assert sorted(map(tuple, manifest.manifest(nulls).collect())) == sorted(plain_manifest([(None,) * 5] * 3))
+
+
+def plain_nearest(rows, query_ids, k):
+    """Every distance, in the order of the components."""
+    good = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = []
+    for q, v in {(i, tuple(v)) for i, v in good if i in query_ids}:
+        found = []
+        for i, x in good:
+            if i != q and len(x) == len(v):
+                total = 0.0
+                for a, b in zip(v, x, strict=True):
+                    total += (a - b) * (a - b)
+                found.append((math.sqrt(total) if math.isfinite(total) and total >= 1e-280 else math.dist(v, x), i))
+        out += [(q, n + 1, i, d) for n, (d, i) in enumerate(sorted(found)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("kind", "rows", "lane"), [("float", 1024, 4), ("double", 8, 1), ("double", 5, 3)])
+def test_neighbours_are_those_of_all_distances(spark, monkeypatch, kind, rows, lane):
+    """Clusters, copies, near copies, vectors of other lengths and sizes, and rows that take no part."""
+    for name, value in (("ROWS", rows), ("GROUP", rows), ("LANE", lane), ("MOST_LANE", lane)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(3, 6))[rng.integers(3, size=150)] + rng.choice([0, 1e-9, 0.1], size=(150, 1)) * rng.normal(size=(150, 6))
+    m = m.astype(np.float32).astype(float)
+    table = [(i, v.tolist()) for i, v in enumerate(m)] + [(1000 + i, m[7].tolist()) for i in range(60)] + [(5, m[7].tolist())] * 30
+    table += [(300 + i, [float(i), 1.0]) for i in range(15)] + [(400, None), (401, []), (402, [0.0] * 6), (403, [1.0, None] * 3), (404, [math.nan] * 6), (None, [1.0] * 6), (405, [math.inf] * 6)]
+    if kind == "double":
+        table += [(500 + i, [1e200 * (i + 1)] * 6) for i in range(12)] + [(600 + i, [1e-200 * (i + 1)] * 6) for i in range(12)]
+    df = spark.createDataFrame([(*r, "x") for r in table], f"vec_id long, embedding array<{kind}>, score string").repartition(3)
+    vectors = nearest.whole_vectors(df, "vec_id", "embedding")
+    queries_ = {r for r, _ in table if r is not None and (r % 5 == 0 or r >= 500)}
+    got = nearest.nearest(vectors, vectors.where("id % 5 = 0 or id >= 500"), 10)
+    assert sorted(map(tuple, got.collect())) == plain_nearest(table, queries_, 10)
+
+
+def test_bounds_hold_the_distances():
+    rng = np.random.default_rng(4)
+    for scale in (1e-150, 1e-6, 1.0, 1e5, 1e160):
+        q, x = (rng.normal(size=(n, 40)) * scale * rng.choice([1, 1e-3], size=(n, 1)) for n in (9, 30))
+        low, high = nearest.bounds(nearest.coded(q), nearest.coded(x))
+        true = np.array([[math.dist(a, b) for b in x] for a in q])
+        assert (low <= true).all() and (true <= high).all()
+    assert (np.median(high - low) < 0.1 * np.median(true)) or scale > 1e140
+
+
+def test_few_and_no_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [5.0])], "id long, v array<double>")
+    assert [tuple(r) for r in nearest.nearest(df, df.where("id % 100 = 0"), 10).collect()] == [(0, 1, 1, math.sqrt(2))]
+    assert nearest.nearest(df.limit(0), df, 3).count() == 0 and nearest.nearest(df, df.limit(0), 3).count() == 0
