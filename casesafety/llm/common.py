@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of bytes other than ASCII white space, as ``bytes.split()`` finds them.
@@ -37,6 +37,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_and_told(df: DataFrame, name: str, *told: Column) -> tuple[DataFrame, dict]:
+    """``staged``, with aggregates of the rows (named columns) that are taken as they are written, so no other job reads them for it."""
+    seen = Observation()
+    return staged(df.observe(seen, *told), name), seen.get
+
+
 def n_words(text):
     """Number of words; a null text has none. The cast keeps null when the column is not a string."""
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, staged_and_told
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -27,8 +27,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # larger neighbours go to the least
         star = _least(large)
         small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).where("u != v")
-        edges = staged(small.distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
+        edges, now = staged_and_told(small.distinct(), "links", F.count("*").alias("links"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        if now == seen or not now["links"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         seen = now

@@ -16,7 +16,7 @@ map of ``FILTER_BITS`` bits and send on the shingles that may be an item's, whic
 the items found, by hash. A frequent shingle's documents are dealt to ``PARTS`` parts. Both ways give the same rows.
 
 Null texts count as empty; an item without an id is one like any other; rows that repeat a doc_id or item_id are reported each; extra columns
-are ignored. An item may be as long as a document.
+are ignored. An item may be as long as a document. Documents are read whole, however long; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mixed, n_words, staged, text_hash
@@ -158,13 +158,15 @@ def _shuffled(docs: DataFrame, items: DataFrame, width: int, threshold: float) -
 
     rows = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), F.col("text").cast("string"))
     found = rows.mapInArrow(hits, "doc_id long, text_hash long, hash long, shingle binary")
-    each = staged(found.groupBy("doc_id", "text_hash", "hash", "shingle").agg(F.count("*").alias("times")), "hits")
+    each = staged(found.groupBy("doc_id", "text_hash", "hash", "shingle").agg(F.count("*").alias("times")).withColumn("matching", F.count("*").over(Window.partitionBy("doc_id", "text_hash"))), "hits")
     each = each.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(PARTS)).cast("int"))
     dealt = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
-    candidates = each.select("doc_id", "text_hash", "times", "hash", "part").join(parts.where("sketch").select("item", "hash", dealt), ["hash", "part"]).select("doc_id", "text_hash", "times", "item").distinct()
+    # A document with fewer matching shingles than the item needs doesn't contain it, so the item's other shingles aren't laid out for it.
+    met = each.select("doc_id", "text_hash", "times", "hash", "part", "matching").join(parts.where("sketch").select("item", "hash", F.col("need").alias("least"), dealt), ["hash", "part"])
+    candidates = met.where("matching >= least").select("doc_id", "text_hash", "times", "item").distinct()
     # Verified on all shingles that the two have in common.
     pairs = staged(candidates, "candidates").join(parts.select("item", "n", "need", "hash", "shingle"), "item")
-    c, e = pairs.alias("c"), each.drop("times", "part").alias("e")
+    c, e = pairs.alias("c"), each.drop("times", "part", "matching").alias("e")
     same = (F.col("c.hash") == F.col("e.hash")) & (F.col("c.shingle") == F.col("e.shingle")) & F.col("c.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("c.text_hash") == F.col("e.text_hash"))
     counted = c.join(e, same).groupBy("c.doc_id", "c.text_hash", "c.times", "c.item", "c.n", "c.need").agg(F.count("*").alias("shared"))
     good = counted.where("shared >= need").select("doc_id", "text_hash", "times", "item", (F.col("shared") / F.col("n")).alias("containment"))

@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .features import code_points, sequence_ngrams
+from .features import char_ngrams
 from .markup import visible_text
 
 #: Numbers in the n-gram model, and buckets of a language as a power of two, at most.
 CELLS, BITS = 1 << 24, 16
 #: Numbers in the evidence around pages (combinations of host, suffix and declaration by languages) that are broadcast at most; more are joined by shuffle.
 BROADCAST_NUMBERS = 400_000
+#: Numbers of the model that are laid out for a page at a time.
+GATHER = 1 << 21
 #: Rows of languages, or of ids to be fitted on, that are broadcast at most.
 BROADCAST_ROWS = 500_000
 #: Parts that a combination's pages are dealt to in that shuffle; languages that are aggregated as columns of their own.
@@ -42,10 +44,19 @@ PARTS, WIDE = 16, 64
 SHARED = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "ltd", "me", "ne", "net", "nom", "or", "org", "plc", "sch")
 
 
-def _grams(text: str, bits: int) -> np.ndarray:
-    if not text:
-        return np.zeros(0, np.uint32)
-    return np.concatenate(sequence_ngrams(code_points(f" {text.lower()} "), range(1, 4), 48)) & np.uint32((1 << bits) - 1)
+def _grams(text: str, bits: int) -> Iterator[np.ndarray]:
+    """The buckets of a text's n-grams, in parts of bounded size."""
+    if text:
+        for g in char_ngrams(f" {text.lower()} ", range(1, 4), 48):
+            yield g & np.uint32((1 << bits) - 1)
+
+
+def _counted(text: str, bits: int) -> np.ndarray:
+    """How often each bucket occurs in a text."""
+    n = np.zeros(1 << bits, np.int64)
+    for g in _grams(text, bits):
+        n += np.bincount(g, minlength=1 << bits)
+    return n
 
 
 def fit_ngrams(docs: DataFrame, max_fit_rows: int = 1000) -> tuple[list[str], np.ndarray]:
@@ -66,8 +77,9 @@ def fit_ngrams(docs: DataFrame, max_fit_rows: int = 1000) -> tuple[list[str], np
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang, text in zip(b["lang"], b["text"], strict=True):
-                g, n = np.unique(_grams(text or "", bits), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": g.astype(np.int32), "n": n})
+                n = _counted(text or "", bits)
+                g = np.flatnonzero(n)
+                yield pd.DataFrame({"lang": lang, "gram": g.astype(np.int32), "n": n[g]})
 
     def logs(pdf: pd.DataFrame) -> pd.DataFrame:
         n = np.full(1 << bits, 0.1)
@@ -92,8 +104,20 @@ def text_evidence(pages: DataFrame, table: np.ndarray, most: float):
         for htmls in batches:
             out = []
             for h in htmls:
-                g = _grams(visible_text(h), bits)
-                e = rows[:, g].sum(axis=1, dtype=np.float64) / max(1, len(g)) * (len(g) * most / (len(g) + most))
+                text = visible_text(h)
+                if len(text) * len(rows) <= GATHER:
+                    parts = list(_grams(text, bits))
+                    n, e = sum(map(len, parts)), np.zeros(len(rows))
+                    for g in parts:
+                        e += rows[:, g].sum(axis=1, dtype=np.float64)
+                else:  # a long page, or many languages: the page's counts times the model, a bounded part of it at a time
+                    counts = _counted(text, bits)
+                    g = np.flatnonzero(counts)
+                    n, e = int(counts.sum()), np.zeros(len(rows))
+                    for k in range(0, len(g), max(1, GATHER // len(rows))):
+                        part = g[k : k + max(1, GATHER // len(rows))]
+                        e += rows[:, part].astype(np.float64) @ counts[part]
+                e = e / max(1, n) * (n * most / (n + most))
                 out.append((e - e.max(initial=-np.inf)).tolist() if len(e) else [])
             yield pd.Series(out)
 

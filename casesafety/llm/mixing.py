@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, staged
+from .common import n_words, staged, staged_and_told
 
 #: Rows of a source that a range holds about; the hash has so many bits; ranges under one sum.
 RANGE_ROWS, HASH_BITS, UNDER = 512, 52, 1024
@@ -59,10 +59,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats:
     """
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
     order = F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
-    sizes = staged(docs.select("doc_id", F.col("source").cast("string"), *keys, n_words(F.col("text")).alias("size"), order.alias("order")), "sizes")
-    targets = staged(source_targets(sizes, weights, repeats), "targets")
-    count, sources = sizes.count(), targets.count()
-    bits = min(HASH_BITS, max(0, (count // RANGE_ROWS).bit_length()))
+    sized = docs.select("doc_id", F.col("source").cast("string"), *keys, n_words(F.col("text")).alias("size"), order.alias("order"))
+    sizes, whole = staged_and_told(sized, "sizes", F.count("*").alias("rows"), F.sum("size").alias("words"))
+    targets, known = staged_and_told(source_targets(sizes, weights, repeats), "targets", F.count("*").alias("sources"))
+    sources = known["sources"]
+    bits = min(HASH_BITS, max(0, (whole["rows"] // RANGE_ROWS).bit_length()))
     named = sizes.join(F.broadcast(targets) if sources <= 10_000 else targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
 
     # The source's words up to and with each document, in shuffled order.
@@ -79,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats:
     timed = passes.withColumn("finish", finish).withColumn("slot", F.floor(F.least("finish", F.lit(1.0)) * n))
     queue = Window.partitionBy("slot").orderBy("finish", "rank", "pass", "upto").rowsBetween(Window.unboundedPreceding, 0)
     placed = timed.join(_before(timed, [], "slot"), "slot").withColumn("place", F.col("base") + F.sum("size").over(queue))
-    budget = sizes.agg(F.sum("size")).first()[0] or 0
+    budget = whole["words"] or 0
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(budget) - (F.col("place") - F.col("size"))))
     columns = ["doc_id", "source", *keys, "size", "source_size", "target"]
     taken = placed.groupBy(*columns, "upto").agg(F.sum(part).cast("long").alias("taken")).select(*columns, "taken")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_hash
+from .common import staged, staged_and_told, text_hash
 from .components import connected_components
 
 RADIUS, SEED = 3, 42
@@ -112,9 +112,9 @@ def _hub_links(probes: DataFrame, entries: DataFrame) -> DataFrame:
 def links(fps: DataFrame, hot: int = 256) -> DataFrame:
     """(a, b) that join the distinct fingerprints ``fps`` (fp) just as all pairs within ``RADIUS`` bits would."""
     entries = _segments(fps)
-    crowded = staged(entries.groupBy("segment", "key").count().where(F.col("count") > hot).select("segment", "key"), "crowded")
+    crowded, told = staged_and_told(entries.groupBy("segment", "key").count().where(F.col("count") > hot).select("segment", "key"), "crowded", F.count("*").alias("n"))
     probes = _probes(entries)
-    if crowded.isEmpty():
+    if not told["n"]:
         return _pair_links(probes, entries)
     far = [x.join(crowded, ["segment", "key"], "left_anti") for x in (probes, entries)]
     close = [x.join(crowded, ["segment", "key"], "left_semi") for x in (probes, entries)]
@@ -126,14 +126,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, hot: int = 256) -> DataFram
 
     component_id is the smallest doc_id reachable by links, null if none is there; root is a fingerprint of the component, by which it is known.
     """
-    rows = staged(fingerprints(docs, words), "fingerprints")
+    rows, size = staged_and_told(fingerprints(docs, words), "fingerprints", F.count("*").alias("n"))
     first = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")), "first")
     root = staged(connected_components(links(first.select("fp"), hot)), "roots")
     linked = first.join(root, F.col("fp") == F.col("node")).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(least, "root").select("fp", "root", "least")
     ids = staged(first.join(moved, "fp", "left").select("fp", "times", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id")), "ids")
-    share = rows.count() / HEAVY
+    share = size["n"] / HEAVY
     heavy = F.broadcast(ids.where(F.col("times") > share).select("fp", "root", "component_id"))
     rest = rows.join(heavy.select("fp"), "fp", "left_anti").join(ids.where(F.col("times") <= share).select("fp", "root", "component_id"), "fp")
     return rows.join(heavy, "fp").unionByName(rest).select("doc_id", "text_hash", "fp", "root", "component_id")
