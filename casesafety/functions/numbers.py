@@ -14,13 +14,22 @@ def round_half_even(c: Column, places: int) -> Column:
 NUMBER = r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(nan|inf|infinity)$"
 
 
-def rating(c: Column) -> Column:
-    """A cell as a double; null if it is missing or isn't a number ('2d' and '0x1p0' are none)."""
+#: Types whose cells are numbers as they are, and those whose cells are whole numbers.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+NUMERIC = (*WHOLE, "float", "double")
+
+
+def rating(c: Column, kind: str = "string") -> Column:
+    """A cell of type ``kind`` as a double; null if it is missing or isn't a number ('2d' and '0x1p0' are none)."""
+    if kind in NUMERIC:
+        return c.cast("double")
     text = F.trim(c.cast("string"))
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def count_or_none(c: Column) -> Column:
-    """A cell as a whole number; null if blank, missing or anything else ('2.0' is no whole number)."""
+def count_or_none(c: Column, kind: str = "string") -> Column:
+    """A cell of type ``kind`` as a whole number; null if blank, missing or anything else ('2.0' is no whole number)."""
+    if kind in WHOLE:
+        return c.try_cast("int")
     text = F.trim(c.cast("string"))
     return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int"))
