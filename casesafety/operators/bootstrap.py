@@ -1,31 +1,39 @@
-"""Paired cluster bootstrap of a mean score difference.
+"""Paired cluster bootstrap of mean score differences.
 
 A replicate draws as many clusters as there are, with replacement, and takes the mean over the drawn rows. Sums and
-counts of each cluster suffice for that. A draw is a number of 32 bits made of (seed, replicate, slot): two keys of 32 bits
-each from a digest of seed and replicate, mixed with the slot by two different one-to-one functions and added up. So
-the interval is the same for any partitioning, replicates of different seeds have nothing in common, and draws within a
-replicate repeat as chance has it.
+counts of each cluster suffice for that, so a replicate is a row of counts times the table of the clusters' sums; several models' sums
+are more columns of that table.
 
-Up to ``BROADCAST_CLUSTERS`` clusters (two numbers each) go to every task, which draws whole replicates as arrays; more are
-numbered in a distributed sort and joined to the draws. Both give the same replicates.
+Up to ``BROADCAST_CLUSTERS`` clusters go to every task, which draws whole replicates as arrays. A draw is a number of 32 bits made
+of (seed, replicate, slot): two keys of 32 bits each from a digest of seed and replicate, mixed with the slot by two different
+one-to-one functions and added up. So the interval is the same for any partitioning, replicates of different seeds have nothing in
+common, and draws within a replicate repeat as chance has it.
+
+More clusters are dealt to blocks by a hash, and how many of a replicate's draws fall into a block is dealt down a tree: at each
+node a binomial of the draws there goes to the left half of its blocks. A node's numbers follow from (seed, node) alone, so each task finds
+those of its block by itself; within the block the draws are made among its clusters. No row is made for a draw: a block gives one row of sums for each
+replicate. The replicates aren't those of the other way, but are distributed alike, and are the same for any partitioning.
+
+A group of ``by`` with fewer than two clusters has no interval.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import exp, factorial
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Clusters that are broadcast to the draws at most.
 BROADCAST_CLUSTERS = 1_000_000
-#: Slots of a replicate that are laid out at a time; clusters that are weighed at a time.
-SLOTS, CHUNK = 4096, 128
+#: Clusters of a block about, when there are more; replicates whose counts are laid out at a time; clusters that are weighed at a time.
+BLOCK, REPLICATES, CHUNK = 1 << 16, 64, 128
 #: Multipliers of a 32-bit mixing function and of the slots for either key; below 2^31 and 2^32, so that no product leaves 64 bits. Fixed values.
 MIX, SPREAD, MASK = (569420461, 1935289751), (2654435769, 2246822519), 4294967295
 #: A Poisson(1) weight is the number of these that a number of 32 bits reaches.
@@ -44,7 +52,7 @@ def cluster_stats(pairs: DataFrame, cluster: str = "anchor_id", by: tuple[str, .
     return drop_incomplete(pairs, cluster, score_a, score_b).groupBy(*by, F.col(cluster).alias("cluster")).agg(F.sum(d).alias("s"), F.count("*").alias("n"))
 
 
-def require_clusters(stats: DataFrame, least: int = 2) -> int:
+def require_clusters(stats: DataFrame | Clusters, least: int = 2) -> int:
     """The number of clusters; an error if there are fewer than ``least``."""
     k = stats.count()
     if k < least:
@@ -57,13 +65,6 @@ def mean_difference(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return stats.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("mean_difference"))
 
 
-def _mixed(x):
-    """A 32-bit number spread over all 32-bit numbers, one to one: two rounds of shift and multiply, in generated code."""
-    for shift, by in zip((16, 15), MIX, strict=True):
-        x = (x.bitwiseXOR(F.shiftright(x, shift)) * by).bitwiseAND(F.lit(MASK))
-    return x.bitwiseXOR(F.shiftright(x, 15))
-
-
 def _mixed_array(x: np.ndarray) -> np.ndarray:
     for shift, by in zip((16, 15), MIX, strict=True):
         x = ((x ^ (x >> np.uint64(shift))) * np.uint64(by)) & np.uint64(MASK)
@@ -75,88 +76,136 @@ def _keys(text: Column) -> tuple[Column, Column]:
     return tuple(F.conv(F.substring(F.md5(text), at, 8), 16, 10).cast("long") for at in (1, 9))
 
 
-def _numbers(keys: tuple, slot: Column) -> Column:
-    """A number of 32 bits for each slot."""
-    one, two = (_mixed(k.bitwiseXOR((slot * by).bitwiseAND(F.lit(MASK)))) for k, by in zip(keys, SPREAD, strict=True))
-    return (one + two).bitwiseAND(F.lit(MASK))
-
-
 def _number_array(keys: tuple, slots: np.ndarray) -> np.ndarray:
     one, two = (_mixed_array(k ^ ((slots * np.uint64(by)) & np.uint64(MASK))) for k, by in zip(keys, SPREAD, strict=True))
     return (one + two) & np.uint64(MASK)
 
 
-def _numbered(stats: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """``stats`` with each cluster's number k within its group, in order; sorted in ranges, so that no task has all clusters."""
-    ranges = stats.orderBy(*by, "cluster").persist(StorageLevel.DISK_ONLY).select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
-    sizes = dict(ranges.groupBy("range").agg((F.max("at") + 1).alias("size")).collect())  # a number for each range
-    starts, total = {}, 0
-    for k in sorted(sizes):
-        starts[k], total = total, total + sizes[k]
-    start = stats.sparkSession.createDataFrame(list(starts.items()), "range int, start long")
-    placed = ranges.join(F.broadcast(start), "range").withColumn("place", F.col("start") + F.col("at")).drop("range", "at", "start")
-    if not by:
-        return placed.withColumnRenamed("place", "k")
-    return placed.join(placed.groupBy(*by).agg(F.min("place").alias("first")), list(by)).withColumn("k", F.col("place") - F.col("first")).drop("place", "first")
-
-
-def _held(stats: DataFrame, by: tuple[str, ...]) -> DataFrame | None:
-    """The statistics as a local table in order, if there are few enough clusters."""
-    rows = stats.limit(BROADCAST_CLUSTERS + 1).toArrow()
-    if rows.num_rows > BROADCAST_CLUSTERS:
-        return None
-    rows = rows.sort_by([(c, "ascending") for c in (*by, "cluster")])
-    return stats.sparkSession.createDataFrame(rows)
-
-
-def _drawn_in_arrays(held: DataFrame, n_boot: int, seed: int, by: tuple[str, ...]) -> DataFrame:
-    local = held.toArrow().to_pandas()
-    s, n = local["s"].to_numpy(np.float64), local["n"].to_numpy(np.float64)
+@dataclass(frozen=True)
+class Clusters:
+    """Sums ``values`` of each cluster, by group: as a local table in order, if there are few enough, else as a DataFrame."""
+
+    spark: SparkSession
+    by: tuple[str, ...]
+    values: tuple[str, ...]
+    local: pd.DataFrame | None
+    stats: DataFrame
+
+    def totals(self) -> DataFrame:
+        """(by, values) summed up over the clusters."""
+        if self.local is None or self.by:
+            stats = self.stats if self.local is None else self.spark.createDataFrame(self.local.groupby(list(self.by), dropna=False, sort=False)[list(self.values)].sum().reset_index(), self.stats.select(*self.by, *self.values).schema)
+            return stats.groupBy(*self.by).agg(*[F.sum(v).alias(v) for v in self.values])
+        return self.spark.createDataFrame([tuple(self.local[v].sum().item() if len(self.local) else None for v in self.values)], self.stats.select(*self.values).schema)
+
+    def count(self) -> int:
+        return len(self.local) if self.local is not None else self.stats.count()
+
+
+def gathered(stats: DataFrame, by: tuple[str, ...] = (), values: tuple[str, ...] = ("s", "n")) -> Clusters:
+    """Computes ``stats`` (by, cluster, values) once. More clusters than are broadcast are checkpointed, where a folder is set for that."""
+    stats = stats.select(*by, "cluster", *values)
+    spark = stats.sparkSession
+    once = stats.persist(StorageLevel.DISK_ONLY)
+    rows = once.limit(BROADCAST_CLUSTERS + 1).toArrow()
+    if rows.num_rows <= BROADCAST_CLUSTERS:
+        once.unpersist()
+        return Clusters(spark, by, values, rows.sort_by([(c, "ascending") for c in (*by, "cluster")]).to_pandas(), stats)
+    if spark.sparkContext.getCheckpointDir() is None:
+        return Clusters(spark, by, values, None, once)
+    kept = once.checkpoint()
+    once.unpersist()
+    return Clusters(spark, by, values, None, kept)
+
+
+def _drawn_in_arrays(clusters: Clusters, n_boot: int, seed: int) -> DataFrame:
+    local, by, values, spark = clusters.local, clusters.by, clusters.values, clusters.spark
+    table = local[list(values)].to_numpy(np.float64)
     groups = local.groupby(list(by), dropna=False, sort=False).indices if by else {(): np.arange(len(local))}
     spans = [np.sort(at) for at in groups.values() if len(at) > 1]
-    spark = held.sparkSession
-    kept = spark.sparkContext.broadcast((s, n, spans))
+    kept = spark.sparkContext.broadcast((table, spans))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, n, spans = kept.value
+        table, spans = kept.value
         for b in batches:
-            out = []
-            for group, one, two in zip(b["group"], b["one"], b["two"], strict=True):
+            out = np.empty((len(b), len(values)))
+            for i, (group, one, two) in enumerate(zip(b["group"], b["one"], b["two"], strict=True)):
                 at = spans[group]
-                k = at[(_number_array((np.uint64(one), np.uint64(two)), np.arange(len(at), dtype=np.uint64)) * np.uint64(len(at)) >> np.uint64(32)).astype(np.int64)]
-                out.append((s[k].sum(), n[k].sum()))
-            yield pd.DataFrame({"group": b["group"], "b": b["b"], "s": [x for x, _ in out], "n": [int(x) for _, x in out]})
+                k = (_number_array((np.uint64(one), np.uint64(two)), np.arange(len(at), dtype=np.uint64)) * np.uint64(len(at)) >> np.uint64(32)).astype(np.int64)
+                out[i] = np.bincount(k, minlength=len(at)) @ table[at]
+            yield pd.DataFrame({"group": b["group"], "b": b["b"], **{v: out[:, j] for j, v in enumerate(values)}})
 
     key = _keys(F.concat(F.lit(f"{seed}|"), F.col("b").cast("string")))
     asked = spark.range(n_boot * len(spans)).select((F.col("id") % n_boot).cast("int").alias("b"), F.floor(F.col("id") / n_boot).cast("int").alias("group")).withColumns({"one": key[0], "two": key[1]})
-    drawn = asked.mapInPandas(draw, "group int, b int, s double, n long")
+    drawn = asked.mapInPandas(draw, f"group int, b int, {', '.join(f'`{v}` double' for v in values)}")
     if not by:
         return drawn.drop("group")
     groups_of = local.iloc[[int(at[0]) for at in spans]][list(by)].assign(group=range(len(spans)))
-    labels = spark.createDataFrame(list(groups_of.itertuples(index=False, name=None)), T.StructType([*held.select(*by).schema.fields, T.StructField("group", T.IntegerType())]))
-    return drawn.join(F.broadcast(labels), "group").select(*by, "b", "s", "n")
-
-
-def _drawn_by_join(stats: DataFrame, n_boot: int, seed: int, by: tuple[str, ...]) -> DataFrame:
-    numbered = _numbered(stats, by)
-    sizes = numbered.groupBy(*by).agg(F.count("*").alias("clusters")).where("clusters > 1")
-    # A row for each replicate and slot; the replicates of a group are spread before its slots are laid out, a block at a time.
-    replicates = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(*by, "b")
-    key = _keys(F.concat(F.lit(f"{seed}|"), F.col("b").cast("string")))
-    blocks = replicates.withColumns({"one": key[0], "two": key[1]}).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("clusters") - 1, F.lit(SLOTS).cast("long"))))
-    slots = blocks.withColumn("j", F.explode(F.sequence("from", F.least(F.col("from") + SLOTS, "clusters") - 1)))
-    draw = _numbers((F.col("one"), F.col("two")), F.col("j"))
-    drawn = slots.select(*by, "b", F.shiftright(draw * F.col("clusters"), 32).alias("k"))
-    return drawn.join(numbered.select(*by, "k", "s", "n"), [*by, "k"]).groupBy(*by, "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-
-
-def resampled_sums(stats: DataFrame, n_boot: int = 5000, seed: int = 2026, by: tuple[str, ...] = ()) -> DataFrame:
+    labels = spark.createDataFrame(list(groups_of.itertuples(index=False, name=None)), T.StructType([*clusters.stats.select(*by).schema.fields, T.StructField("group", T.IntegerType())]))
+    return drawn.join(F.broadcast(labels), "group").select(*by, "b", *values)
+
+
+def _stream(seed: int, kind: int, at: int) -> np.random.Generator:
+    """Random numbers that belong to a node (kind 0), or to a block's clusters (kind 1)."""
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence((seed, kind, at))))
+
+
+def draws_of_block(sizes: np.ndarray, block: int, n_boot: int, seed: int) -> np.ndarray:
+    """How many of each replicate's draws fall into a block, when there are as many draws as clusters in blocks of these sizes."""
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    draws, lo, hi, node = np.full(n_boot, before[-1]), 0, len(sizes), 1
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = _stream(seed, 0, node).binomial(draws, (before[mid] - before[lo]) / max(1, before[hi] - before[lo]))
+        if block < mid:
+            draws, hi, node = left, mid, 2 * node
+        else:
+            draws, lo, node = draws - left, mid, 2 * node + 1
+    return draws
+
+
+def _drawn_by_counts(clusters: Clusters, n_boot: int, seed: int) -> DataFrame:
+    by, values = clusters.by, clusters.values
+    # A group's blocks follow from its number of clusters; the sizes of all of them go to each as an array.
+    size = clusters.stats.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.count("*").alias("clusters")).where("clusters > 1")
+    met = clusters.stats.join(size, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]) if by else clusters.stats.join(F.broadcast(size))  # without groups one row
+    dealt = met.select(*by, "cluster", *values, F.ceil(F.col("clusters") / BLOCK).cast("long").alias("blocks"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.col("cluster").cast("string")), F.col("blocks")).cast("int"))
+    each = dealt.groupBy(*by, "blocks", "block").agg(F.count("*").alias("here"))
+    sizes = each.groupBy(*by, "blocks").agg(F.sort_array(F.collect_list(F.struct("block", "here"))).alias("sizes"))
+    told = sizes.select(*[F.col(c).alias(c) for c in (*by, "blocks", "sizes")], F.explode("sizes.block").alias("block"))
+
+    def draw(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("cluster")
+        known = right["sizes"].iloc[0]
+        sizes = np.zeros(int(right["blocks"].iloc[0]), np.int64)
+        for r in known:
+            sizes[r["block"]] = r["here"]
+        block, table = int(right["block"].iloc[0]), left[list(values)].to_numpy(np.float64)
+        draws, stream, out = draws_of_block(sizes, block, n_boot, seed), _stream(seed, 1, block), np.empty((n_boot, len(values)))
+        for k in range(0, n_boot, REPLICATES):
+            counts = np.stack([np.bincount(stream.integers(len(table), size=n), minlength=len(table)) for n in draws[k : k + REPLICATES]])
+            out[k : k + REPLICATES] = counts @ table
+        return pd.DataFrame({**{c: [left[c].iloc[0]] * n_boot for c in by}, "b": np.arange(n_boot, dtype=np.int32), **{v: out[:, j] for j, v in enumerate(values)}})
+
+    keys = [*by, "block"]
+    schema = T.StructType([*clusters.stats.select(*by).schema.fields, T.StructField("b", T.IntegerType()), *[T.StructField(v, T.DoubleType()) for v in values]])
+    sums = dealt.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(draw, schema)
+    return sums.groupBy(*by, "b").agg(*[F.sum(v).alias(v) for v in values])
+
+
+def replicates(clusters: Clusters, n_boot: int = 5000, seed: int = 2026) -> DataFrame:
+    """(by, b, values): every replicate's sums."""
+    return _drawn_by_counts(clusters, n_boot, seed) if clusters.local is None else _drawn_in_arrays(clusters, n_boot, seed)
+
+
+def resampled_sums(stats: DataFrame | Clusters, n_boot: int = 5000, seed: int = 2026, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, b, s, n): every replicate's sums. Groups of ``by`` with fewer than two clusters are left out."""
-    held = _held(stats, by)
-    return _drawn_by_join(stats, n_boot, seed, by) if held is None else _drawn_in_arrays(held, n_boot, seed, by)
+    clusters = stats if isinstance(stats, Clusters) else gathered(stats, by)
+    return replicates(clusters, n_boot, seed).withColumn("n", F.col("n").cast("long"))
 
 
-def resample(stats: DataFrame, n_boot: int = 5000, seed: int = 2026, by: tuple[str, ...] = ()) -> DataFrame:
+def resample(stats: DataFrame | Clusters, n_boot: int = 5000, seed: int = 2026, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, b, diff): every replicate's mean difference. Groups of ``by`` with fewer than two clusters are left out."""
     return resampled_sums(stats, n_boot, seed, by).select(*by, "b", (F.col("s") / F.col("n")).alias("diff"))
 
@@ -168,19 +217,54 @@ def percentile_ci(diffs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def paired_cluster_bootstrap(pairs: DataFrame, cluster: str = "anchor_id", n_boot: int = 5000, seed: int = 2026, score_a: str = "score_a", score_b: str = "score_b") -> DataFrame:
     """(mean_difference, ci_2_5, ci_97_5), one row; an error if there are fewer than two clusters."""
-    stats = cluster_stats(pairs, cluster, (), score_a, score_b)
-    held = _held(stats, ())
-    stats = stats if held is None else held
-    require_clusters(stats)
-    return mean_difference(stats).join(percentile_ci(resample(stats, n_boot, seed)))
+    clusters = gathered(cluster_stats(pairs, cluster, (), score_a, score_b))
+    require_clusters(clusters)
+    return mean_difference(clusters.totals()).join(percentile_ci(resample(clusters, n_boot, seed)))
 
 
 def bootstrap_by_group(pairs: DataFrame, by: tuple[str, ...], cluster: str = "anchor_id", n_boot: int = 5000, seed: int = 2026, score_a: str = "score_a", score_b: str = "score_b") -> DataFrame:
     """(by, mean_difference, ci_2_5, ci_97_5) of each group with two or more clusters, all in one job. Groups with a null in ``by`` are left out."""
-    stats = cluster_stats(pairs.dropna(subset=list(by)), cluster, by, score_a, score_b)
-    held = _held(stats, by)
-    stats = stats if held is None else held
-    return mean_difference(stats, by).join(percentile_ci(resample(stats, n_boot, seed, by), by), list(by))
+    clusters = gathered(cluster_stats(pairs.dropna(subset=list(by)), cluster, by, score_a, score_b), by)
+    return mean_difference(clusters.totals(), by).join(percentile_ci(resample(clusters, n_boot, seed, by), by), list(by))
+
+
+def model_sums(scores: DataFrame, models: list[str], on: tuple[str, ...] = ("case_id", "run_id"), cluster: str = "anchor_id", value: str = "cscs") -> DataFrame:
+    """(cluster, m0, m1, ..., n): each model's sum of scores over the items of each cluster that all ``models`` have a score for, and the number of these items."""
+    of = [F.max(F.when(F.col("model_id") == m, F.col(value))).alias(f"m{k}") for k, m in enumerate(models)]
+    items = scores.where(F.col("model_id").isin(*models)).groupBy(*on).agg(F.max(cluster).alias("cluster"), *of)
+    there = [F.col(f"m{k}").isNotNull() & ~F.isnan(f"m{k}") for k in range(len(models))]
+    whole = items.where(F.col("cluster").isNotNull())
+    for t in there:
+        whole = whole.where(t)
+    return whole.groupBy("cluster").agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in range(len(models))], F.count("*").alias("n"))
+
+
+def compare_models(scores: DataFrame, models: list[str] | None = None, on: tuple[str, ...] = ("case_id", "run_id"), cluster: str = "anchor_id", value: str = "cscs", n_boot: int = 5000, seed: int = 2026) -> DataFrame:
+    """(model_a, model_b, mean_difference, ci_2_5, ci_97_5, low, high) of each two models, model_a before model_b by name.
+
+    All models are compared on the items that each of them has a score for, so a replicate is drawn once and costs a column for each model, not
+    one for each pair. ci_2_5 and ci_97_5 are a pair's own interval, as ``paired_cluster_bootstrap`` has it over these items; low and high hold for all
+    pairs at once: the mean difference less and plus its standard error times the 95 % quantile of the largest standardised deviation of any pair (max-T).
+    A pair whose difference never varies has that difference as its interval.
+    """
+    names = sorted(models if models is not None else [r[0] for r in scores.select("model_id").where("model_id is not null").distinct().collect()])  # models are few
+    if len(names) < 2:
+        raise ValueError("need at least two models")
+    values = (*[f"m{k}" for k in range(len(names))], "n")
+    clusters = gathered(model_sums(scores, names, on, cluster, value), (), values)
+    require_clusters(clusters)
+    two = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    pair = F.explode(F.array(*[F.struct(F.lit(names[i]).alias("model_a"), F.lit(names[j]).alias("model_b"), ((F.col(f"m{i}") - F.col(f"m{j}")) / F.col("n")).alias("diff")) for i, j in two]))
+    drawn = replicates(clusters, n_boot, seed).select("b", pair.alias("p")).select("b", "p.*")
+    keys = ("model_a", "model_b")
+    spread = drawn.groupBy(*keys).agg(F.stddev_samp("diff").alias("se"), F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    whole = clusters.totals().select(pair.alias("p")).select("p.model_a", "p.model_b", F.col("p.diff").alias("mean_difference"))
+    known = whole.join(spread, list(keys))  # a row for each pair
+    apart = drawn.join(F.broadcast(known.select(*keys, "mean_difference", "se")), list(keys)).where(F.col("se") > 1e-12 * F.greatest(F.abs("mean_difference"), F.lit(1.0)))
+    largest = apart.groupBy("b").agg(F.max(F.abs(F.col("diff") - F.col("mean_difference")) / F.col("se")).alias("t")).agg(F.coalesce(F.percentile("t", F.lit(0.95)), F.lit(0.0)).alias("c"))
+    wide = F.when(F.col("se") > 1e-12 * F.greatest(F.abs("mean_difference"), F.lit(1.0)), F.col("c") * F.col("se")).otherwise(0.0)
+    out = known.join(F.broadcast(largest)).select(*keys, "mean_difference", F.col("q")[0].alias("ci_2_5"), F.col("q")[1].alias("ci_97_5"), wide.alias("wide"))
+    return out.select(*keys, "mean_difference", "ci_2_5", "ci_97_5", (F.col("mean_difference") - F.col("wide")).alias("low"), (F.col("mean_difference") + F.col("wide")).alias("high"))
 
 
 def poisson_bootstrap(pairs: DataFrame, cluster: str = "anchor_id", n_boot: int = 5000, seed: int = 2026, score_a: str = "score_a", score_b: str = "score_b") -> DataFrame:

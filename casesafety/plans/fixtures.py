@@ -27,6 +27,13 @@ SELECT concat('C', cast(o.o_orderkey AS varchar(20))) AS case_id,
        cast(CASE WHEN (o.o_orderkey + m.m + r.r) % 13 = 0 THEN 1 ELSE 0 END AS int) AS danger_severe
 FROM {orders} o CROSS JOIN (SELECT 0 AS m UNION ALL SELECT 1) m CROSS JOIN (SELECT 0 AS r UNION ALL SELECT 1) r"""
 
+#: Scores of four models on the same cases, with gaps.
+PANEL = """
+SELECT concat('C', cast(o.o_orderkey AS varchar(20))) AS case_id, concat('m', cast(m.m AS varchar(5))) AS model_id, 'r0' AS run_id,
+       CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE concat('A', cast(o.o_custkey AS varchar(20))) END AS anchor_id,
+       CASE WHEN o.o_orderkey % 17 = m.m THEN NULL ELSE cast((o.o_orderkey * (31 + m.m * 6) + m.m * 17) % (13 - m.m) AS double) * 8 END AS cscs
+FROM {orders} o CROSS JOIN (SELECT 0 AS m UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) m"""
+
 CASES = """
 SELECT concat(CASE WHEN doc_id % 7 = 6 THEN 'GC' ELSE 'CR' END, cast(doc_id AS varchar(20))) AS case_id,
        CASE WHEN doc_id % 7 = 6 THEN NULL ELSE concat('A', cast((doc_id - doc_id % 7) * 2 + (CASE WHEN doc_id % 7 < 3 THEN 0 ELSE 1 END) AS varchar(20))) END AS anchor_id,
@@ -71,6 +78,16 @@ SELECT concat('m', cast(c_custkey % 7 AS varchar(5))) AS model_id, CASE WHEN c_c
 FROM {customer}"""
 
 
+#: Run records over time: several of a model, some of one date, none of some models, and each second one with retrieval.
+RECORDS = """
+SELECT concat('m', cast(c_custkey % 5 AS varchar(5))) AS model_id, date_add(DATE '1993-01-01', cast(c_custkey * 37 % 1900 AS int)) AS evaluation_date, c_name AS prompt,
+       CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS retrieval_config
+FROM {customer} WHERE c_custkey % 5 <> 1 AND c_custkey % 3 = 0"""
+
+#: Predictions with the day on which they were made; a model without records and days before the first record are among them.
+DATED = "SELECT p.*, o.o_orderdate AS scored_on FROM (" + PREDICTIONS + ") p JOIN {orders} o ON p.case_id = concat('C', cast(o.o_orderkey AS varchar(20)))"
+
+
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of ``sql`` over the tables in ``sf_dir`` that it names in braces; ``json_string`` is a text as JSON."""
     names = set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numbers import round_half_even
-from ..operators import bootstrap, classifier, integrity, pairing, reports, scoring, validation, variants
+from ..operators import bootstrap, classifier, integrity, pairing, reports, runs, scoring, validation, variants
 from ..schemas import DIMENSIONS
 from ..sources import cases as case_sources
 from . import fixtures as fx
@@ -359,13 +359,18 @@ def _number(text: str, slot: str) -> str:
     return f"(({one} + {two}) & {bootstrap.MASK})"
 
 
-def _draws(stats: str, by: str = "") -> str:
+def _drawn(stats: str, by: str = "") -> str:
+    """Clusters c with their number k in order, and draws d of such numbers for each replicate."""
     key, part = (f"{by}, ", f"PARTITION BY {by}") if by else ("", "")
-    same = f"AND d.{by} = c.{by}" if by else ""
     one, two = (_mixed(f"xor({k}, (j * {by_}) & {bootstrap.MASK})") for k, by_ in zip(("one", "two"), bootstrap.SPREAD, strict=True))
-    return f"""WITH c AS (SELECT *, row_number() OVER ({part} ORDER BY cluster) - 1 AS k, count(*) OVER ({part}) AS size FROM ({stats})),
+    return f"""c AS (SELECT *, row_number() OVER ({part} ORDER BY cluster) - 1 AS k, count(*) OVER ({part}) AS size FROM ({stats})),
     h AS (SELECT {key}size, b, CAST('0x' || substr(md5('2026|' || b), 1, 8) AS BIGINT) AS one, CAST('0x' || substr(md5('2026|' || b), 9, 8) AS BIGINT) AS two FROM (SELECT DISTINCT {key}size FROM c WHERE size > 1), (SELECT unnest(range({N_BOOT})) AS b)),
-    d AS (SELECT {key}b, ((({one} + {two}) & {bootstrap.MASK}) * size) >> 32 AS k FROM (SELECT *, unnest(range(size)) AS j FROM h))
+    d AS (SELECT {key}b, ((({one} + {two}) & {bootstrap.MASK}) * size) >> 32 AS k FROM (SELECT *, unnest(range(size)) AS j FROM h))"""
+
+
+def _draws(stats: str, by: str = "") -> str:
+    same = f"AND d.{by} = c.{by}" if by else ""
+    return f"""WITH {_drawn(stats, by)}
     SELECT {f"d.{by}, " if by else ""}b, round(sum(s), 6) / sum(n) AS diff FROM d JOIN c ON d.k = c.k {same} GROUP BY ALL"""
 
 
@@ -404,6 +409,37 @@ def bootstrap_by_group(spark, d):
     return rounded(bootstrap.bootstrap_by_group(of, ("domain",), n_boot=N_BOOT), "mean_difference", "ci_2_5", "ci_97_5")
 
 
+@query("bootstrap_counts", f"SELECT CAST(b AS INTEGER) AS b, count AS drawn FROM (SELECT unnest(range({N_BOOT})) AS b), (SELECT count(DISTINCT case_id) AS count FROM ({_PAIRS}) WHERE score_a IS NOT NULL AND score_b IS NOT NULL)")
+def bootstrap_counts(spark, d):
+    """Draws of each replicate when cases, dealt to blocks, are the clusters: as many as there are cases."""
+    stats = bootstrap.cluster_stats(pairs(spark, d), "case_id").withColumn("one", F.lit(1.0))
+    clusters = bootstrap.Clusters(spark, (), ("s", "n", "one"), None, stats)
+    return bootstrap.replicates(clusters, N_BOOT).select("b", F.col("one").cast("long").alias("drawn"))
+
+
+_PANEL = fx.duck(fx.PANEL)
+_MODELS = range(4)
+_TWO = [(i, j) for i in _MODELS for j in _MODELS if i < j]
+_ITEMS = f"SELECT case_id, max(anchor_id) AS cluster, {', '.join(f'max(CASE WHEN model_id = {chr(39)}m{k}{chr(39)} THEN cscs END) AS m{k}' for k in _MODELS)} FROM ({_PANEL}) GROUP BY case_id"
+_MODEL_SUMS = f"SELECT cluster, {', '.join(f'sum(m{k}) AS m{k}' for k in _MODELS)}, count(*) AS n FROM ({_ITEMS}) WHERE cluster IS NOT NULL AND {' AND '.join(f'm{k} IS NOT NULL' for k in _MODELS)} GROUP BY cluster"
+
+
+def _each_two(of: str, more: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT {more}'m{i}' AS model_a, 'm{j}' AS model_b, (m{i} - m{j}) / n AS diff FROM {of}" for i, j in _TWO)
+
+
+@query(
+    "compare_models",
+    f"""WITH {_drawn(_MODEL_SUMS)}, r AS (SELECT b, {', '.join(f'sum(m{k}) AS m{k}' for k in _MODELS)}, sum(n) AS n FROM d JOIN c ON d.k = c.k GROUP BY b), w AS (SELECT {', '.join(f'sum(m{k}) AS m{k}' for k in _MODELS)}, sum(n) AS n FROM c),
+    p AS ({_each_two("r", "b, ")}), whole AS ({_each_two("w")}), q AS (SELECT model_a, model_b, stddev_samp(diff) AS se, quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.975) AS hi FROM p GROUP BY ALL),
+    k AS (SELECT model_a, model_b, whole.diff AS mean, se, lo, hi FROM whole JOIN q USING (model_a, model_b)), t AS (SELECT b, max(abs(diff - mean) / se) AS t FROM p JOIN k USING (model_a, model_b) GROUP BY b), z AS (SELECT quantile_cont(t, 0.95) AS z FROM t)
+    SELECT model_a, model_b, round(mean, 6) AS mean_difference, round(lo, 6) AS ci_2_5, round(hi, 6) AS ci_97_5, round(mean - z * se, 5) AS low, round(mean + z * se, 5) AS high FROM k, z""",
+)
+def compare_models(spark, d):
+    found = bootstrap.compare_models(fx.derived(spark, d, fx.PANEL), n_boot=N_BOOT)
+    return rounded(rounded(found, "mean_difference", "ci_2_5", "ci_97_5"), "low", "high", places=5)
+
+
 _WEIGHT = " + ".join(f"CAST(u >= {t} AS INTEGER)" for t in bootstrap.POISSON)
 _WEIGHED = f"""WITH c AS ({_STATS}), u AS (SELECT s, n, b, {_number("'2026|' || cluster", "b")} AS u FROM c, (SELECT unnest(range({N_BOOT})) AS b)), w AS (SELECT s, n, b, {_WEIGHT} AS w FROM u)
     SELECT b, sum(w * s) / sum(w * n) AS diff FROM w GROUP BY b HAVING sum(w * n) > 0"""
@@ -510,13 +546,50 @@ def longitudinal(spark, d):
     return rounded(reports.longitudinal(scores(spark, d)), "mean_cscs", "change").withColumn("evaluation_date", F.date_format("evaluation_date", "yyyy-MM-dd"))
 
 
+_RECORDS = fx.duck(fx.RECORDS)
+_AS_OF = f"""SELECT s.*, r.evaluation_date AS record_date, r.prompt, r.retrieval_config, r.model_id IS NOT NULL AS known FROM (SELECT *, 100.0::DOUBLE * greatest(0.0::DOUBLE, {RAW_SUM} - {PENALTY}) / 12 AS cscs FROM ({fx.duck(fx.DATED)})) s
+    ASOF LEFT JOIN (SELECT * FROM ({_RECORDS}) QUALIFY row_number() OVER (PARTITION BY model_id, evaluation_date ORDER BY prompt DESC) = 1) r ON s.model_id = r.model_id AND s.scored_on >= r.evaluation_date"""
+
+
+def dated_scores(spark, d):
+    return runs.as_of(scoring.score(fx.derived(spark, d, fx.DATED)), fx.derived(spark, d, fx.RECORDS), "scored_on")
+
+
+@query("as_of_records", f"SELECT case_id, model_id, run_id, strftime(record_date, '%Y-%m-%d') AS record_date, prompt, retrieval_config FROM ({_AS_OF})")
+def as_of_records(spark, d):
+    return dated_scores(spark, d).select("case_id", "model_id", "run_id", F.date_format("record.evaluation_date", "yyyy-MM-dd").alias("record_date"), "record.prompt", "record.retrieval_config")
+
+
+@query("longitudinal_by_record", f"SELECT model_id, strftime(record_date, '%Y-%m-%d') AS evaluation_date, n, round(m, 6) AS mean_cscs, round(m - lag(m) OVER (PARTITION BY model_id ORDER BY record_date), 6) AS change FROM (SELECT model_id, record_date, count(*) AS n, avg(cscs) AS m FROM ({_AS_OF}) WHERE known GROUP BY ALL)")
+def longitudinal_by_record(spark, d):
+    dated = runs.with_record_date(dated_scores(spark, d).drop("evaluation_date"))
+    return rounded(reports.longitudinal(dated), "mean_cscs", "change").withColumn("evaluation_date", F.date_format("evaluation_date", "yyyy-MM-dd"))
+
+
+#: Each case is asked twice, half a year apart, so that records with and without retrieval are met.
+_TWICE = "CASE WHEN run_id = 'r0' THEN scored_on ELSE CAST(scored_on + INTERVAL 180 DAY AS DATE) END"
+_RETRIEVAL = f"""SELECT * FROM (SELECT model_id, case_id, max(anchor_id) AS anchor_id, avg(CASE WHEN retrieval_config IS NOT NULL THEN cscs END) AS score_a, avg(CASE WHEN retrieval_config IS NULL THEN cscs END) AS score_b
+    FROM ({_AS_OF.replace("s.scored_on >= r", _TWICE.replace("run_id", "s.run_id").replace("scored_on", "s.scored_on") + " >= r")}) WHERE known GROUP BY ALL)"""
+_RETRIEVAL_STATS = f"SELECT model_id, anchor_id AS cluster, sum(score_a - score_b) AS s, count(*) AS n FROM ({_RETRIEVAL}) WHERE score_a IS NOT NULL AND score_b IS NOT NULL AND anchor_id IS NOT NULL GROUP BY ALL"
+
+
+@query(
+    "retrieval_effect",
+    f"SELECT m.model_id, round(mean_difference, 6) AS mean_difference, round(ci_2_5, 6) AS ci_2_5, round(ci_97_5, 6) AS ci_97_5 FROM (SELECT model_id, sum(s) / sum(n) AS mean_difference FROM ({_RETRIEVAL_STATS}) GROUP BY model_id) m JOIN (SELECT model_id, quantile_cont(diff, 0.025) AS ci_2_5, quantile_cont(diff, 0.975) AS ci_97_5 FROM ({_draws(_RETRIEVAL_STATS, 'model_id')}) GROUP BY model_id) c ON m.model_id = c.model_id",
+)
+def retrieval_effect(spark, d):
+    made = fx.derived(spark, d, fx.DATED).withColumn("scored_on", F.when(F.col("run_id") == "r0", F.col("scored_on")).otherwise(F.date_add("scored_on", 180)))
+    known = runs.as_of(scoring.score(made), fx.derived(spark, d, fx.RECORDS), "scored_on")
+    return rounded(runs.retrieval_effect(known, n_boot=N_BOOT), "mean_difference", "ci_2_5", "ci_97_5")
+
+
 _RUNS = fx.duck(fx.RUNS)
 
 
 @query("run_record_violations", f"SELECT model_id, 'provider' AS field FROM ({_RUNS}) WHERE provider IS NULL UNION ALL SELECT model_id, 'evaluation_date' FROM ({_RUNS}) WHERE evaluation_date IS NULL UNION ALL SELECT model_id, 'decoding_params' FROM ({_RUNS}) WHERE decoding IS NULL")
 def run_record_violations(spark, d):
-    runs = fx.derived(spark, d, fx.RUNS)
-    return reports.run_record_violations(runs.withColumn("decoding_params", F.when(F.col("decoding").isNotNull(), F.create_map("decoding", F.lit("1")))))
+    records = fx.derived(spark, d, fx.RUNS)
+    return reports.run_record_violations(records.withColumn("decoding_params", F.when(F.col("decoding").isNotNull(), F.create_map("decoding", F.lit("1")))))
 
 
 @query("stewardship_by_target", f"SELECT antibiotic_target, model_id, count(*) AS n, round(avg(antibiotic_stewardship), 6) AS mean_stewardship FROM ({PRED}) WHERE source_type = 'guideline_control' AND antibiotic_target IS NOT NULL GROUP BY ALL")

@@ -71,10 +71,10 @@ def test_reports(spark):
     assert [r["change"] for r in reports.longitudinal(days).orderBy("evaluation_date").collect()] == [None, 20.0]
 
 
-@pytest.mark.parametrize("way", ["arrays", "join"])
+@pytest.mark.parametrize("way", ["arrays", "blocks"])
 def test_interval_is_that_of_a_plain_bootstrap(spark, monkeypatch, way):
-    if way == "join":
-        monkeypatch.setattr(bootstrap, "BROADCAST_CLUSTERS", 3)
+    if way == "blocks":
+        in_blocks(spark, monkeypatch)
     rng = np.random.default_rng(5)
     rows = [(f"c{i}", f"A{int(rng.integers(40))}", float(rng.normal(0.3)), float(rng.normal())) for i in range(300)]
     stats = {}
@@ -90,13 +90,82 @@ def test_interval_is_that_of_a_plain_bootstrap(spark, monkeypatch, way):
     assert (near["ci_2_5"], near["ci_97_5"]) == pytest.approx(want, abs=0.03)
 
 
-def test_both_ways_draw_the_same(spark, monkeypatch):
-    df = some(spark, n=90).withColumn("g", F.when(F.col("anchor_id") < "A3", "x").otherwise("y"))
-    whole, by = bootstrap.cluster_stats(df), bootstrap.cluster_stats(df, by=("g",))
+def in_blocks(spark, monkeypatch, block=8):
+    monkeypatch.setattr(bootstrap, "BROADCAST_CLUSTERS", 3)
+    monkeypatch.setattr(bootstrap, "BLOCK", block)
+
+
+def test_counts_of_many_clusters(spark, monkeypatch):
+    """Each replicate draws as many clusters as there are, each cluster once on average and with a variance of 1 - 1/K, as when indices are drawn."""
+    in_blocks(spark, monkeypatch)
+    k, n_boot = 61, 3000
+    stats = spark.range(k).select(F.concat(F.lit("A"), "id").alias("cluster"), *[(F.col("id") == j).cast("double").alias(f"c{j}") for j in range(k)], F.lit(1.0).alias("one"))
+    clusters = bootstrap.gathered(stats, (), (*[f"c{j}" for j in range(k)], "one"))
+    assert clusters.local is None
+    rows = bootstrap.replicates(clusters, n_boot).drop("b").collect()
+    counts = np.array([r[:-1] for r in rows])
+    assert len(rows) == n_boot and (counts.sum(axis=1) == k).all() and all(r[-1] == k for r in rows)
+    assert abs(counts.mean(axis=0) - 1).max() < 5 / math.sqrt(n_boot)
+    assert abs(counts.var(axis=0) - (1 - 1 / k)).max() < 0.2
+    # How many clusters are drawn 0, 1, 2, ... times: chi-square with the binomial's shares, about 5 degrees of freedom.
+    share = [math.comb(k, j) * (1 / k) ** j * (1 - 1 / k) ** (k - j) for j in range(5)]
+    seen = [(counts == j).sum() for j in range(5)] + [(counts > 4).sum()]
+    want = [n_boot * k * x for x in (*share, 1 - sum(share))]
+    assert sum((a - b) ** 2 / b for a, b in zip(seen, want, strict=True)) < 25
+    # Two clusters' counts are correlated by -1 / (K - 1), in one block or in two.
+    c = np.corrcoef(counts.T)[np.triu_indices(k, 1)]
+    assert abs(c.mean() + 1 / (k - 1)) < 0.003
+
+
+def test_draws_go_down_the_tree():
+    sizes = np.array([5, 0, 9, 1, 30, 7, 8])
+    each = np.array([bootstrap.draws_of_block(sizes, b, 4000, 7) for b in range(len(sizes))])
+    assert (each.sum(axis=0) == 60).all() and (each[1] == 0).all()
+    p = sizes / 60
+    assert abs(each.mean(axis=1) - sizes).max() < 0.3 and abs(each.var(axis=1) - 60 * p * (1 - p)).max() < 1.2
+    assert (bootstrap.draws_of_block(sizes, 3, 4000, 7) == each[3]).all() and (bootstrap.draws_of_block(sizes, 3, 4000, 8) != each[3]).any()
+
+
+def test_partitions_do_not_matter_for_many_clusters(spark, monkeypatch):
+    in_blocks(spark, monkeypatch)
+    df = some(spark, n=90).withColumn("score_b", F.col("score_a") / 2).withColumn("anchor_id", F.concat("anchor_id", F.substring("case_id", 2, 1))).withColumn("g", F.when(F.col("anchor_id") < "A5", "x").otherwise("y"))
     rows = lambda d: {tuple(r)[:-1]: pytest.approx(r["diff"]) for r in d.collect()}
-    first = rows(bootstrap.resample(whole, 40)), rows(bootstrap.resample(by, 40, by=("g",)))
-    monkeypatch.setattr(bootstrap, "BROADCAST_CLUSTERS", 2)
-    assert (rows(bootstrap.resample(whole, 40)), rows(bootstrap.resample(by, 40, by=("g",)))) == first
+    found = []
+    for n in (3, 8):
+        dealt = df.repartition(n)
+        found.append((rows(bootstrap.resample(bootstrap.cluster_stats(dealt), 40)), rows(bootstrap.resample(bootstrap.cluster_stats(dealt, by=("g",)), 40, by=("g",)))))
+    assert found[0] == found[1] and len(found[0][0]) == 40 and len(found[0][1]) == 80
+    one, other = (rows(bootstrap.resample(bootstrap.cluster_stats(df), 40, seed)) for seed in (1, 2))
+    assert one != other
+
+
+def test_no_row_is_made_for_a_draw(spark, monkeypatch):
+    in_blocks(spark, monkeypatch, 16)
+    df = bootstrap.resampled_sums(bootstrap.cluster_stats(some(spark, n=60)), 500)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "sequence(" not in plan
+
+
+@pytest.mark.parametrize("way", ["arrays", "blocks"])
+def test_all_models_at_once(spark, monkeypatch, way):
+    if way == "blocks":
+        in_blocks(spark, monkeypatch)
+    rng = np.random.default_rng(9)
+    rows = [(f"c{i}", m, "r", f"A{i % 17}", None if (i, m) == (5, "b") else float(rng.normal(k * 0.3))) for i in range(120) for k, m in enumerate("abcd")] + [("c7x", "a", "r", "A1", 1.0)]
+    scores = spark.createDataFrame(rows, "case_id string, model_id string, run_id string, anchor_id string, cscs double")
+    got = {(r["model_a"], r["model_b"]): r for r in bootstrap.compare_models(scores, n_boot=800).collect()}
+    assert sorted(got) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")]
+    common = scores.where("case_id not in ('c5', 'c7x')")
+    for (a, b), r in got.items():
+        want = bootstrap.paired_cluster_bootstrap(pairing.pair_models(common, a, b), n_boot=800).first()
+        assert (r["mean_difference"], r["ci_2_5"], r["ci_97_5"]) == pytest.approx(tuple(want))
+        # What holds for all pairs at once is wider, about 2.6 standard errors to either side for six pairs of four models.
+        half, own = (r["high"] - r["low"]) / 2, (r["ci_97_5"] - r["ci_2_5"]) / 2
+        assert own * 1.1 < half < own * 1.6 and (r["low"] + r["high"]) / 2 == pytest.approx(r["mean_difference"])
+    same = scores.where("model_id = 'a'").unionByName(scores.where("model_id = 'a'").withColumn("model_id", F.lit("z")))
+    assert tuple(bootstrap.compare_models(same, n_boot=20).first())[2:] == (0.0,) * 5
+    with pytest.raises(ValueError, match="two models"):
+        bootstrap.compare_models(scores.where("model_id = 'a'"))
 
 
 def test_seeds_next_to_each_other_share_nothing(spark):
