@@ -39,4 +39,22 @@ def pair_models(scores: DataFrame, model_a: str, model_b: str, on: tuple[str, ..
 
 
 def duplicate_predictions(preds: DataFrame) -> DataFrame:
-    return preds.groupBy(*PREDICTION_KEY).agg(F.count("*").alias("n")).where("n > 1")
+    """(keys, n) of predictions that stand more than once, by the key columns there are."""
+    return preds.groupBy(*[c for c in PREDICTION_KEY if c in preds.columns]).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def pairing_faults(scores: DataFrame, cases: DataFrame) -> dict[str, DataFrame]:
+    """What a comparison would silently leave out or choose from: predictions of unknown cases, repeated predictions, repeated cases."""
+    again = cases.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1")
+    return {"unknown_cases": unknown_cases(scores, cases), "duplicate_predictions": duplicate_predictions(scores), "duplicate_cases": again}
+
+
+def write_and_require_none(faults: dict[str, DataFrame], out: str) -> None:
+    """Writes each table of faults below ``out``; an error that names those that aren't empty, with a row of each."""
+    found = []
+    for name, df in faults.items():
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        for r in df.sparkSession.read.parquet(f"{out}/{name}").limit(1).collect():
+            found.append(f"{name} ({', '.join(map(str, r))})")
+    if found:
+        raise ValueError(f"scores and cases don't fit, see {out}: {'; '.join(found)}")

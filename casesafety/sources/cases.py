@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 BLANK = r"^\s*$"
+#: Splits whose starts are broadcast, at most: a hundred bytes each.
+BROADCAST_SPLITS = 200_000
 
 
 def read_case_lines(spark: SparkSession, path: str, glob: str = "cases-*.jsonl") -> DataFrame:
     """(path, line_no, line) of every shard, line numbers from 1.
 
     Shards are read in splits, however large they are. Ids rise within a split, so a line's number is its place there and
-    the lines of the shard's splits before it, which are counted first, a number for each split.
+    the lines of the shard's splits before it, which are counted first, a number for each split. These few numbers are sent to the
+    lines, so lines are not shuffled; beyond ``BROADCAST_SPLITS`` splits Spark chooses the join.
     """
     at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"))
     lines = spark.read.option("pathGlobFilter", glob).text(path).select(at.alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
     splits = lines.groupBy("at").agg(F.min("id").alias("first"), F.count("*").alias("lines"))
     before = F.coalesce(F.sum("lines").over(Window.partitionBy("at.path").orderBy("at.split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = splits.select("at", "first", before.alias("before"))
+    starts = F.broadcast(starts) if splits.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS else starts
     return lines.join(starts, "at").select("at.path", (F.col("id") - F.col("first") + F.col("before") + 1).cast("int").alias("line_no"), "line")
 
 
