@@ -1,23 +1,29 @@
 """License scans with DataFrame functions only: sparse TF-IDF cosine of headers and licence files to templates,
 then inheritance from the nearest directory above that has a licence file.
 
-A file's units are its lines, and, in a file named LICENSE, LICENCE, COPYING or NOTICE, also its whole text.
+A file's units are its lines, every run of up to ``MOST_LINES`` lines (a notice is wrapped at some column, and stands in a comment or
+a paragraph), and, in a file named LICENSE, LICENCE, COPYING or NOTICE, also its whole text.
 Terms are lower-case words and numbers. Each unit is compared with each template by the cosine of
-term counts times idf = ln((1 + units) / (1 + units with the term)) + 1, over all terms of all lines of all files. The best
-template of at least ``threshold`` is the file's own licence (ties: the template of more words, then the first by name). A file
-without one takes that of the licence file in its own directory or the nearest one above it.
+term counts times idf = ln((1 + lines) / (1 + lines with the term)) + 1, over all terms of all lines of all files. A unit names the best
+template's licence of at least ``threshold`` (ties: the template of more words, then the first by name). Templates that share ``ALIKE`` or
+more of their terms are told apart by the others: a unit can't name one without having all terms that tell it from those like it (``library``, ``lesser`` and
+``3``, say), so the first lines of a notice that several licences share name none of them. Of a file's units the best one
+gives the file's own licence; but one whose terms are a part of another's (``HOLDS``) gives way where a unit names that other one. A file
+without a licence takes that of the licence file in its own directory or the nearest one above it.
 
 Units are pre-selected without loss: of each template's terms, rarest first, so many are needed that the
-rest weighs less than the threshold; a unit with none of these has a smaller cosine.
+rest weighs less than the threshold; a unit with none of these has a smaller cosine. Runs of lines are laid out only around lines that have one.
 
 Null and empty texts have no units; a null path is a file in no directory; a null ``key`` is one like any other, and rows that
 share a key are told apart by path and text. Rows that repeat are reported each; long texts are read whole, line by line; extra
-columns are ignored.
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -46,6 +52,12 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+#: Licences whose text holds all of another's: the one that has more terms, and the one it holds. Fixed values.
+HOLDS = (("BSD-3-Clause", "BSD-2-Clause"),)
+#: Share of their terms that templates of different licences have in common if they are alike.
+ALIKE = 0.7
+#: Lines that a wrapped notice takes, at most.
+MOST_LINES = 7
 #: Terms of the units that are compared, whose idf is broadcast, at most.
 BROADCAST_TERMS = 200_000
 #: Names of licence files, without what follows a dot.
@@ -57,43 +69,71 @@ def terms(text):
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def telling_terms() -> list[set[str]]:
+    """For each template its terms that one like it, of another licence, lacks."""
+    words = [set(re.findall(r"[a-z0-9]+", text.lower())) for _, text in TEMPLATES]
+    like = lambda i, j: TEMPLATES[i][0] != TEMPLATES[j][0] and len(words[i] & words[j]) >= ALIKE * len(words[i] | words[j])
+    return [set().union(*[a - words[j] for j in range(len(words)) if like(i, j)]) for i, a in enumerate(words)]
+
+
 def _templates(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame(list(enumerate(TEMPLATES)), "template int, t struct<license: string, text: string>")
-    return rows.select("template", "t.license", F.explode(terms(F.col("t.text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("n"))
+    tells = spark.createDataFrame([(k, sorted(t)) for k, t in enumerate(telling_terms())], "k int, telling array<string>")
+    counted = rows.select("template", "t.license", F.explode(terms(F.col("t.text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("n"))
+    return counted.join(tells, F.col("template") == F.col("k")).select("template", "license", "term", "n", F.array_contains("telling", F.col("term")).cast("int").alias("tells"), F.size("telling").alias("must"))
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    """(row, lines, words): the terms of each line of a file, and, of a licence file, those of the whole text."""
+    whole = F.when(F.col("is_license_file"), terms(F.col("text")))
+    return files.where("text is not null").select("row", F.transform(F.split("text", "\n"), terms).alias("lines"), whole.alias("words"))
 
 
-def _units(files: DataFrame) -> DataFrame:
-    """(row, unit, words): unit 0 is a licence file's whole text, the others are lines from 1."""
-    lines = files.select("row", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("row", (F.col("k") + 1).alias("unit"), terms(F.col("line")).alias("words"))
-    whole = files.where("is_license_file").select("row", F.lit(0).alias("unit"), terms(F.col("text")).alias("words"))
-    return lines.unionByName(whole).where(F.size("words") > 0)
+def _units(lines: DataFrame, anchors: Column) -> DataFrame:
+    """(row, unit, words) of the units that have one of ``anchors``: unit 0 is a licence file's whole text, the others are runs of lines, ``MOST_LINES`` numbers for each first line."""
+    telling = lines.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.arrays_overlap(F.get("lines", i), anchors))).where((F.size("at") > 0) | F.arrays_overlap("words", anchors))
+    starts = lambda i: F.sequence(F.greatest(F.lit(0), i - (MOST_LINES - 1)), i)
+    runs = lambda i: F.flatten(F.transform(starts(i), lambda a: F.transform(F.sequence(i, F.least(a + MOST_LINES, F.size("lines")) - 1), lambda z: a * MOST_LINES + (z - a) + 1)))
+    numbers = F.array_distinct(F.flatten(F.transform("at", runs)))
+    first, last = F.floor((F.col("unit") - 1) / MOST_LINES).cast("int"), (F.col("unit") - 1) % MOST_LINES
+    each = telling.select("row", "lines", F.explode(numbers).alias("unit")).select("row", "lines", "unit", first.alias("first"), last.cast("int").alias("more"))
+    # A run begins and ends with a line that has words; the others are the same runs.
+    some = each.where((F.size(F.get("lines", F.col("first"))) > 0) & (F.size(F.get("lines", F.col("first") + F.col("more"))) > 0))
+    joined = some.select("row", "unit", F.flatten(F.slice("lines", F.col("first") + 1, F.col("more") + 1)).alias("words"))
+    return joined.unionByName(telling.where(F.arrays_overlap("words", anchors)).select("row", F.lit(0).alias("unit"), "words"))
 
 
 def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
     """(row, license, cosine) of the files (row, text, is_license_file) that name a licence themselves."""
     spark = files.sparkSession
     vocabulary = staged(_templates(spark), "templates")
-    units = _units(files)
-    seen = units.where("unit > 0").select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("term"))
-    counts = staged(seen.groupBy("term").agg(F.count("*").alias("units")), "counts")  # '' counts the units
+    lines = _lines(files)
+    full = lines.select(F.explode("lines").alias("words")).where(F.size("words") > 0)
+    seen = full.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("term"))
+    counts = staged(seen.groupBy("term").agg(F.count("*").alias("units")), "counts")  # '' counts the lines
     total = F.lit((counts.where("term = ''").agg(F.sum("units")).first()[0] or 0) + 1)
     rarity = (F.log(total / (F.coalesce("units", F.lit(0)) + 1)) + 1).alias("idf")
-    weights = vocabulary.join(counts, "term", "left").select("template", "license", "term", "n", rarity).withColumn("w", F.col("n") * F.col("idf"))
+    weights = vocabulary.join(counts, "term", "left").select("template", "license", "term", "n", "tells", "must", rarity).withColumn("w", F.col("n") * F.col("idf"))
     square = Window.partitionBy("template")
     weights = weights.withColumns({"norm": F.sqrt(F.sum(F.col("w") * F.col("w")).over(square)), "length": F.sum("n").over(square)})
     rest = F.sum(F.col("w") * F.col("w")).over(square.orderBy("w", "term")) / (F.col("norm") * F.col("norm"))
     weights = staged(weights.withColumn("anchor", F.sqrt(rest) >= threshold - 1e-9), "weights")
     anchors = F.array(*[F.lit(r["term"]) for r in weights.where("anchor").select("term").distinct().orderBy("term").collect()])  # a fixed list
-    tells = staged(units.where(F.arrays_overlap("words", anchors)), "units")  # few, and read several times below
+    tells = staged(_units(lines, anchors), "units")  # few, and read several times below
 
     each = staged(tells.select("row", "unit", F.explode("words").alias("term")).groupBy("row", "unit", "term").agg(F.count("*").alias("tf")), "terms")
     known = staged(each.select("term").distinct().join(counts, "term").select("term", rarity), "idf")
     known = F.broadcast(known) if known.count() <= BROADCAST_TERMS else known
     valued = each.join(known, "term").withColumn("v", F.col("tf") * F.col("idf"))
     norms = valued.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("unit_norm"))
-    dots = valued.join(F.broadcast(weights.select("template", "license", "term", "w", "norm", "length")), "term").groupBy("row", "unit", "template", "license", "norm", "length").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    cosines = dots.join(norms, ["row", "unit"]).select("row", "license", "length", F.round(F.col("dot") / (F.col("norm") * F.col("unit_norm")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
-    best = cosines.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("less"), (-F.col("length")).alias("shorter"), "license")).alias("b"))
+    dots = valued.join(F.broadcast(weights.select("template", "license", "term", "w", "norm", "length", "tells", "must")), "term").groupBy("row", "unit", "template", "license", "norm", "length", "must").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.sum("tells").alias("told")).where("told = must")
+    cosines = dots.join(norms, ["row", "unit"]).select("row", "unit", "license", "length", F.round(F.col("dot") / (F.col("norm") * F.col("unit_norm")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
+    rank = F.struct((-F.col("cosine")).alias("less"), (-F.col("length")).alias("shorter"), "license")
+    named = cosines.groupBy("row", "unit").agg(F.min(rank).alias("b"))
+    held = [F.min(F.when(F.col("b.license") == more, F.col("b"))).alias(f"more{k}") for k, (more, _) in enumerate(HOLDS)]
+    best = named.groupBy("row").agg(F.min("b").alias("b"), *held)
+    for k, (_, less) in enumerate(HOLDS):
+        best = best.withColumn("b", F.when((F.col("b.license") == less) & F.col(f"more{k}").isNotNull(), F.col(f"more{k}")).otherwise(F.col("b")))
     return best.select("row", "b.license", (-F.col("b.less")).alias("cosine"))
 
 

@@ -107,6 +107,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 _TERMS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+_TELLING = ", ".join(f"({k}, '{term}')" for k, mine in enumerate(licenses.telling_terms()) for term in sorted(mine))
 _FILES = """SELECT doc_id, text, CASE WHEN doc_id % 1000 = 0 THEN top || '/LICENSE' WHEN doc_id % 100 = 0 THEN top || middle || '/LICENSE' WHEN doc_id % 10 = 0 THEN top || middle || low || '/LICENSE'
                   ELSE top || middle || low || '/' || doc_id || '.txt' END AS path
   FROM (SELECT *, coalesce(source, 'none') || '/' || doc_id // 1000 AS top, '/' || doc_id // 100 AS middle, '/' || doc_id // 10 AS low FROM documents)"""
@@ -186,19 +187,26 @@ SELECT size.conv_id, gaps, blank, duplicate, truncated, coalesce(illegal, 0) AS
 FROM size JOIN ended e ON size.conv_id IS NOT DISTINCT FROM e.conv_id AND e.n = size.size LEFT JOIN pairs ON size.conv_id IS NOT DISTINCT FROM pairs.conv_id""",
     "op5_license_scan": f"""
 WITH f AS (SELECT *, row_number() OVER () AS r, path LIKE '%/LICENSE' AS marked, regexp_replace(path, '/[^/]*$', '') AS dir FROM ({_FILES})),
-units AS (
-  SELECT r, i AS unit, {_TERMS.format("lines[i]")} AS words FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT r, string_split(text, chr(10)) AS lines FROM f))
-  UNION ALL SELECT r, 0, {_TERMS.format("text")} FROM f WHERE marked),
-n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM units WHERE unit > 0 AND len(words) > 0),
+cut AS (SELECT r, list_transform(string_split(text, chr(10)), lambda l: {_TERMS.format("l")}) AS w FROM f WHERE text IS NOT NULL),
+lines AS (SELECT r, i, w[i] AS words FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM cut) WHERE len(w[i]) > 0),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lines),
 t AS (SELECT template, license, term, count(*) AS k FROM (SELECT template, license, unnest({_TERMS.format("text")}) AS term FROM (VALUES {_TEMPLATES}) v(template, license, text)) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT r, unit, unnest(words) AS term FROM units WHERE unit > 0) GROUP BY term),
+units AS (SELECT * FROM (
+  SELECT r, i * {licenses.MOST_LINES} + k AS unit, flatten(w[i:i + k]) AS words FROM (SELECT r, i, w, unnest(range({licenses.MOST_LINES})) AS k FROM lines JOIN cut USING (r)) WHERE i + k <= len(w) AND len(w[i + k]) > 0
+  UNION ALL SELECT r, 0, {_TERMS.format("text")} FROM f WHERE marked) WHERE list_has_any(words, (SELECT list(DISTINCT term) FROM t))),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT r, i, unnest(words) AS term FROM lines) GROUP BY term),
 idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT term FROM t UNION SELECT term FROM df) LEFT JOIN df USING (term), n),
 w AS (SELECT template, license, term, k * idf AS w, sqrt(sum(k * idf * k * idf) OVER (PARTITION BY template)) AS norm, sum(k) OVER (PARTITION BY template) AS length FROM t JOIN idf USING (term)),
 tf AS (SELECT r, unit, term, count(*) AS tf FROM (SELECT r, unit, unnest(words) AS term FROM units) GROUP BY ALL),
 v AS (SELECT r, unit, tf.term, tf * idf AS v FROM tf JOIN idf ON tf.term = idf.term),
 unit_norm AS (SELECT r, unit, sqrt(sum(v * v)) AS u FROM v GROUP BY ALL),
-c AS (SELECT r, license, any_value(length) AS length, round(sum(v * w) / (any_value(norm) * any_value(u)), 6) AS cosine FROM v JOIN w ON v.term = w.term JOIN unit_norm USING (r, unit) GROUP BY r, unit, template, license),
-own AS (SELECT * FROM c WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY r ORDER BY cosine DESC, length DESC, license) = 1),
+telling(template, term) AS (VALUES {_TELLING}),
+c AS (SELECT r, unit, template, license, any_value(length) AS length, round(sum(v * w) / (any_value(norm) * any_value(u)), 6) AS cosine FROM v JOIN w ON v.term = w.term JOIN unit_norm USING (r, unit) GROUP BY r, unit, template, license),
+told AS (SELECT r, unit, template, count(*) AS told FROM tf JOIN telling USING (term) GROUP BY ALL),
+must AS (SELECT template, count(*) AS must FROM telling GROUP BY template),
+named AS (SELECT c.* FROM c LEFT JOIN must USING (template) LEFT JOIN told USING (r, unit, template) WHERE cosine >= 0.6 AND coalesce(told, 0) = coalesce(must, 0) QUALIFY row_number() OVER (PARTITION BY r, unit ORDER BY cosine DESC, length DESC, license) = 1),
+led AS (SELECT *, first_value(license) OVER (PARTITION BY r ORDER BY cosine DESC, length DESC, license) AS top FROM named),
+own AS (SELECT r, license, cosine FROM led QUALIFY row_number() OVER (PARTITION BY r ORDER BY top = 'BSD-2-Clause' AND license = 'BSD-3-Clause' DESC, cosine DESC, length DESC, license) = 1),
 given AS (SELECT dir AS up, min(license) AS dir_license FROM f JOIN own USING (r) WHERE marked GROUP BY dir),
 nearest AS (SELECT dir, up, dir_license FROM (SELECT DISTINCT dir FROM f) JOIN given ON dir = up OR starts_with(dir, up || '/') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(up) DESC) = 1)
 SELECT doc_id, path, coalesce(license, dir_license) AS license, cosine, CASE WHEN license IS NOT NULL THEN 'file' WHEN dir_license IS NOT NULL THEN 'directory' END AS origin,

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -428,21 +429,29 @@ def plain_licenses(files, threshold=0.6):
         return [w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w]
 
     marked = {k: (p or "").rpartition("/")[2].partition(".")[0].lower() in licenses.FILES for k, p, _ in files}
-    units = [(k, terms(line)) for k, _, t in files for line in (t.split("\n") if t is not None else [])]
-    units = [(k, w) for k, w in units if w]
-    df, n = Counter(t for _, w in units for t in set(w)), len(units)
+    cut = {(k, p, t): [terms(line) for line in t.split("\n")] for k, p, t in files if t is not None}
+    whole = [w for lines in cut.values() for w in lines if w]
+    df, n = Counter(t for w in whole for t in set(w)), len(whole)
     idf = lambda t: math.log((1 + n) / (1 + df[t])) + 1
+    units = [(k, sum(lines[i : i + m], [])) for (k, _, _), lines in cut.items() for i in range(len(lines)) for m in range(1, licenses.MOST_LINES + 1) if i + m <= len(lines) and any(lines[i : i + m])]
     units += [(k, terms(t)) for k, _, t in files if marked[k] and t and terms(t)]
     vector = lambda w: {t: c * idf(t) for t, c in Counter(w).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    own = {}
+    own, three = {}, {}
     for k, w in units:
-        v = vector(w)
-        for name, text in licenses.TEMPLATES:
+        v, mine = vector(w), (0, 0, "")
+        for (name, text), telling in zip(licenses.TEMPLATES, licenses.telling_terms(), strict=True):
+            if not telling <= set(w):
+                continue
             t = vector(terms(text))
             c = round(sum(x * t.get(y, 0) for y, x in v.items()) / norm(v) / norm(t), 6)
             if c >= threshold:
-                own[k] = min(own.get(k, (0, 0, "")), (-c, -len(terms(text)), name))
+                mine = min(mine, (-c, -len(terms(text)), name))
+        if mine[2]:
+            own[k] = min(own.get(k, mine), mine)
+        if mine[2] == "BSD-3-Clause":
+            three[k] = min(three.get(k, mine), mine)
+    own = {k: three.get(k, m) if m[2] == "BSD-2-Clause" else m for k, m in own.items()}
     given_ = {}
     for k, p, _ in files:
         if marked[k] and k in own and "/" in p:
@@ -477,6 +486,33 @@ def test_license_scan_matches_the_plain_version(spark):
     assert licenses.scan(df.where("key = 5")).first()["license"] is None
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_notices(spark, mark):
+    """Every notice at three widths, alone in a file of code, and the texts that once were taken for others'."""
+    filler = ["import os", "", "def run(x):", "    return x + 1", ""]
+
+    def wrapped(text, width):
+        return "\n".join(mark + line for line in textwrap.wrap(text, width - len(mark)))
+
+    files, want = [(10_000 + i, f"n/{i}.py", "plain words without any meaning\nand a second line of the text") for i in range(60)], {}
+    for i, (name, text) in enumerate(licenses.TEMPLATES):
+        for width in (40, 60, 80):
+            key = 100 * i + width
+            files.append((key, f"w/{key}.py", "\n".join([*filler, f"{mark}Copyright 2024 The Authors", wrapped(text, width), *filler])))
+            want[key] = name
+    lesser = dict(licenses.TEMPLATES[::-1]) | dict(licenses.TEMPLATES)
+    more = ", or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; see the GNU Lesser General Public License for more details."
+    for key, name in ((9001, "LGPL-2.1"), (9002, "LGPL-3.0")):
+        files.append((key, f"l/{key}.c", wrapped(lesser[name], 60) + more))
+        want[key] = name
+    two, three = (next(t for n, t in licenses.TEMPLATES if n == x) for x in ("BSD-2-Clause", "BSD-3-Clause"))
+    files.append((9003, "b/LICENSE", f"Copyright (c) 2024, The Authors\nAll rights reserved.\n\n{wrapped(two, 76)}:\n\n1. Redistributions of source code must retain the above notice.\n\n3. {wrapped(three, 76)}.\n"))
+    files.append((9004, "b2/LICENSE", f"Copyright (c) 2024, The Authors\nAll rights reserved.\n\n{wrapped(two, 76)}:\n\n1. Redistributions of source code must retain the above notice.\n"))
+    want |= {9003: "BSD-3-Clause", 9004: "BSD-2-Clause"}
+    got = {r["key"]: r["license"] for r in licenses.scan(spark.createDataFrame(files, "key long, path string, text string")).collect() if r["key"] < 10_000}
+    assert {k: (v, want[k]) for k, v in got.items() if v != want[k]} == {}
+
+
 def test_license_query_finds_the_lines(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op5_license_scan(spark, sf_dir).collect():
