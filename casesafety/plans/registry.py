@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -12,6 +12,8 @@ from ..functions.numbers import round_half_even
 from ..operators import bootstrap, classifier, integrity, pairing, reports, runs, scoring, validation, variants
 from ..schemas import DIMENSIONS
 from ..sources import cases as case_sources
+from ..sources import predictions as prediction_sources
+from ..sources.shared import shared_folder
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +82,78 @@ def parse_cases(spark, d):
     return parsed.select("line_no", "case_id", "anchor_id", "source_type", "domain", "variant", "vignette", F.coalesce(F.array_join("reference_management", ","), F.lit("")).alias("reference_management"))
 
 
+def _shards(spark, d) -> DataFrame:
+    """The lines, written as shards to the shared folder and read back: (place, line), place by shard and line number over all shards."""
+    path = shared_folder(spark, "shards")
+    whole = lines(spark, d)
+    whole.repartitionByRange(4, "line_no").sortWithinPartitions("line_no").select("line").write.text(path)
+    return case_sources.read_case_lines(spark, path, "part-*.txt")
+
+
+@query("read_case_lines", f"SELECT CAST(row_number() OVER (ORDER BY line_no) AS INTEGER) AS place, line FROM ({LINES})")
+def read_case_lines(spark, d):
+    read = _shards(spark, d)
+    sizes = read.groupBy("path").agg(F.max("line_no").alias("size"))
+    before = sizes.select(F.col("path").alias("shard"), (F.sum("size").over(Window.orderBy("path")) - F.col("size")).alias("before"))  # a row for each shard
+    return read.join(F.broadcast(before), F.col("path") == F.col("shard")).select((F.col("before") + F.col("line_no")).cast("int").alias("place"), "line")
+
+
+@query("shards_exist", f"SELECT count(*) AS lines FROM ({LINES})")
+def shards_exist(spark, d):
+    read = _shards(spark, d)
+    case_sources.assert_shards_exist(read)
+    return read.agg(F.count("*").alias("lines"))
+
+
+_ANCHOR_ROWS = """SELECT concat('A', cast(c_custkey AS varchar(20))) AS anchor_id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_mktsegment END AS domain, concat('"', c_name, '", ', c_mktsegment) AS title, concat('https://example.org/', cast(c_custkey AS varchar(20))) AS url,
+    cast(c_nationkey AS varchar(20)) AS pmcid, concat('first line, ', c_name, chr(10), 'second "line"') AS source_summary, c_name AS candidate_diagnosis FROM {customer}"""
+
+
+@query("read_anchors", fx.duck(_ANCHOR_ROWS))
+def read_anchors(spark, d):
+    path = shared_folder(spark, "anchors")
+    fx.derived(spark, d, _ANCHOR_ROWS).write.option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", None).option("emptyValue", "").csv(path)
+    return case_sources.read_anchors(spark, path)
+
+
+_GUIDELINE_ROWS = "SELECT concat('G', cast(n_nationkey AS varchar(20))) AS guideline_id, n_name AS organization, concat(n_name, ', ', n_name) AS title, cast(1990 + n_nationkey AS int) AS year, concat('https://example.org/', cast(n_regionkey AS varchar(20))) AS url, 'control' AS use FROM {nation}"
+
+
+@query("read_guidelines", fx.duck(_GUIDELINE_ROWS))
+def read_guidelines(spark, d):
+    path = shared_folder(spark, "guidelines")
+    fx.derived(spark, d, _GUIDELINE_ROWS).write.option("header", True).csv(path)
+    return case_sources.read_guidelines(spark, path)
+
+
+_RAW_COLUMNS = ("case_id", "model_id", "run_id", *DIMENSIONS, "danger_minor", "danger_moderate", "danger_severe")
+
+
+@query("read_predictions", f"SELECT {', '.join(f'nullif({c}, {chr(39) * 2}) AS {c}' for c in _RAW_COLUMNS)} FROM ({RAW})")
+def read_predictions(spark, d):
+    """White space around a value stays."""
+    path = shared_folder(spark, "predictions")
+    raw_predictions(spark, d).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return prediction_sources.read_predictions(spark, path)
+
+
+@query("write_scores", f"""SELECT case_id, model_id, run_id, round_even(cscs, 2) AS cscs, '{{"minor":1,"moderate":3,"severe":6}}' AS weights FROM ({SCORED})""")
+def write_scores(spark, d):
+    path = shared_folder(spark, "scores")
+    prediction_sources.write_scores(scores(spark, d), path)
+    return spark.read.parquet(path)
+
+
+@query("write_batches", f"""SELECT case_id, model_id, run_id, round_even(cscs, 2) AS cscs, CAST(CASE WHEN model_id = 'm0' THEN 0 ELSE 1 END AS BIGINT) AS batch FROM ({SCORED})""")
+def write_batches(spark, d):
+    """Two batches; the second is written twice, with other rows first."""
+    path = shared_folder(spark, "batches")
+    written = prediction_sources.written_scores(scores(spark, d)).drop("weights")
+    for batch, model in ((0, "m0"), (1, "m0"), (1, "m1")):
+        prediction_sources.write_batch(written.where(F.col("model_id") == model), path, batch)
+    return prediction_sources.read_batches(spark, path)
+
+
 _OBJECT = f"l AS (SELECT *, CASE WHEN json_valid(line) AND json_type(line) = 'OBJECT' THEN line END AS j FROM ({LINES}))"
 _HAS = "list_contains(json_keys(j), '{0}')"
 
@@ -379,6 +453,11 @@ def cluster_stats(spark, d):
     return rounded(bootstrap.cluster_stats(pairs(spark, d)), "s")
 
 
+@query("require_clusters", f"SELECT count(*) AS clusters FROM ({_STATS})")
+def require_clusters(spark, d):
+    return spark.createDataFrame([(bootstrap.require_clusters(bootstrap.cluster_stats(pairs(spark, d))),)], "clusters long")
+
+
 @query("mean_difference", f"SELECT round(sum(s) / sum(n), 6) AS mean_difference FROM ({_STATS})")
 def mean_difference(spark, d):
     return rounded(bootstrap.mean_difference(bootstrap.cluster_stats(pairs(spark, d))), "mean_difference")
@@ -482,6 +561,14 @@ def class_weights(spark, d):
     return rounded(classifier.class_weights(responses(spark, d)), "weight")
 
 
+@query("fit_guard", f"SELECT label, count(*) AS n FROM ({RESP}) WHERE label IS NOT NULL GROUP BY label")
+def fit_guard(spark, d):
+    """The labels that training is allowed on."""
+    every = responses(spark, d)
+    classifier.fit_guard(every)
+    return every.where("label is not null").groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query("safety_predictions")
 def safety_predictions(spark, d):
     """Fitted on the labelled responses; every document is scored."""
