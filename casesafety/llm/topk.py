@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Vectors in a block, in a range of the order, and queries in a group, at most; bytes of a block's and of a group's matrix, at most.
-ROWS, RANGE_ROWS, GROUP = 256, 8192, 512
+ROWS, RANGE_ROWS, GROUP = 256, 8192, 8192
 BLOCK_BYTES, GROUP_BYTES = 1 << 20, 1 << 22
 #: Blocks whose maxima one task reads; blocks that are scored in one task; pairs that aren't pruned.
-LANE, SLICE, FEW = 4096, 64, 256
+LANE, SLICE, FEW = 4096, 32, 256
 #: Vectors that the order goes by, and components of them all, at most.
 PIVOTS, PIVOT_NUMBERS = 1024, 1 << 19
 _INT64 = np.iinfo(np.int64)
