@@ -41,6 +41,21 @@ def vocabulary(counts: DataFrame, min_df: int = 2, max_features: int = 30000) ->
     return top.select("term", "df", "tf", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"))  # over a bounded list
 
 
+def vocabulary_of_candidates(counts: DataFrame, id_col: str, min_df: int = 2, max_features: int = 30000, buckets: int = 1 << 20, share: int = 16) -> DataFrame:
+    """The rows of ``vocabulary`` from (id, term, tf), with exact counts of those terms only that can be among them.
+
+    Terms are first counted by a hash, in at most ``buckets`` sums, each an upper bound of its terms' counts. The counts over one id in ``share`` are
+    lower bounds; the ``max_features``-th largest of them (of terms that have ``min_df`` there) is a bound that the list's last term reaches. A term whose bucket is below
+    that, or below ``min_df``, isn't on the list, so no term is lost, and what is shuffled term by term is a sample and the candidates.
+    """
+    place = F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("place")
+    some = counts.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(share)) == 0).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= min_df)
+    n, least = some.select("tf").orderBy(F.desc("tf")).limit(max_features).agg(F.count("*"), F.min("tf")).first()
+    sums = counts.groupBy(place).agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    kept = sums.where((F.col("df") >= min_df) & (F.col("tf") >= (least if n == max_features else 0))).select("place")
+    return vocabulary(counts.withColumn("place", place).join(F.broadcast(kept), "place", "left_semi").drop("place"), min_df, max_features)
+
+
 def tfidf(counts: DataFrame, vocab: DataFrame, n_rows: int, id_col: str) -> DataFrame:
     """(id, idx, value): tf * (ln((1 + n) / (1 + df)) + 1), rows of length 1."""
     idf = F.log((F.lit(1.0) + n_rows) / (F.lit(1.0) + F.col("df"))) + 1.0

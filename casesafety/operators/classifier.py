@@ -8,6 +8,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +73,29 @@ def predict_safety(fitted: SafetyClassifier, df: DataFrame, text: str = "text",
     """(id, predicted, probability) with the probability of class 1."""
     out = fitted.model.transform(fitted.features(df, text))
     return out.select(id_col, F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability")[1].alias("probability"))
+
+
+def out_of_fold(df: DataFrame, cluster: str, folds: int = 5, text: str = "text", label: str = "label", id_col: str = "response_id", **fit) -> DataFrame:
+    """(id, fold, label, probability, calibrated) of the labelled rows, each from a fit that saw no row of its cluster.
+
+    A cluster is in one fold, by a hash of it; rows without a cluster go by their id. ``calibrated`` is the isotonic curve of label by probability, fitted over the rows of
+    the other folds. A fold whose other rows have one class only is an error (``fit_guard``).
+    """
+    key = F.coalesce(F.col(cluster).cast("string"), F.concat(F.lit("id "), F.col(id_col).cast("string")))
+    rows = df.where(F.col(label).isNotNull()).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")).persist()
+    scored = None
+    for k in range(folds):
+        held = rows.where(F.col("fold") == k)
+        if held.isEmpty():
+            continue
+        fitted = fit_safety_classifier(rows.where(F.col("fold") != k), text, label, id_col, **fit)
+        mine = predict_safety(fitted, held, text, id_col).join(held.select(id_col, "fold", F.col(label).cast("double").alias("label")), id_col)
+        scored = mine if scored is None else scored.unionByName(mine)
+    scored = scored.persist()
+    out = None
+    for k in [r[0] for r in scored.select("fold").distinct().orderBy("fold").collect()]:
+        curve = IsotonicRegression(featuresCol="probability", labelCol="label", predictionCol="calibrated").fit(scored.where(F.col("fold") != k))
+        mine = curve.transform(scored.where(F.col("fold") == k)).select(id_col, "fold", F.col("label").cast("int").alias("label"), "probability", "calibrated")
+        out = mine if out is None else out.unionByName(mine)
+    rows.unpersist()
+    return out

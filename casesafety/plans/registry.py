@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numbers import round_half_even
-from ..operators import bootstrap, classifier, integrity, pairing, reports, runs, scoring, validation, variants
+from ..operators import agreement, bootstrap, classifier, integrity, pairing, reports, running, runs, scoring, validation, variants
 from ..schemas import DIMENSIONS
 from ..sources import cases as case_sources
 from ..sources import predictions as prediction_sources
@@ -545,6 +545,11 @@ def vocabulary(spark, d):
     return tx.vocabulary(tx.term_counts(responses(spark, d), "response_id", "text"))
 
 
+@query("vocabulary_of_candidates", f"SELECT term, df, tf, CAST(idx AS INTEGER) AS idx FROM ({VOCABULARY})")
+def vocabulary_of_candidates(spark, d):
+    return tx.vocabulary_of_candidates(tx.term_counts(responses(spark, d), "response_id", "text"), "response_id")
+
+
 @query(
     "tfidf",
     f"""WITH c AS ({COUNTS}), v AS ({VOCABULARY}), n AS (SELECT count(*) AS n FROM ({RESP})), r AS (SELECT response_id, idx, c.tf * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1) AS w FROM c JOIN v ON c.term = v.term, n)
@@ -624,6 +629,46 @@ def run_consistency(spark, d):
     return rounded(reports.run_consistency(scores(spark, d)), "mean_runs", "mean_sd", "mean_range", "identical_share")
 
 
+_LONG = " UNION ALL ".join(f"SELECT model_id, case_id, anchor_id, '{x}' AS dimension, {x} AS value FROM ({PRED})" for x in DIMENSIONS)
+_VALUES = f"""v AS (SELECT model_id, dimension, case_id, value, max(anchor_id) AS cluster, count(*) AS n FROM ({_LONG}) GROUP BY ALL), k AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY model_id, dimension, case_id) AS m FROM v) WHERE m > 1)"""
+
+
+def _alpha(rows: str) -> str:
+    """Alpha of squared differences of the values x in ``rows`` (model_id, dimension, case_id, x, n)."""
+    return f"""SELECT model_id, dimension, count(*) AS n_cases, sum(m) AS n_values, 1 - sum((m * xx - x * x) / (m - 1)) / ((sum(m) * sum(xx) - sum(x) * sum(x)) / (sum(m) - 1)) AS alpha
+    FROM (SELECT model_id, dimension, case_id, CAST(sum(n) AS DOUBLE) AS m, sum(n * x) AS x, sum(n * x * x) AS xx FROM ({rows}) GROUP BY ALL) GROUP BY ALL"""
+
+
+@query(
+    "run_agreement",
+    f"""WITH {_VALUES}, r AS (SELECT model_id, dimension, value, sum(total) OVER (PARTITION BY model_id, dimension ORDER BY value) - total / 2 AS x FROM (SELECT model_id, dimension, value, sum(n) AS total FROM k GROUP BY ALL)),
+    a AS ({_alpha("SELECT *, value AS x FROM k")}), o AS ({_alpha("SELECT k.*, r.x FROM k JOIN r USING (model_id, dimension, value)")}),
+    w AS (SELECT model_id, dimension, sum((m * m - same) / (m - 1)) AS within FROM (SELECT model_id, dimension, case_id, CAST(max(m) AS DOUBLE) AS m, sum(n * n) AS same FROM k GROUP BY ALL) GROUP BY ALL),
+    z AS (SELECT model_id, dimension, CAST(sum(total) AS DOUBLE) AS n, sum(total * total) AS same FROM (SELECT model_id, dimension, value, sum(n) AS total FROM k GROUP BY ALL) GROUP BY ALL)
+    SELECT model_id, dimension, a.n_cases, CAST(a.n_values AS BIGINT) AS n_values, round(a.alpha, 6) AS "interval", round(o.alpha, 6) AS ordinal, round(1 - within / ((n * n - same) / (n - 1)), 6) AS nominal
+    FROM a JOIN o USING (model_id, dimension) JOIN w USING (model_id, dimension) JOIN z USING (model_id, dimension)""",
+)
+def run_agreement(spark, d):
+    return rounded(agreement.agreement(agreement.case_values(predictions(spark, d))), *agreement.METRICS)
+
+
+@query(
+    "running_report",
+    f"SELECT model_id, strftime(evaluation_date, '%Y-%m-%d') AS evaluation_date, count(*) AS n, round(avg(cscs), 6) AS mean_cscs, round(stddev_samp(cscs), 6) AS sd_cscs, min(cscs) AS low, max(cscs) AS high, true AS cases_near, true AS median_near FROM ({SCORED}) GROUP BY ALL",
+)
+def running_report(spark, d):
+    """Three states merged; the sketches are held to their bounds: 3 % of the number of cases, 2 % of the ranks."""
+    every = scores(spark, d)
+    parts = [running.state_of(every.where(F.pmod(F.xxhash64("case_id"), F.lit(3)) == k)) for k in range(3)]
+    found = running.report(running.merged(running.merged(parts[2], parts[0]), parts[1]))
+    same = [F.col("e.model_id") == F.col("f.model_id"), F.col("e.evaluation_date") == F.col("f.evaluation_date")]
+    exact = every.alias("e").join(F.broadcast(found.select("model_id", "evaluation_date", "median")).alias("f"), same).groupBy("e.model_id", "e.evaluation_date").agg(
+        F.count_distinct("case_id").alias("cases"), F.avg((F.col("cscs") < F.col("median")).cast("double")).alias("below"), F.avg((F.col("cscs") <= F.col("median")).cast("double")).alias("upto")
+    )
+    met = found.join(exact, list(running.KEYS)).withColumns({"cases_near": F.abs(F.col("n_cases") - F.col("cases")) <= 0.03 * F.col("cases") + 1, "median_near": (F.col("below") <= 0.52) & (F.col("upto") >= 0.48)})
+    return rounded(met.drop("n_cases", "median", "cases", "below", "upto"), "mean_cscs", "sd_cscs").withColumn("evaluation_date", F.date_format("evaluation_date", "yyyy-MM-dd"))
+
+
 @query(
     "longitudinal",
     f"""SELECT model_id, CAST(evaluation_date AS VARCHAR)[1:10] AS evaluation_date, n, round(m, 6) AS mean_cscs, round(m - lag(m) OVER (PARTITION BY model_id ORDER BY evaluation_date), 6) AS change FROM (

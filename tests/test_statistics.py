@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casesafety.operators import bootstrap, classifier, pairing, reports
+from casesafety.functions import text
+from casesafety.operators import agreement, bootstrap, classifier, pairing, reports, running
 from casesafety.plans import registry
 
 
@@ -196,3 +197,103 @@ def test_registered_bootstraps_draw_five_thousand_replicates(spark, sf_dir, monk
     monkeypatch.setattr(bootstrap, "resampled_sums", lambda *a, f=bootstrap.resampled_sums, **kw: drawn.append(f(*a, **kw)) or drawn[-1])
     registry.QUERIES[name](spark, sf_dir)
     assert drawn[0].select("b").distinct().count() == 5000
+
+
+def plain_alpha(units, delta):
+    """From all ordered pairs."""
+    pairs_ = [(a, b) for u in units for a in u for b in u]  # a value with itself adds nothing
+    every = [x for u in units for x in u]
+    within = sum(sum(delta(a, b) for a in u for b in u) / (len(u) - 1) for u in units) / len(every)
+    between = sum(delta(a, b) for a in every for b in every) / (len(every) * (len(every) - 1))
+    return 1 - within / between if pairs_ and between else None
+
+
+def test_agreement_is_that_of_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(m, f"c{c}", f"A{c % 5}", float(min(2, max(0, c % 3 + rng.integers(-1, 2)))) if rng.random() > 0.1 else None, 1.0) for m in "ab" for c in range(20) for _ in range(int(rng.integers(1, 5)))]
+    df = spark.createDataFrame(rows, "model_id string, case_id string, anchor_id string, red_flags double, disposition double")
+    values = agreement.case_values(df, ("red_flags", "disposition"))
+    got = {(r["model_id"], r["dimension"]): r for r in agreement.agreement(values).collect()}
+    for m in "ab":
+        units = {}
+        for a, c, _, x, _ in rows:
+            if a == m and x is not None:
+                units.setdefault(c, []).append(x)
+        units = [u for u in units.values() if len(u) > 1]
+        every = sorted(x for u in units for x in u)
+        rank = lambda v: sum(x < v for x in every) + sum(x == v for x in every) / 2  # noqa: E731, B023
+        r = got[m, "red_flags"]
+        assert (r["n_cases"], r["n_values"]) == (len(units), len(every))
+        assert r["interval"] == pytest.approx(plain_alpha(units, lambda a, b: (a - b) ** 2))
+        assert r["ordinal"] == pytest.approx(plain_alpha(units, lambda a, b: (rank(a) - rank(b)) ** 2))
+        assert r["nominal"] == pytest.approx(plain_alpha(units, lambda a, b: a != b))
+        assert got[m, "disposition"]["interval"] is None and got[m, "disposition"]["nominal"] is None
+    near = {(r["model_id"], r["dimension"]): r for r in agreement.agreement_interval(values.where("dimension = 'red_flags'"), 2000).collect()}
+    for m in "ab":
+        # The same bootstrap by hand, over clusters of cases.
+        per = {}
+        for r in values.where(f"model_id = '{m}' and dimension = 'red_flags'").collect():
+            per.setdefault((r["cluster"], r["case_id"]), []).extend([r["value"]] * r["n"])
+        groups = [[u for (a, _), u in per.items() if a == f"A{k}"] for k in range(5)]
+        draws = [plain_alpha([u for k in rng.integers(5, size=5) for u in groups[k]], lambda a, b: (a - b) ** 2) for _ in range(150)]
+        lo, hi = np.quantile([x for x in draws if x is not None], [0.025, 0.975])
+        r = near[m, "red_flags"]
+        assert r["alpha"] == pytest.approx(got[m, "red_flags"]["interval"]) and abs(r["ci_2_5"] - lo) < 0.15 and abs(r["ci_97_5"] - hi) < 0.15
+
+
+def test_states_merge_in_any_order(spark):
+    rng = np.random.default_rng(7)
+    rows = [(m, f"2026-0{1 + i % 2}-01", f"c{i % 300}", float(1e6 + rng.normal())) for m in "ab" for i in range(900)] + [("a", "2026-01-01", "c1", None), ("a", "2026-01-01", "c1", math.nan), (None, None, None, 5.0)]
+    df = spark.createDataFrame(rows, "model_id string, evaluation_date string, case_id string, cscs double")
+    part = lambda k: df.where(F.pmod(F.xxhash64("case_id", "cscs"), F.lit(3)) == k)
+    states = [running.state_of(part(k)) for k in range(3)]
+    exact = {r[:2]: r for r in map(tuple, df.where("cscs is not null and not isnan(cscs)").groupBy("model_id", "evaluation_date").agg(F.count("*"), F.avg("cscs"), F.stddev_samp("cscs"), F.min("cscs"), F.max("cscs"), F.count_distinct("case_id"), F.percentile("cscs", F.lit(0.5))).collect())}
+    for state in (running.state_of(df), running.merged(*states), running.merged(states[2], running.merged(states[1], states[0]))):
+        for r in map(tuple, running.report(state).collect()):
+            want = exact[r[:2]]
+            assert r[2] == want[2] and r[3] == pytest.approx(want[3], rel=1e-14) and (r[4] == want[4] if want[4] is None else r[4] == pytest.approx(want[4], rel=1e-9)) and r[5:7] == want[5:7]
+            assert abs(r[7] - want[7]) <= 0.03 * want[7] + 1 and abs(r[8] - want[8]) < 0.1
+
+
+@pytest.mark.parametrize("buckets", [1 << 16, 64])
+def test_candidates_give_the_whole_vocabulary(spark, buckets):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) if x < 3000)) for i in range(300)]
+    counts = text.term_counts(spark.createDataFrame(rows, "response_id long, text string"), "response_id", "text")
+    for most in (5, 40, 100_000):
+        assert sorted(text.vocabulary_of_candidates(counts, "response_id", 2, most, buckets, 4).collect()) == sorted(text.vocabulary(counts, 2, most).collect())
+
+
+def test_classifier_is_the_optimum_of_its_objective(spark):
+    """Newton's method on the same features: weighted mean log loss plus |w|² / 2n, the intercept free."""
+    rng = np.random.default_rng(10)
+    words = [f"w{k}" for k in range(25)]
+    rows = [(i, " ".join(rng.choice(words[: 25 - 10 * (i % 4 == 0)], 8)), int(i % 4 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "response_id long, text string, label int")
+    fitted = classifier.fit_safety_classifier(df, tol=1e-10)
+    got = {r["response_id"]: r["probability"] for r in classifier.predict_safety(fitted, df).collect()}
+    x = np.array([r["features"].toArray() for r in fitted.features(df).orderBy("response_id").collect()])
+    x, y = np.c_[x, np.ones(120)], np.array([r[2] for r in rows])
+    weight = np.where(y == 1, 120 / (2 * y.sum()), 120 / (2 * (1 - y).sum())) / 120
+    ridge, w = np.r_[np.full(x.shape[1] - 1, 1 / 120), 0.0], np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + np.diag(ridge + 1e-12), x.T @ (weight * (p - y)) + ridge * w)
+    assert max(abs(got[i] - q) for i, q in enumerate(1 / (1 + np.exp(-x @ w)))) < 1e-4
+
+
+def test_out_of_fold_scores_see_no_row_of_their_cluster(spark, monkeypatch):
+    rows = [(i, f"A{i % 12}" if i % 9 else None, f"{'call the clinic' if i % 3 else 'wait it out'} now {i % 5}", int(i % 3 == 0) if i != 7 else None) for i in range(90)]
+    df = spark.createDataFrame(rows, "response_id long, anchor_id string, text string, label int")
+    seen, real = [], classifier.fit_safety_classifier
+    monkeypatch.setattr(classifier, "fit_safety_classifier", lambda d, *a, **kw: seen.append({r["anchor_id"] for r in d.collect()} - {None}) or real(d, *a, **kw))
+    got = {r["response_id"]: r for r in classifier.out_of_fold(df, "anchor_id", 3).collect()}
+    assert set(got) == set(range(90)) - {7} and len(seen) == 3
+    fold = {}
+    for i, a, _, _ in rows:
+        if a and i != 7:
+            fold.setdefault(a, set()).add(got[i]["fold"])
+    assert all(len(f) == 1 for f in fold.values())
+    for k, anchors in zip(sorted({r["fold"] for r in got.values()}), seen, strict=True):
+        assert not anchors & {a for a, f in fold.items() if k in f}
+    assert all((r["probability"] > 0.5) == (r["label"] == 1) and 0 <= r["calibrated"] <= 1 for r in got.values())
