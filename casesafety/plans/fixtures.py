@@ -47,9 +47,9 @@ FROM {documents}"""
 LINES = """
 SELECT 'shard' AS path, cast(doc_id AS int) AS line_no,
   CASE WHEN doc_id % 10 = 1 THEN concat('{{"case_id":"D', cast(doc_id AS varchar(20)), '","source_type":"case_report_derived","variant":"base","vignette":', json_string(text), '}}')
-       WHEN doc_id % 10 = 2 THEN concat('{{"case_id":"D', cast(doc_id AS varchar(20)), '","source_type":"unknown","domain":"', source, '","variant":"counterfactul","vignette":"v"}}')
+       WHEN doc_id % 10 = 2 THEN concat('{{"case_id":"D', cast(doc_id AS varchar(20)), '","source_type":"registry_extract","domain":"', source, '","variant":"baseline","vignette":"v"}}')
        WHEN doc_id % 10 = 3 THEN concat('{{"case_id":"","source_type":"case_report_derived","domain":"', source, '","variant":"base","vignette":""}}')
-       WHEN doc_id % 10 = 4 THEN concat('{{"case_id":"D', cast(doc_id AS varchar(20)), '","source_type":"case_report_derived","domain":"', source, '","variant":"base","vignette":["x"],"reference_management":[123]}}')
+       WHEN doc_id % 10 = 4 THEN concat('{{"case_id":"D', cast(doc_id AS varchar(20)), '","source_type":"case_report_derived","domain":"', source, '","variant":"base","vignette":7,"reference_management":[true]}}')
        WHEN doc_id % 10 = 5 THEN concat('{{"case_id":null,"anchor_id":null,"source_type":"guideline_control","domain":"', source, '","variant":"guideline_control","vignette":"v","critical_features":[null],"danger_if_missed":[]}}')
        WHEN doc_id % 70 = 6 THEN '  '
        WHEN doc_id % 70 = 16 THEN '[1, 2]'
