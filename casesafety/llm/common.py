@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -29,10 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("folder of the run", default=None)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark reads it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """What is staged within goes to one folder, which is deleted at the end. Results have to be written before that."""
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    outer = _FOLDER.set(path)
+    try:
+        yield path
+    finally:
+        _FOLDER.reset(outer)
+        drop_folder(spark, path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, and survives lost executors."""
+    """Writes ``df`` to the shared folder (or that of the run, see ``run_folder``) and reads it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_FOLDER.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -229,3 +229,28 @@ def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [5.0])], "id long, v array<double>")
     assert [tuple(r) for r in nearest.nearest(df, df.where("id % 100 = 0"), 10).collect()] == [(0, 1, 1, math.sqrt(2))]
     assert nearest.nearest(df.limit(0), df, 3).count() == 0 and nearest.nearest(df, df.limit(0), 3).count() == 0
+
+
+def test_staged_tables_go_with_their_run(spark):
+    from pathlib import Path
+
+    from casesafety.llm import common
+
+    with common.run_folder(spark) as path:
+        here = Path(path.removeprefix("file://"))
+        assert conversations.report(spark.createDataFrame([(1, 0, "user", "Yes.")], SCHEMA)).count() == 1 and list(here.iterdir())
+    assert not here.exists()
+    assert common.staged(spark.range(3), "three").count() == 3
+
+
+def test_the_pipeline_leaves_no_stage_behind(spark, sf_dir):
+    from pathlib import Path
+
+    import corpus_pipeline
+    from casesafety.llm import common
+
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    rows = corpus_pipeline.run(spark, sf_dir).count()
+    left = [p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before]
+    assert rows > 0 and sorted(left) == ["queued", "sizes", "stage-3", "targets"]
