@@ -10,11 +10,13 @@ whatever they are called, but for those that the last stage adds: size, source_s
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casesafety.llm import decontaminate, mixing, quality, simhash, toxicity
-from casesafety.llm.common import staged, table, text_hash
+from casesafety.llm.common import drop_folder, run_folder, shared_dir, table, text_hash
 from casesafety.llm.features import lower_char_ngrams, shape_and_char_ngrams
 from casesafety.llm.nbsvm import scorer
 
@@ -71,8 +73,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has staged goes once its rows are written, and those once the next stage's are; the last stage's input and tables stay, since the result reads them."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = staged(docs, f"stage-{k}") if k < len(STAGES) - 1 else docs
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        written = f"{shared_dir(spark)}/stage-{k}-{uuid.uuid4().hex}"
+        with run_folder(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(written)
+        docs = spark.read.schema(rows.schema).parquet(written)
+        if before:
+            drop_folder(spark, before)
+        before = written
