@@ -15,6 +15,7 @@ are told apart by a hash of their text. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,26 +30,46 @@ from .components import connected_components
 RADIUS, SEED = 3, 42
 #: Fingerprints that more than one in so many rows have are joined by broadcast: there are fewer of them than this number.
 HEAVY = 1024
-_BLOCK = 1 << 15
+#: Bytes of a text whose words are laid out at a time.
+_SPAN = 1 << 18
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def _spans(raw: bytes) -> Iterator[bytes]:
+    """A text cut after white space, about ``_SPAN`` bytes at a time."""
+    at = 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + _SPAN)
+        end = cut.end() if cut else len(raw)
+        yield raw[at:end]
+        at = end
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
-    """The fingerprint of one text as a signed 64-bit number; the sums run over blocks, so a long text needs no more memory than its words."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
-    line = b" ".join(w)
-    size = np.fromiter(map(len, w), np.int64, len(w))
-    end = np.cumsum(size + 1) - 1
-    n = max(1, len(w) - words + 1)
-    ones = np.zeros(64, np.int64)
-    start, stop = (end - size)[:n], end[-n:]
-    digest = xxhash.xxh64_intdigest
-    for k in range(0, n, _BLOCK):
-        a, b = start[k : k + _BLOCK].tolist(), stop[k : k + _BLOCK].tolist()
-        h = np.fromiter((digest(line[i:j], SEED) for i, j in zip(a, b, strict=True)), np.uint64, len(a))
+    """The fingerprint of one text as a signed 64-bit number; a long text's words and hashes are held a part at a time."""
+    ones, n, left = np.zeros(64, np.int64), 0, []
+
+    def add(w: list[bytes], shingles: int, length: int) -> None:
+        nonlocal ones
+        line = b" ".join(w)
+        size = np.fromiter(map(len, w), np.int64, len(w))
+        end = np.cumsum(size + 1) - 1
+        start, stop = (end - size)[:shingles], end[length - 1 : length - 1 + shingles]
+        h = np.fromiter((xxhash.xxh64_intdigest(line[i:j], SEED) for i, j in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, shingles)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+
+    for span in _spans((text or "").encode("utf-8", "surrogatepass")):
+        w = left + span.lower().split()
+        if (shingles := len(w) - words + 1) > 0:
+            add(w, shingles, words)
+            n += shingles
+            left = w[shingles:]
+        else:
+            left = w
+    if not n and left:  # fewer words than a shingle has
+        add(left, 1, len(left))
+        n = 1
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:

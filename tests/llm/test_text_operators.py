@@ -391,6 +391,22 @@ def test_fit_sample_is_bounded(spark, monkeypatch, bounds, rows):
     assert n <= rows and (bounds or n == rows)
 
 
+def test_long_texts_are_read_in_parts(monkeypatch):
+    """Fingerprints and features don't depend on where a text is cut."""
+    rng = random.Random(0)
+    texts = ["", "a", "A b", "a b c", "  x\n\ty z \x0b\x0c w", "É ü A\u3000B c d e", "\x1c a\x1fb"] + [" ".join(rng.choice(["ab", "C", "de\n", "  ", "Ab,"]) * rng.randint(1, 3) for _ in range(rng.randint(1, 300))) for _ in range(40)]
+    grams = lambda t: ({int(h) for a in features.lower_char_ngrams(t) for h in a}, {int(h) for a in features.shape_and_char_ngrams(t) for h in a})
+    want = [(simhash.fingerprint(t), grams(t)) for t in texts]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(simhash, "_SPAN", size)
+        monkeypatch.setattr(features, "BLOCK", size)
+        monkeypatch.setattr(nbsvm, "AT_ONCE", size)
+        assert [(simhash.fingerprint(t), grams(t)) for t in texts] == want
+        d = nbsvm.Distinct(10)
+        for t, (_, (chars, _)) in zip(texts, want, strict=True):
+            assert sorted(d(features.lower_char_ngrams(t)).tolist()) == sorted({h & 1023 for h in chars})
+
+
 # Token counts.
 def greedy(word, pieces):
     n = at = 0
