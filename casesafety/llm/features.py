@@ -89,8 +89,8 @@ def shape_ngrams(text: str) -> Iterator[np.ndarray]:
     """Arrays of the hashes of 1- to 3-grams of word shapes; an n-gram at the border of two blocks stands in both."""
     for words, known in word_blocks(text):
         shapes = word_shapes(words)
-        # What stands before the first word that is known is not, so its shape is left out; its n-grams stand in the block before.
-        yield from sequence_ngrams(shapes[1:] if known else shapes, range(1, 4), 32)
+        # Of three known words what stands before the first isn't known, so its shape is left out; its n-grams stand in the block before. Fewer are the text's first ones.
+        yield from sequence_ngrams(shapes[1:] if known == 3 else shapes, range(1, 4), 32)
 
 
 def shape_and_char_ngrams(text: str) -> Iterator[np.ndarray]:
