@@ -25,7 +25,8 @@ words count only where the whole name is made of them and, for words of navigati
 
 Null or empty pages give an empty text. Reading a page takes time and memory in proportion to it, however deep or
 broken its markup; a tag that never ends takes the rest of the page with it. Rows that repeat are extracted each;
-null and odd addresses share the host ''. Ties between slots go by text, then by token. Extra columns are ignored.
+null and odd addresses share the host ''. Ties between slots go by text, then by token. Extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

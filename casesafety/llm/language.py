@@ -14,7 +14,8 @@ with the text up to about ``most`` n-grams, since n-grams of a text aren't indep
 
 Null or empty pages, and pages without a declaration or an address, have what evidence is left. Without any
 labelled text the language is null. Of languages with equal evidence the first by name is taken. Pages are read whole,
-in time proportional to their length. Rows that repeat are judged each; extra columns are ignored.
+in time proportional to their length, and in parts, so that memory is the page's own. Rows that repeat are judged each; extra columns are
+ignored; an empty table of pages gives no rows.
 """
 
 from __future__ import annotations

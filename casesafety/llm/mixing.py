@@ -11,7 +11,8 @@ Prefix sums run over many small ranges (by hash within a source, by finish time
 grows with the rows, so that no task gets a source's or the table's rows as a whole.
 
 Null texts and texts of white space have size 0 and are never taken. A null source is a source of its own,
-the last. Rows that repeat, doc_ids too, are documents of their own. Extra columns are ignored.
+the last. Rows that repeat, doc_ids too, are documents of their own. Texts are counted whole, however long. An empty table
+gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

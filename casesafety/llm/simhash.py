@@ -10,7 +10,7 @@ that more than ``hot`` different fingerprints share is not paired out: those fin
 instead (``_hub_links``), which gives the same components in time proportional to their number.
 
 Null or empty texts have fingerprint zero. Components follow from texts alone: rows that share a doc_id, or have none,
-are told apart by a hash of their text. Extra columns are ignored.
+are told apart by a hash of their text. Texts are read whole, in parts. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

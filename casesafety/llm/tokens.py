@@ -7,7 +7,7 @@ that are popped on the way; so a word's count takes time linear in its length, a
 
 Words are runs of anything but ASCII white space, each read with ``mark`` before it. A null or empty text has
 0 tokens. A very long word is cut like any other, but not remembered, so a worker's memory has a bound. Rows that
-repeat are counted each; extra columns are ignored.
+repeat are counted each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ Components become ``floor(256 * x)``. Vectors that are null, empty, or hold null
 do rows without an id; finite ones of any size do. Scores are whole numbers computed without rounding; should one of a query's
 best not fit a long, the query fails with a message that says so. Only vectors of the same length are compared.
 All rows with the query's id are its own; query rows that repeat id and vector count once, candidate rows that repeat
-count each. Extra columns are ignored.
+count each. Extra columns are ignored. No vectors or no queries give no rows.
 """
 
 from __future__ import annotations
