@@ -1,14 +1,14 @@
 """License scans with DataFrame functions only: sparse TF-IDF cosine of headers and licence files to templates,
 then inheritance from the nearest directory above that has a licence file.
 
-A file's units are its lines, every run of up to ``MOST_LINES`` lines (a notice is wrapped at some column, and stands in a comment or
-a paragraph), and, in a file named LICENSE, LICENCE, COPYING or NOTICE, also its whole text.
+A file's units are its lines, every run of up to ``MOST_LINES`` lines and ``MOST_WORDS`` words (a notice is wrapped at some column, and stands in
+a comment or a paragraph), and, in a file named LICENSE, LICENCE, COPYING or NOTICE, also its whole text.
 Terms are lower-case words and numbers. Each unit is compared with each template by the cosine of
 term counts times idf = ln((1 + lines) / (1 + lines with the term)) + 1, over all terms of all lines of all files. A unit names the best
 template's licence of at least ``threshold`` (ties: the template of more words, then the first by name). Templates that share ``ALIKE`` or
 more of their terms are told apart by the others: a unit can't name one without having all terms that tell it from those like it (``library``, ``lesser`` and
 ``3``, say), so the first lines of a notice that several licences share name none of them. Of a file's units the best one
-gives the file's own licence; but one whose terms are a part of another's (``HOLDS``) gives way where a unit names that other one. A file
+gives the file's own licence; but one whose terms are a part of another's (``HOLDS``) gives way where a unit names that other one and isn't near the first. A file
 without a licence takes that of the licence file in its own directory or the nearest one above it.
 
 Units are pre-selected without loss: of each template's terms, rarest first, so many are needed that the
@@ -58,6 +58,8 @@ HOLDS = (("BSD-3-Clause", "BSD-2-Clause"),)
 ALIKE = 0.7
 #: Lines that a wrapped notice takes, at most.
 MOST_LINES = 7
+#: Words of a run of two lines or more, at most; the longest template has 37.
+MOST_WORDS = 64
 #: Terms of the units that are compared, whose idf is broadcast, at most.
 BROADCAST_TERMS = 200_000
 #: Names of licence files, without what follows a dot.
@@ -86,20 +88,23 @@ def _templates(spark: SparkSession) -> DataFrame:
 def _lines(files: DataFrame) -> DataFrame:
     """(row, lines, words): the terms of each line of a file, and, of a licence file, those of the whole text."""
     whole = F.when(F.col("is_license_file"), terms(F.col("text")))
-    return files.where("text is not null").select("row", F.transform(F.split("text", "\n"), terms).alias("lines"), whole.alias("words"))
+    # By explode of one element, so that the optimiser doesn't put the splitting into each of the expressions that read the lines.
+    return files.where("text is not null").select("row", whole.alias("words"), F.explode(F.array(F.transform(F.split("text", "\n"), terms))).alias("lines"))
 
 
 def _units(lines: DataFrame, anchors: Column) -> DataFrame:
     """(row, unit, words) of the units that have one of ``anchors``: unit 0 is a licence file's whole text, the others are runs of lines, ``MOST_LINES`` numbers for each first line."""
-    telling = lines.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.arrays_overlap(F.get("lines", i), anchors))).where((F.size("at") > 0) | F.arrays_overlap("words", anchors))
+    telling = lines.withColumn("at", F.filter(F.transform("lines", lambda x, i: F.when(F.arrays_overlap(x, anchors), i)), lambda i: i.isNotNull())).where((F.size("at") > 0) | F.arrays_overlap("words", anchors))
     starts = lambda i: F.sequence(F.greatest(F.lit(0), i - (MOST_LINES - 1)), i)
     runs = lambda i: F.flatten(F.transform(starts(i), lambda a: F.transform(F.sequence(i, F.least(a + MOST_LINES, F.size("lines")) - 1), lambda z: a * MOST_LINES + (z - a) + 1)))
-    numbers = F.array_distinct(F.flatten(F.transform("at", runs)))
-    first, last = F.floor((F.col("unit") - 1) / MOST_LINES).cast("int"), (F.col("unit") - 1) % MOST_LINES
-    each = telling.select("row", "lines", F.explode(numbers).alias("unit")).select("row", "lines", "unit", first.alias("first"), last.cast("int").alias("more"))
-    # A run begins and ends with a line that has words; the others are the same runs.
-    some = each.where((F.size(F.get("lines", F.col("first"))) > 0) & (F.size(F.get("lines", F.col("first") + F.col("more"))) > 0))
-    joined = some.select("row", "unit", F.flatten(F.slice("lines", F.col("first") + 1, F.col("more") + 1)).alias("words"))
+    first = lambda n: F.floor((n - 1) / MOST_LINES).cast("int")
+    more = lambda n: ((n - 1) % MOST_LINES).cast("int")
+    run = lambda n: F.slice("lines", first(n) + 1, more(n) + 1)
+    # A run begins and ends with a line that has words (the others are the same runs), and isn't longer than a notice may be.
+    whole = lambda n: (F.size(F.get("lines", first(n))) > 0) & (F.size(F.get("lines", first(n) + more(n))) > 0) & ((more(n) == 0) | (F.aggregate(run(n), F.lit(0), lambda a, x: a + F.size(x)) <= MOST_WORDS))
+    numbers = F.filter(F.array_distinct(F.flatten(F.transform("at", runs))), whole)
+    # Only a run's own words leave the file's row.
+    joined = telling.select("row", F.explode(F.transform(numbers, lambda n: F.struct(n.alias("unit"), F.flatten(run(n)).alias("words")))).alias("u")).select("row", "u.unit", "u.words")
     return joined.unionByName(telling.where(F.arrays_overlap("words", anchors)).select("row", F.lit(0).alias("unit"), "words"))
 
 
@@ -129,8 +134,9 @@ def own_licenses(files: DataFrame, threshold: float) -> DataFrame:
     dots = valued.join(F.broadcast(weights.select("template", "license", "term", "w", "norm", "length", "tells", "must")), "term").groupBy("row", "unit", "template", "license", "norm", "length", "must").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.sum("tells").alias("told")).where("told = must")
     cosines = dots.join(norms, ["row", "unit"]).select("row", "unit", "license", "length", F.round(F.col("dot") / (F.col("norm") * F.col("unit_norm")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
     rank = F.struct((-F.col("cosine")).alias("less"), (-F.col("length")).alias("shorter"), "license")
-    named = cosines.groupBy("row", "unit").agg(F.min(rank).alias("b"))
-    held = [F.min(F.when(F.col("b.license") == more, F.col("b"))).alias(f"more{k}") for k, (more, _) in enumerate(HOLDS)]
+    near = [F.coalesce(F.bool_or(F.col("license") == less), F.lit(False)).alias(f"less{k}") for k, (_, less) in enumerate(HOLDS)]
+    named = cosines.groupBy("row", "unit").agg(F.min(rank).alias("b"), *near)
+    held = [F.min(F.when((F.col("b.license") == more) & ~F.col(f"less{k}"), F.col("b"))).alias(f"more{k}") for k, (more, _) in enumerate(HOLDS)]
     best = named.groupBy("row").agg(F.min("b").alias("b"), *held)
     for k, (_, less) in enumerate(HOLDS):
         best = best.withColumn("b", F.when((F.col("b.license") == less) & F.col(f"more{k}").isNotNull(), F.col(f"more{k}")).otherwise(F.col("b")))

@@ -192,7 +192,7 @@ lines AS (SELECT r, i, w[i] AS words FROM (SELECT r, w, unnest(range(1, len(w) +
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lines),
 t AS (SELECT template, license, term, count(*) AS k FROM (SELECT template, license, unnest({_TERMS.format("text")}) AS term FROM (VALUES {_TEMPLATES}) v(template, license, text)) GROUP BY ALL),
 units AS (SELECT * FROM (
-  SELECT r, i * {licenses.MOST_LINES} + k AS unit, flatten(w[i:i + k]) AS words FROM (SELECT r, i, w, unnest(range({licenses.MOST_LINES})) AS k FROM lines JOIN cut USING (r)) WHERE i + k <= len(w) AND len(w[i + k]) > 0
+  SELECT r, i * {licenses.MOST_LINES} + k AS unit, flatten(w[i:i + k]) AS words FROM (SELECT r, i, w, unnest(range({licenses.MOST_LINES})) AS k FROM lines JOIN cut USING (r)) WHERE i + k <= len(w) AND len(w[i + k]) > 0 AND (k = 0 OR len(flatten(w[i:i + k])) <= {licenses.MOST_WORDS})
   UNION ALL SELECT r, 0, {_TERMS.format("text")} FROM f WHERE marked) WHERE list_has_any(words, (SELECT list(DISTINCT term) FROM t))),
 df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT r, i, unnest(words) AS term FROM lines) GROUP BY term),
 idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT term FROM t UNION SELECT term FROM df) LEFT JOIN df USING (term), n),
@@ -204,9 +204,9 @@ telling(template, term) AS (VALUES {_TELLING}),
 c AS (SELECT r, unit, template, license, any_value(length) AS length, round(sum(v * w) / (any_value(norm) * any_value(u)), 6) AS cosine FROM v JOIN w ON v.term = w.term JOIN unit_norm USING (r, unit) GROUP BY r, unit, template, license),
 told AS (SELECT r, unit, template, count(*) AS told FROM tf JOIN telling USING (term) GROUP BY ALL),
 must AS (SELECT template, count(*) AS must FROM telling GROUP BY template),
-named AS (SELECT c.* FROM c LEFT JOIN must USING (template) LEFT JOIN told USING (r, unit, template) WHERE cosine >= 0.6 AND coalesce(told, 0) = coalesce(must, 0) QUALIFY row_number() OVER (PARTITION BY r, unit ORDER BY cosine DESC, length DESC, license) = 1),
+named AS (SELECT c.*, bool_or(license = 'BSD-2-Clause') OVER (PARTITION BY r, unit) AS less FROM c LEFT JOIN must USING (template) LEFT JOIN told USING (r, unit, template) WHERE cosine >= 0.6 AND coalesce(told, 0) = coalesce(must, 0) QUALIFY row_number() OVER (PARTITION BY r, unit ORDER BY cosine DESC, length DESC, license) = 1),
 led AS (SELECT *, first_value(license) OVER (PARTITION BY r ORDER BY cosine DESC, length DESC, license) AS top FROM named),
-own AS (SELECT r, license, cosine FROM led QUALIFY row_number() OVER (PARTITION BY r ORDER BY top = 'BSD-2-Clause' AND license = 'BSD-3-Clause' DESC, cosine DESC, length DESC, license) = 1),
+own AS (SELECT r, license, cosine FROM led QUALIFY row_number() OVER (PARTITION BY r ORDER BY top = 'BSD-2-Clause' AND license = 'BSD-3-Clause' AND NOT less DESC, cosine DESC, length DESC, license) = 1),
 given AS (SELECT dir AS up, min(license) AS dir_license FROM f JOIN own USING (r) WHERE marked GROUP BY dir),
 nearest AS (SELECT dir, up, dir_license FROM (SELECT DISTINCT dir FROM f) JOIN given ON dir = up OR starts_with(dir, up || '/') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(up) DESC) = 1)
 SELECT doc_id, path, coalesce(license, dir_license) AS license, cosine, CASE WHEN license IS NOT NULL THEN 'file' WHEN dir_license IS NOT NULL THEN 'directory' END AS origin,

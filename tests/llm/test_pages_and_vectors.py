@@ -115,6 +115,73 @@ def test_classes_must_nest(spark):
     assert got == {k: f"Own {k} {'word ' * 9}{k}" + (" Two of us Here too" if k % 3 else "") for k in range(9)}
 
 
+def plain_fixed(pages, support=0.5):
+    """Fixed texts of a host's template, with whole occurrence vectors and every page's order: (parents, tokens)."""
+    found = [html.Page(p).tokens() for p in pages]
+    parent, name = {}, {}
+    for f in found:
+        for t, (up, kind, *_) in f.items():
+            parent[t], name[t] = min(up, parent.get(t, up)), min(kind, name.get(t, kind))
+    vector = {t: tuple(f[t][2] if t in f else 0 for f in found) for t in parent}
+    frequent = {t for t, v in vector.items() if sum(x > 0 for x in v) >= support * len(pages)}
+    classes = {}
+    for t in frequent - {0}:
+        if max(vector[t]) == 1:
+            classes.setdefault(vector[t], set()).add(t)
+
+    def ordered(tokens):
+        orders = {tuple(sorted(tokens, key=lambda t: f[t][3])) for f in found if tokens <= set(f)}
+        return len(orders) == 1
+
+    valid = [(v, c) for v, c in classes.items() if len(c) >= 2 and ordered(c)]
+    template, fixed = {0}, set()
+    for _, mine in sorted(valid, key=lambda x: (-sum(n > 0 for n in x[0]), -len(x[1]), min(x[1]))):
+        outer = set()
+        for t in mine:
+            up = parent[t]
+            while up not in template and up not in mine:
+                up = parent.get(up, 0)
+            outer |= {up} - mine
+        if len(outer) == 1:
+            template |= {t for t in mine if name[t]}
+            fixed |= {t for t in mine if not name[t]}
+    return parent, fixed
+
+
+def test_classes_are_those_of_whole_vectors(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(1000, size=n))
+    blocks = ["<div class=a><p>Terms of use</p><p>All rights kept</p></div>", "<p class=b>Read more below</p>", "<div class=c><h3>Latest</h3></div>", "<p class=d>Seen twice</p>"]
+    hosts = {}
+    for h in range(6):
+        mine = [b for b in blocks if rng.random() < 0.7]
+        rare = blocks[3] if h % 2 else ""
+        hosts[f"h{h}.example"] = ["<html><body>" + "".join(mine[: 1 + h % 2]) + f"<div class=text><h1>{word(3)}</h1><p>{word(40)}</p>{'<p>Same line</p>' if h % 3 else ''}<p>{word(20)}</p></div>" + "".join(mine[1 + h % 2 :]) + (rare if k % 2 else rare * 2) + "</body></html>" for k in range(7)]
+    rows = [(100 * i + k, f"http://{h}/{k}", page) for i, (h, pages) in enumerate(hosts.items()) for k, page in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    some = 0
+    for r in html.deduce(html.occurrences(df)).collect():
+        parent, fixed = plain_fixed(hosts[r["host"]])
+
+        def inside(t, parent=parent, slot=r["slot"]):
+            while t:
+                t = parent.get(t, 0)
+                if t == slot and slot:
+                    return True
+            return False
+
+        assert set(r["fixed"]) == {t for t in fixed if not inside(t)}
+        some += len(r["fixed"])
+    assert some > 8
+
+
+def test_templates_are_the_same_by_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame([(100 * h + k, f"http://h{h}.example/{k}", LAYOUT.format(k=f"{k}" * 20)) for h in range(3) for k in range(6)] + [(999, None, "<p>x</p>")], "page_id long, url string, html string")
+    want = sorted(map(tuple, html.extract(df).collect()))
+    monkeypatch.setattr(html, "BROADCAST_HOSTS", 0)
+    assert sorted(map(tuple, html.extract(df, broadcast_tokens=0).collect())) == want and len(want) == 19
+
+
 @pytest.mark.parametrize(
     ("markup_", "text"),
     [

@@ -449,13 +449,13 @@ def plain_licenses(files, threshold=0.6):
     whole = [w for lines in cut.values() for w in lines if w]
     df, n = Counter(t for w in whole for t in set(w)), len(whole)
     idf = lambda t: math.log((1 + n) / (1 + df[t])) + 1
-    units = [(k, sum(lines[i : i + m], [])) for (k, _, _), lines in cut.items() for i in range(len(lines)) for m in range(1, licenses.MOST_LINES + 1) if i + m <= len(lines) and any(lines[i : i + m])]
+    units = [(k, sum(lines[i : i + m], [])) for (k, _, _), lines in cut.items() for i in range(len(lines)) for m in range(1, licenses.MOST_LINES + 1) if i + m <= len(lines) and any(lines[i : i + m]) and (m == 1 or len(sum(lines[i : i + m], [])) <= licenses.MOST_WORDS)]
     units += [(k, terms(t)) for k, _, t in files if marked[k] and t and terms(t)]
     vector = lambda w: {t: c * idf(t) for t, c in Counter(w).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     own, three = {}, {}
     for k, w in units:
-        v, mine = vector(w), (0, 0, "")
+        v, mine, near = vector(w), (0, 0, ""), set()
         for (name, text), telling in zip(licenses.TEMPLATES, licenses.telling_terms(), strict=True):
             if not telling <= set(w):
                 continue
@@ -463,9 +463,10 @@ def plain_licenses(files, threshold=0.6):
             c = round(sum(x * t.get(y, 0) for y, x in v.items()) / norm(v) / norm(t), 6)
             if c >= threshold:
                 mine = min(mine, (-c, -len(terms(text)), name))
+                near.add(name)
         if mine[2]:
             own[k] = min(own.get(k, mine), mine)
-        if mine[2] == "BSD-3-Clause":
+        if mine[2] == "BSD-3-Clause" and "BSD-2-Clause" not in near:
             three[k] = min(three.get(k, mine), mine)
     own = {k: three.get(k, m) if m[2] == "BSD-2-Clause" else m for k, m in own.items()}
     given_ = {}
@@ -529,6 +530,13 @@ def test_wrapped_notices(spark, mark):
     assert {k: (v, want[k]) for k, v in got.items() if v != want[k]} == {}
 
 
+def test_rare_terms_by_shuffle(spark, monkeypatch):
+    files = spark.createDataFrame([(i, f"a/{i}.txt", f"# {text}\nmore words {i}") for i, (_, text) in enumerate(licenses.TEMPLATES)], "key long, path string, text string")
+    want = sorted(map(tuple, licenses.scan(files).collect()))
+    monkeypatch.setattr(licenses, "BROADCAST_TERMS", 0)
+    assert sorted(map(tuple, licenses.scan(files).collect())) == want and [r[2] for r in want] == [name for name, _ in licenses.TEMPLATES]
+
+
 def test_license_query_finds_the_lines(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op5_license_scan(spark, sf_dir).collect():
