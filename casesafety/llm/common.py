@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of bytes other than ASCII white space, as ``bytes.split()`` finds them.
@@ -62,9 +62,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def staged_and_told(df: DataFrame, name: str, *told: Column) -> tuple[DataFrame, dict]:
-    """``staged``, with aggregates of the rows (named columns) that are taken as they are written, so no other job reads them for it."""
-    seen = Observation()
-    return staged(df.observe(seen, *told), name), seen.get
+    """``staged``, with aggregates (named columns) of the written rows. (An Observation would save the job, but a session that has used one can't run ML's transformers any more.)"""
+    table = staged(df, name)
+    return table, table.agg(*told).first().asDict()
 
 
 def n_words(text):
