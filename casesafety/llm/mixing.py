@@ -8,7 +8,8 @@ the sequence is cut where the total budget, the sum of the targets, is reached;
 taken in part. Nothing is random: reruns agree.
 
 Prefix sums run over many small ranges (by hash within a source, by finish time over all), whose number
-grows with the rows, so that no task gets a source's or the table's rows as a whole.
+grows with the rows, so that no task gets a source's or the table's rows as a whole. Rows alike in doc_id, size and keys are
+counted before that, and told apart again by their number: one id (or none) on a third of all rows is one row of a range for each of its sizes and keys.
 
 Null texts and texts of white space have size 0 and are never taken. A null source is a source of its own,
 the last. Rows that repeat, doc_ids too, are documents of their own. Texts are counted whole, however long. An empty table
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import n_words, staged, staged_and_told
 
-#: Rows of a source that a range holds about; the hash has so many bits; ranges under one sum.
-RANGE_ROWS, HASH_BITS, UNDER = 512, 52, 1024
+#: Rows of a source that a range holds about; the hash has so many bits; ranges under one sum; like rows that a task makes of their count at a time.
+RANGE_ROWS, HASH_BITS, UNDER, COPIES = 512, 52, 1024, 1 << 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats: int = 3) -> DataFrame:
@@ -53,6 +54,17 @@ def _before(rows: DataFrame, by: list[str], place: str) -> DataFrame:
     return each.join(earlier, [*by, "shelf"]).select(*by, place, (F.col("shelf_base") + within).alias("base"))
 
 
+def _each(queued: DataFrame) -> DataFrame:
+    """A row for each of the ``copies`` of a row, ``upto`` counted back from the last of them; many copies are dealt to several tasks."""
+    few = queued.where(F.col("copies") <= COPIES).withColumn("part", F.lit(0).cast("long"))
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))
+    many = queued.where(F.col("copies") > COPIES).withColumn("part", F.explode(parts)).repartition("order", "size", "part")
+    first = F.col("part") * COPIES
+    later = F.explode(F.sequence(first, F.least(first + COPIES, F.col("copies")) - 1))
+    each = few.unionByName(many).withColumn("later", later)
+    return each.withColumn("upto", F.col("upto") - F.col("later") * F.col("size")).drop("copies", "part", "later")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats: int = 3, seed: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, keys, size, source_size, target, taken) for each row of ``docs`` (doc_id, source, text, keys); taken counts repeats.
 
@@ -69,9 +81,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats:
 
     # The source's words up to and with each document, in shuffled order.
     words = named.where("size > 0").withColumn("range", F.shiftright("order", HASH_BITS - bits))
+    like = words.groupBy(*words.columns).agg(F.count("*").alias("copies"))
     own = Window.partitionBy("rank", "range").orderBy("order", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, 0)
-    queued = words.join(_before(words, ["rank"], "range"), ["rank", "range"]).withColumn("upto", F.col("base") + F.sum("size").over(own)).drop("base")
-    queued = staged(queued, "queued")  # read four times below; it holds no texts
+    upto = F.col("base") + F.sum(F.col("size") * F.col("copies")).over(own)
+    queued = like.join(_before(words, ["rank"], "range"), ["rank", "range"]).withColumn("upto", upto).drop("base")
+    queued = _each(staged(queued, "queued"))  # read often below; it holds no texts
 
     # Each pass that starts before the budget's virtual time (1) is one more document in the queue.
     started = F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: (k * F.col("source_size") + F.col("upto") - F.col("size")) < F.col("target"))

@@ -71,6 +71,30 @@ def test_mix_of_odd_rows(spark):
     assert all(r["taken"] == 0 for r in mixing.mix(documents(spark, ODD[:3])).collect())
 
 
+def test_mix_of_like_rows(spark, monkeypatch):
+    """Rows without an id, and one id on a third of the rows, against a plain queue; the copies of a row dealt to one task or to many."""
+    rows = [(None, "w " * (1 + k % 3), "a") for k in range(400)] + [(7, "one two", s) for s in "ab" for _ in range(150)] + [(k, "w " * (k % 7), "b") for k in range(10, 300)]
+    docs = documents(spark, rows, extra=False)
+    got = Counter(map(tuple, mixing.mix(docs).select("doc_id", "source", "size", "taken").collect()))
+    order = lambda k: int(hashlib.md5(f"{'' if k is None else k}|1".encode()).hexdigest()[:13], 16)
+    targets = {r["source"]: (r["source_size"], r["target"]) for r in mixing.source_targets(spark.createDataFrame([(s, len(t.split())) for _, t, s in rows], "source string, size long")).collect()}
+    queue, want, left = [], Counter(), sum(len(t.split()) for _, t, _ in rows)
+    for rank, source in enumerate(sorted(targets)):
+        total, target = targets[source]
+        upto = 0
+        for n, (k, t) in enumerate(sorted(((k, t) for k, t, s in rows if s == source), key=lambda x: (order(x[0]), len(x[1].split())))):
+            size = len(t.split())
+            upto += size
+            queue += [((p * total + upto) / target, rank, p, upto, (k, source, size, n)) for p in range(3) if size]
+            want[k, source, size, n] += 0
+    for *_, doc in sorted(queue, key=lambda x: x[:4]):
+        want[doc] += min(doc[2], left)
+        left -= min(doc[2], left)
+    assert got == Counter((k, s, size, taken) for (k, s, size, _), taken in want.items()) and left == 0
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    assert Counter(map(tuple, mixing.mix(docs).select("doc_id", "source", "size", "taken").collect())) == got
+
+
 # SimHash.
 def plain_fingerprint(text):
     w = (text or "").encode().lower().split()
