@@ -13,12 +13,16 @@ of the template so far, becomes part of the template; one spread over several sl
 elements, and fixed text between them. The main slot is an ``article`` or ``main`` element of the template, else the
 smallest container of the template that holds all text that the template doesn't fix. Fixed text outside the main slot is
 boilerplate, whatever its elements are called; in the main slot nothing is, so text that repeats over pages stays there.
-Where no container below the body holds all varying text, the main slot is what the template leaves open between its fixed texts.
-Hosts with fewer than ``LEAST_PAGES`` pages, and hosts where less than half of the text varies (copies of one page,
-say), tell nothing about fixed text; then none is dropped.
+Containers beside it that vary, too, but hold less than a ``THIN``th of the varying text that the largest holds, and no
+``h1``, are thin slots (adverts, links, footers by any name): these are dropped, and don't count when the main slot is looked for.
+A page without text in the main slot keeps them. Where no container below the body holds the other varying
+text, the main slot is what the template leaves open between its fixed texts.
+Hosts with fewer than ``FEW_PAGES`` pages are taken together by domain, and have its template. Fewer than ``LEAST_PAGES`` pages,
+and pages of which less than half of the text varies (copies of one page, say), tell nothing about fixed text or thin slots;
+then none is dropped.
 
 From each page the text of its ``article`` and ``main`` elements is taken, or, without any, all but the template's fixed
-text outside the main slot. What stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+text outside the main slot and its thin slots. What stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or reader comments goes, by elements, roles and words of classes and ids (``_marked``). In an article such
 words count only where the whole name is made of them and, for words of navigation, most of the text is links:
 ``related-work`` or ``social-science`` stay. Nothing else is dropped.
@@ -43,9 +47,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
+from .language import address_parts
 from .markup import scan
 
-LEAST_TOKENS, LEAST_PAGES = 2, 3
+LEAST_TOKENS, LEAST_PAGES, FEW_PAGES, THIN = 2, 3, 5, 12
 #: Hosts whose numbers of pages are broadcast, at most.
 BROADCAST_HOSTS = 200_000
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -233,20 +238,24 @@ class Page:
                 add(self.token[k], self.token[self.parent[k]], self.name[k], place, self.chars[k])
         return found
 
-    def text(self, slot: int, fixed: frozenset[int]) -> str:
-        """Main text: that of the page's articles, else all but ``fixed`` text outside the element ``slot``."""
+    def text(self, slot: int, fixed: frozenset[int], thin: frozenset[int] = frozenset()) -> str:
+        """Main text: that of the page's articles, else all but the elements ``thin`` and ``fixed`` text outside the element ``slot``."""
         n = len(self.name)
+        beside = [False] * n
         tops = [self.main[k] and not self.out[k] for k in range(n)]
         named = any(tops)
         if not named:
             tops = [slot != 0 and self.element[k] and self.token[k] == slot for k in range(n)]
+            if any(top and self.chars[k] for k, top in enumerate(tops)):
+                beside = [self.element[k] and self.token[k] in thin for k in range(n)]
         for k in range(1, n):
             tops[k] = tops[k] or tops[self.parent[k]]
+            beside[k] = beside[k] or beside[self.parent[k]]
         parts = []
         for node, text, _, space, _ in self.blocks:
             if space:
                 parts.append(" ")
-            if not self.out[node] and (tops[node] or not named and (not fixed or self.block_token(node, text) not in fixed)):
+            if not self.out[node] and not beside[node] and (tops[node] or not named and (not fixed or self.block_token(node, text) not in fixed)):
                 parts.append(text)
         return " ".join(unescape("".join(parts)).split())
 
@@ -259,10 +268,20 @@ def _host(url):
 _PRIME = (1 << 61) - 1
 
 
+def _added_up(tokens: DataFrame) -> DataFrame:
+    """``occurrences`` of one host and token added up."""
+    total = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.lit(_PRIME).cast("decimal(38,0)")).cast("long")
+    sums = tokens.groupBy("host", "token").agg(
+        F.min("parent").alias("parent"), F.min("name").alias("name"), total.alias("vector"), F.sum("pages").alias("pages"), F.max("most").alias("most"), F.sum("chars").alias("chars"),
+        F.min(F.struct("low_key", "low")).alias("first"), F.max(F.struct("high_key", "high")).alias("last"), F.sum("places").alias("places"),
+    )
+    return sums.select("host", "token", "parent", "name", "vector", "pages", "most", "chars", "first.*", "last.*", "places")
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, parent, name, vector, pages, most, chars, low, high, places) for each token of each host.
+    """(host, token, parent, name, vector, pages, most, chars, low_key, low, high_key, high, places) for each token of each host.
 
-    low and high: the token's place in the page of the smallest and of the largest hash that has it; places: the sum of
+    low and high: the token's place in the page of the smallest and of the largest hash (low_key, high_key) that has it; places: the sum of
     its places. Each batch is summed up before it is shuffled.
     """
 
@@ -288,11 +307,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
     keyed = pages.select(_host(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(_PRIME)).alias("key"), F.col("html").cast("string"))
     part = keyed.mapInPandas(count, "host string, token long, parent long, name string, vector long, pages long, most long, chars long, low_key long, low long, high_key long, high long, places long")
-    total = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.lit(_PRIME).cast("decimal(38,0)")).cast("long")
-    return part.groupBy("host", "token").agg(
-        F.min("parent").alias("parent"), F.min("name").alias("name"), total.alias("vector"), F.sum("pages").alias("pages"), F.max("most").alias("most"), F.sum("chars").alias("chars"),
-        F.min(F.struct("low_key", "low"))["low"].alias("low"), F.max(F.struct("high_key", "high"))["high"].alias("high"), F.sum("places").alias("places"),
-    )
+    return _added_up(part)
 
 
 def _in_order(cls: pd.DataFrame) -> bool:
@@ -300,8 +315,8 @@ def _in_order(cls: pd.DataFrame) -> bool:
     return bool((np.diff(by_low["high"]) > 0).all() and (np.diff(by_low["places"]) > 0).all())
 
 
-def _template(pdf: pd.DataFrame) -> tuple[int, str, list[int]]:
-    """(slot, 0 for the page as a whole; its path of names; fixed text outside it) from a host's frequent tokens; a host's template has at most 1 / support times the tokens of an average page."""
+def _template(pdf: pd.DataFrame) -> tuple[int, str, list[int], list[int]]:
+    """(slot, 0 for the page as a whole; its path of names; fixed text outside it; thin slots beside it) from a host's frequent tokens; a host's template has at most 1 / support times the tokens of an average page."""
     parent, name, chars = (dict(zip(pdf["token"], pdf[c], strict=True)) for c in ("parent", "name", "chars"))
     in_template, fixed = {0}, set()
 
@@ -332,18 +347,28 @@ def _template(pdf: pd.DataFrame) -> tuple[int, str, list[int]]:
     for t in reversed(downwards[1:]):
         fixed_chars[parent.get(t, 0)] += fixed_chars[t]
     varying = {t: chars[t] - fixed_chars[t] for t in in_template}
-    if pdf["pages"].max() < LEAST_PAGES or 2 * varying[0] < chars[0]:
+    told = pdf["pages"].max() >= LEAST_PAGES and 2 * varying[0] >= chars[0]
+    if not told:
         varying, fixed = chars, set()
     named = [t for t in in_template if name[t] in MAIN]
     slot = max(named, key=lambda t: (varying[t], t)) if named else 0
     below: dict[int, list[int]] = {}
     for t in in_template - {0}:
         below.setdefault(above(t, set()), []).append(t)
+    titled: set[int] = set()
+    for t in (t for t in parent if name[t] == "h1"):
+        while t and t not in titled:
+            titled.add(t)
+            t = parent.get(t, 0)
+    thin: set[int] = set()
     while not named:
-        whole = [t for t in below.get(slot, ()) if name[t] in HOLDERS and 0 < varying[t] == varying[slot]]
-        if not whole:
+        holders = [t for t in below.get(slot, ()) if name[t] in HOLDERS]
+        largest = max(holders, key=lambda t: (varying[t], t), default=0)
+        beside = {t for t in holders if told and t not in titled and THIN * varying[t] < varying[largest]}
+        if not largest or not 0 < varying[largest] == varying[slot] - sum(varying[t] for t in beside):
             break
-        slot = max(whole)
+        slot = largest
+        thin |= beside
     path, t = [], slot
     while t:
         path.append(name[t])
@@ -353,21 +378,30 @@ def _template(pdf: pd.DataFrame) -> tuple[int, str, list[int]]:
     for t in downwards[1:]:
         if t == slot or parent.get(t, 0) in inside:
             inside.add(t)
-    return slot, "/".join(reversed(path)), sorted(fixed - inside)
+    return slot, "/".join(reversed(path)), sorted(fixed - inside), sorted(thin)
 
 
 def deduce(tokens: DataFrame, support: float = 0.5) -> DataFrame:
-    """(host, slot, path, fixed) from ``occurrences``: each host's main slot and the fixed text outside it."""
+    """(host, slot, path, fixed, thin) from ``occurrences``: each host's main slot, the fixed text outside it and the thin slots beside it."""
     total = tokens.where("token = 0").select("host", F.col("pages").alias("host_pages"))
     # By broadcast, unless there are very many hosts, so that a host's rare tokens are not brought together.
-    total = F.broadcast(total) if total.count() <= BROADCAST_HOSTS else total
-    frequent = tokens.join(total, "host").where(F.col("pages") >= support * F.col("host_pages")).drop("host_pages")
+    small = total.count() <= BROADCAST_HOSTS
+    near = lambda df: F.broadcast(df) if small else df
+    known = tokens.join(near(total), "host")
+    domain = address_parts(F.concat(F.lit("http://"), F.col("host")))[1]
+    few = total.where(F.col("host_pages") < FEW_PAGES).select("host", F.concat(F.lit("/"), domain).alias("domain"))
+    together = _added_up(tokens.join(near(few), "host").drop("host").withColumnRenamed("domain", "host"))
+    whole = together.where("token = 0").select("host", F.col("pages").alias("host_pages"))
+    known = known.where(F.col("host_pages") >= FEW_PAGES).unionByName(together.join(near(whole), "host"))
+    frequent = known.where(F.col("pages") >= support * F.col("host_pages")).drop("host_pages")
 
     def nest(pdf: pd.DataFrame) -> pd.DataFrame:
-        slot, path, fixed = _template(pdf)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "slot": [slot], "path": [path], "fixed": [fixed]})
+        slot, path, fixed, thin = _template(pdf)
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "slot": [slot], "path": [path], "fixed": [fixed], "thin": [thin]})
 
-    return frequent.groupBy("host").applyInPandas(nest, "host string, slot long, path string, fixed array<long>")
+    found = staged(frequent.groupBy("host").applyInPandas(nest, "host string, slot long, path string, fixed array<long>, thin array<long>"), "deduced")
+    own = found.where(~F.col("host").startswith("/"))
+    return own.unionByName(few.join(found.withColumnRenamed("host", "domain"), "domain").drop("domain"))
 
 
 def templates(pages: DataFrame, support: float = 0.5) -> DataFrame:
@@ -379,16 +413,17 @@ def extract(pages: DataFrame, support: float = 0.5, broadcast_tokens: int = 200_
     """``pages`` (page_id, url, html) as (page_id, url, text, n_chars).
 
     ``deduced``: templates from ``deduce``, if they are there already. Templates are joined by host, by broadcast if they are at
-    most ``broadcast_tokens`` hosts and fixed texts.
+    most ``broadcast_tokens`` hosts, fixed texts and thin slots.
     """
     found = staged(deduce(staged(occurrences(pages), "tokens"), support), "templates") if deduced is None else deduced
-    size = found.agg(F.coalesce(F.sum(F.size("fixed") + 1), F.lit(0))).first()[0]
+    size = found.agg(F.coalesce(F.sum(F.size("fixed") + F.size("thin") + 1), F.lit(0))).first()[0]
     found = F.broadcast(found) if size <= broadcast_tokens else found
 
     @F.pandas_udf("string")
-    def text(html: pd.Series, slot: pd.Series, fixed: pd.Series) -> pd.Series:
-        return pd.Series([Page(h or "").text(int(s), frozenset() if f is None else frozenset(f)) for h, s, f in zip(html, slot, fixed, strict=True)], dtype=object)
+    def text(html: pd.Series, slot: pd.Series, fixed: pd.Series, thin: pd.Series) -> pd.Series:
+        known = lambda tokens: frozenset() if tokens is None else frozenset(tokens)
+        return pd.Series([Page(h or "").text(int(s), known(f), known(t)) for h, s, f, t in zip(html, slot, fixed, thin, strict=True)], dtype=object)
 
-    joined = pages.select("page_id", "url", F.col("html").cast("string"), _host(F.col("url")).alias("host")).join(found.select("host", "slot", "fixed"), "host", "left")
-    done = joined.select("page_id", "url", text("html", F.coalesce("slot", F.lit(0).cast("long")), "fixed").alias("text"))
+    joined = pages.select("page_id", "url", F.col("html").cast("string"), _host(F.col("url")).alias("host")).join(found.select("host", "slot", "fixed", "thin"), "host", "left")
+    done = joined.select("page_id", "url", text("html", F.coalesce("slot", F.lit(0).cast("long")), "fixed", "thin").alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))

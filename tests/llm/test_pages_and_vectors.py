@@ -115,6 +115,47 @@ def test_classes_must_nest(spark):
     assert got == {k: f"Own {k} {'word ' * 9}{k}" + (" Two of us Here too" if k % 3 else "") for k in range(9)}
 
 
+def neutral(page):
+    """The page without names that tell what an element is for."""
+    names = "nav header footer aside form button section main article".split()
+    page = re.sub(rf"<(/?)({'|'.join(names)})\b", lambda m: f"<{m[1]}div" + ("" if m[1] else f" class=q{'abcdefghi'[names.index(m[2])]}x"), page)
+    return re.sub(r'class="ad"', 'class="zk"', page)
+
+
+def test_the_template_finds_the_text_without_names(spark, sf_dir):
+    """Neutral names: the given pages' articles come from the template alone, on hosts that have enough pages."""
+    pages = [r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect() if r["html"] and r["url"]]
+    host = lambda r: r["url"].split("/")[2]
+    n = Counter(map(host, pages))
+    df = spark.createDataFrame([(r["page_id"], r["url"], neutral(r["html"])) for r in pages], "page_id long, url string, html string")
+    want = {r["page_id"]: html.Page(r["html"]).text(0, frozenset()) for r in pages if n[host(r)] >= html.LEAST_PAGES}
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    tokens = html.occurrences(df)
+    off = {r["page_id"]: r["text"] for r in html.extract(df, deduced=html.deduce(tokens.withColumn("vector", F.col("token")))).collect()}
+    assert sum(got[k] == t for k, t in want.items()) >= 0.95 * len(want) > 0
+    assert not any(off[k] == t for k, t in want.items())
+
+
+def test_thin_slots(spark):
+    box = lambda name, text: f'<div class="{name}">{text}</div>'
+    page = lambda k, *more, words=90: "<html><body>" + box("ka", f"<p>Buy {k}</p>") + box("kb", f"<p>{f'w{k} ' * words}</p><div class=ke>By {k}</div>") + "".join(more) + "</body></html>"
+    text = lambda rows: {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    body = lambda k, words=90: f"{f'w{k} ' * words}By {k}"
+    got = text(
+        [(k, f"http://thin.example/{k}", page(k)) for k in range(6)]  # the box before the text goes, the line within it stays
+        + [(10, "http://thin.example/10", "<html><body>" + box("ka", "<p>A page that has its text here</p>") + "</body></html>")]  # most of this page
+        + [(20 + k, f"http://title.example/{k}", page(k, box("kc", f"<h1>Title {k}</h1>"))) for k in range(6)]  # a title is no thin slot
+        + [(30 + k, f"http://half.example/{k}", page(k, box("kd", f"<p>{f'v{k} ' * 30}</p>"))) for k in range(6)]  # nor is a third of the text
+        + [(40 + k, f"http://two.example/{k}", page(k)) for k in range(2)]  # two pages tell nothing
+        + [(50 + k, f"http://h{k}.many.example/{k}", page(k)) for k in range(6)]  # unless their domain has more such hosts
+    )
+    assert got == (
+        {k: body(k) for k in range(6)} | {10: "A page that has its text here"} | {20 + k: f"Buy {k} {body(k)} Title {k}" for k in range(6)}
+        | {30 + k: f"Buy {k} {body(k)} {f'v{k} ' * 30}".strip() for k in range(6)} | {40 + k: f"Buy {k} {body(k)}" for k in range(2)}
+        | {50 + k: body(k) for k in range(6)}
+    )
+
+
 def plain_fixed(pages, support=0.5):
     """Fixed texts of a host's template, with whole occurrence vectors and every page's order: (parents, tokens)."""
     found = [html.Page(p).tokens() for p in pages]
