@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+#: Characters of the texts that one task counts about; its tables of terms stay below some hundred MB.
+TASK_CHARS = 1 << 23
+#: Words whose n-grams are counted at a time.
+PIECE_WORDS = 1 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -15,12 +25,14 @@ def tokens(text: Column) -> Column:
 
 def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     """Space-joined n-grams of ``low`` to ``high`` words, shorter ones first. ``words`` should be a column, not an expression, which would be computed anew for each n-gram."""
-
-    def of(n: int) -> Column:
-        joined = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, words if n == 1 else joined).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    found, grams = [], words
+    for n in range(1, high + 1):
+        if n > 1:  # each shorter one, but the last, and the word after it
+            rest = F.greatest(F.size(words) - (n - 1), F.lit(0))
+            grams = F.zip_with(F.slice(grams, 1, rest), F.slice(words, n, rest), lambda gram, word: F.concat(gram, F.lit(" "), word))
+        if n >= low:
+            found.append(grams)
+    return F.concat(*found)
 
 
 def with_terms(df: DataFrame, text_col: str, low: int = 1, high: int = 2) -> DataFrame:
@@ -28,16 +40,107 @@ def with_terms(df: DataFrame, text_col: str, low: int = 1, high: int = 2) -> Dat
     return df.withColumn("_words", tokens(F.col(text_col))).withColumn("terms", ngrams(F.col("_words"), low, high)).drop("_words")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Ids and words of consecutive rows, about ``PIECE_WORDS`` words at a time, or one row of more."""
+    for batch in batches:
+        ids, words = batch.columns
+        upto, at = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < len(ids):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PIECE_WORDS, "right")))
+            yield ids.slice(at, end - at), words.slice(at, end - at)
+            at = end
+
+
+def _grams(words: pa.ListArray, low: int, high: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """For each n the different n-grams, and (row, place of the n-gram among them) with the times it stands in the row."""
+    row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+    coded = words.flatten().dictionary_encode()
+    word, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    gram, grams = word, names
+    for n in range(1, high + 1):
+        if n > 1:
+            inside = row[n - 1 :] == row[: len(row) - n + 1]
+            last = word[n - 1 :]
+            pairs = pa.array((gram[: len(last)] * len(names) + last)[inside]).dictionary_encode()
+            known = pairs.dictionary.to_numpy(zero_copy_only=False)
+            grams = pc.binary_join_element_wise(grams.take(pa.array(known // max(1, len(names)))), names.take(pa.array(known % max(1, len(names)))), " ")
+            gram = np.zeros(len(last), np.int64)  # where a row ends, no longer n-gram starts either
+            gram[inside] = pairs.indices.to_numpy(zero_copy_only=False)
+            there, code = row[: len(last)][inside], gram[inside]
+        else:
+            there, code = row, gram
+        if n >= low and len(code):
+            key, times = np.unique(there * len(grams) + code, return_counts=True)
+            yield grams, key, times
+
+
+def _counted(df: DataFrame, id_col: str, text_col: str, low: int, high: int) -> DataFrame:
+    """(id, term, tf) of each row by itself; nothing is shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, words in _pieces(batches):
+            for grams, key, times in _grams(words, low, high):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(key // len(grams))), grams.take(pa.array(key % len(grams))), pa.array(times)], names=[id_col, "term", "tf"])
+
+    words = df.select(id_col, tokens(F.col(text_col)).alias("_words"))
+    return words.mapInArrow(count, T.StructType([words.schema[id_col], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
+
+
+def _totals(df: DataFrame, id_col: str, text_col: str, low: int, high: int) -> DataFrame:
+    """(term, df, tf) added up over some rows at a time, before any term leaves its task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words in _pieces(batches):
+            for grams, key, times in _grams(words, low, high):
+                at = key % len(grams)
+                sums = [np.bincount(at, minlength=len(grams)), np.bincount(at, times, len(grams)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([grams, *map(pa.array, sums)], names=["term", "df", "tf"])
+
+    words = df.select(id_col, tokens(F.col(text_col)).alias("_words"))
+    return words.mapInArrow(count, "term string, df long, tf long")
+
+
+def _dealt(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose id no other row has, dealt out by it with about ``TASK_CHARS`` characters to a task; and the other rows, if there are any."""
+    rows = df.select(id_col, text_col)
+    per = rows.groupBy(id_col).agg(F.count("*").alias("_rows"), F.sum(F.length(text_col)).alias("_chars"))
+    most, chars = per.agg(F.max("_rows"), F.sum("_chars")).first()
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-(chars or 0) // TASK_CHARS))
+    if (most or 0) < 2:
+        return rows.repartition(n, id_col), None
+    often = per.where("_rows > 1").select(F.col(id_col).alias("_often"))
+    same = F.col(id_col).eqNullSafe(F.col("_often"))
+    return rows.join(often, same, "left_anti").repartition(n, id_col), rows.join(often, same, "left_semi").repartition(n)
+
+
 def term_counts(df: DataFrame, id_col: str, text_col: str, low: int = 1, high: int = 2) -> DataFrame:
-    """(id, term, tf) counted within each id's text. Texts, not terms, are dealt out by id, and what groups by it again needs no further shuffle."""
-    words = df.select(id_col, text_col).repartition(id_col).select(id_col, tokens(F.col(text_col)).alias("words"))
-    return words.select(id_col, F.explode(ngrams(F.col("words"), low, high)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf) counted within each id's text.
+
+    Texts, not terms, are dealt out by id, and what groups by it again needs no further shuffle. Only the terms of ids that several rows have are shuffled and added up.
+    """
+    once, again = _dealt(df, id_col, text_col)
+    counts = _counted(once, id_col, text_col, low, high)
+    return counts if again is None else counts.unionByName(_counted(again, id_col, text_col, low, high).groupBy(id_col, "term").agg(F.sum("tf").alias("tf")))
+
+
+def term_totals(df: DataFrame, id_col: str, text_col: str, low: int = 1, high: int = 2) -> DataFrame:
+    """(term, df, tf): ids whose texts have a term, and how often it stands there; the sums of ``term_counts``, without a row for each id and term."""
+    once, again = _dealt(df, id_col, text_col)
+    parts = _totals(once, id_col, text_col, low, high)
+    if again is not None:
+        counts = _counted(again, id_col, text_col, low, high).groupBy(id_col, "term").agg(F.sum("tf").alias("tf"))
+        parts = parts.unionByName(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")))
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, min_df: int = 2, max_features: int = 30000) -> DataFrame:
     """(term, df, tf, idx): the ``max_features`` most frequent terms that at least ``min_df`` rows have; ties go by term, idx is its place by term."""
-    per = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= min_df)
-    top = per.orderBy(F.desc("tf"), "term").limit(max_features)
+    return vocabulary_of_totals(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), min_df, max_features)
+
+
+def vocabulary_of_totals(totals: DataFrame, min_df: int = 2, max_features: int = 30000) -> DataFrame:
+    """``vocabulary`` from (term, df, tf)."""
+    top = totals.where(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(max_features)
     return top.select("term", "df", "tf", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"))  # over a bounded list
 
 

@@ -542,7 +542,7 @@ def ngram_counts(spark, d):
 
 @query("vocabulary", f"SELECT term, df, tf, CAST(idx AS INTEGER) AS idx FROM ({VOCABULARY})")
 def vocabulary(spark, d):
-    return tx.vocabulary(tx.term_counts(responses(spark, d), "response_id", "text"))
+    return tx.vocabulary_of_totals(tx.term_totals(responses(spark, d), "response_id", "text"))
 
 
 @query("vocabulary_of_candidates", f"SELECT term, df, tf, CAST(idx AS INTEGER) AS idx FROM ({VOCABULARY})")
@@ -557,8 +557,8 @@ def vocabulary_of_candidates(spark, d):
 )
 def tfidf(spark, d):
     rows = responses(spark, d)
-    counts = tx.term_counts(rows, "response_id", "text")
-    return rounded(tx.tfidf(counts, tx.vocabulary(counts), rows.count(), "response_id"), "value")
+    vocab = tx.vocabulary_of_totals(tx.term_totals(rows, "response_id", "text"))
+    return rounded(tx.tfidf(tx.term_counts(rows, "response_id", "text"), vocab, rows.count(), "response_id"), "value")
 
 
 @query("class_weights", f"SELECT label, n, round(total / (classes * n), 6) AS weight FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total, count(*) OVER () AS classes FROM ({RESP}) WHERE label IS NOT NULL GROUP BY label)")

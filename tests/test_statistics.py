@@ -297,3 +297,26 @@ def test_out_of_fold_scores_see_no_row_of_their_cluster(spark, monkeypatch):
     for k, anchors in zip(sorted({r["fold"] for r in got.values()}), seen, strict=True):
         assert not anchors & {a for a, f in fold.items() if k in f}
     assert all((r["probability"] > 0.5) == (r["label"] == 1) and 0 <= r["calibrated"] <= 1 for r in got.values())
+
+
+def test_terms_are_counted_without_a_table_of_them(spark, monkeypatch):
+    """Texts with ids of their own need no aggregation by (id, term); repeated and null ids are added up, and a piece may be smaller than a text."""
+    from collections import Counter
+
+    monkeypatch.setattr(text, "PIECE_WORDS", 7)
+    rows = [(1, "a1 b2 a1 b2 a1"), (2, None), (3, ""), (4, "Äß x_ x_ äß"), (5, " ".join(f"w{k % 9}" for k in range(60))), (6, "one"), (7, "one two")]
+    more = [(5, "w1 w2 w3"), (None, "one two two"), (None, "one")]
+    for some_rows in (rows, rows + more):
+        df = spark.createDataFrame(some_rows, "response_id long, text string")
+        for low, high in ((1, 2), (2, 3), (1, 1)):
+            want = Counter()
+            for i, t in some_rows:
+                w = [x for x in (t or "").lower().split() if len(x) > 1]
+                want.update((i, " ".join(w[k : k + n])) for n in range(low, high + 1) for k in range(len(w) - n + 1))
+            found = text.term_counts(df, "response_id", "text", low, high)
+            got = [((r[0], r[1]), r[2]) for r in found.collect()]
+            assert len(got) == len(want) and dict(got) == dict(want)
+            totals = {r["term"]: (r["df"], r["tf"]) for r in text.term_totals(df, "response_id", "text", low, high).collect()}
+            assert totals == {t: (sum(1 for _, x in want if x == t), sum(v for (_, x), v in want.items() if x == t)) for t in {x for _, x in want}}
+            if some_rows is rows:
+                assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
