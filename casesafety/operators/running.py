@@ -20,6 +20,12 @@ def state_of(scores: DataFrame) -> DataFrame:
     )
 
 
+def kept(state: DataFrame, path: str) -> DataFrame:
+    """``state`` written to ``path`` and read back, so that what merges it doesn't read the scores again."""
+    state.write.parquet(path)
+    return state.sparkSession.read.schema(state.schema).parquet(path)
+
+
 def merged(*states: DataFrame) -> DataFrame:
     """One state of several, in any order. Squares are merged about the common mean, so that a large mean costs no digits."""
     every = states[0]

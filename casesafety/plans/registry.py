@@ -658,9 +658,9 @@ def run_agreement(spark, d):
 )
 def running_report(spark, d):
     """Three states merged; the sketches are held to their bounds: 3 % of the number of cases, 2 % of the ranks."""
-    every = scores(spark, d)
-    parts = [running.state_of(every.where(F.pmod(F.xxhash64("case_id"), F.lit(3)) == k)) for k in range(3)]
-    found = running.report(running.merged(running.merged(parts[2], parts[0]), parts[1]))
+    every = running.kept(scores(spark, d).select(*running.KEYS, "case_id", "cscs"), shared_folder(spark, "scored"))  # each score is computed once
+    parts = [running.kept(running.state_of(every.where(F.pmod(F.xxhash64("case_id"), F.lit(3)) == k)), shared_folder(spark, "state")) for k in range(3)]
+    found = running.kept(running.report(running.merged(running.merged(parts[2], parts[0]), parts[1])), shared_folder(spark, "report"))
     same = [F.col("e.model_id") == F.col("f.model_id"), F.col("e.evaluation_date") == F.col("f.evaluation_date")]
     exact = every.alias("e").join(F.broadcast(found.select("model_id", "evaluation_date", "median")).alias("f"), same).groupBy("e.model_id", "e.evaluation_date").agg(
         F.count_distinct("case_id").alias("cases"), F.avg((F.col("cscs") < F.col("median")).cast("double")).alias("below"), F.avg((F.col("cscs") <= F.col("median")).cast("double")).alias("upto")

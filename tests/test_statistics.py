@@ -320,3 +320,9 @@ def test_terms_are_counted_without_a_table_of_them(spark, monkeypatch):
             assert totals == {t: (sum(1 for _, x in want if x == t), sum(v for (_, x), v in want.items() if x == t)) for t in {x for _, x in want}}
             if some_rows is rows:
                 assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_report_scores_once(spark, sf_dir, monkeypatch):
+    """The plan of the report reads what was scored and merged, not the tables again for each state."""
+    plan = registry.QUERIES["running_report"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and plan.count("Relation") <= 3
