@@ -547,7 +547,7 @@ def vocabulary(spark, d):
 
 @query("vocabulary_of_candidates", f"SELECT term, df, tf, CAST(idx AS INTEGER) AS idx FROM ({VOCABULARY})")
 def vocabulary_of_candidates(spark, d):
-    return tx.vocabulary_of_candidates(tx.term_counts(responses(spark, d), "response_id", "text"), "response_id")
+    return tx.vocabulary_of_texts(responses(spark, d), "response_id", "text")
 
 
 @query(
