@@ -649,7 +649,7 @@ def _alpha(rows: str) -> str:
     FROM a JOIN o USING (model_id, dimension) JOIN w USING (model_id, dimension) JOIN z USING (model_id, dimension)""",
 )
 def run_agreement(spark, d):
-    return rounded(agreement.agreement(agreement.case_values(predictions(spark, d))), *agreement.METRICS)
+    return rounded(agreement.agreement_of_scores(predictions(spark, d)), *agreement.METRICS)
 
 
 @query(

@@ -348,3 +348,17 @@ def test_vocabulary_of_texts_counts_candidates_only(spark, monkeypatch):
 def test_registered_candidates_make_no_row_for_an_id_and_term(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(text, "term_counts", None)
     assert registry.QUERIES["vocabulary_of_candidates"](spark, sf_dir).count() > 0
+
+
+def test_agreement_shuffles_rows_and_not_values(spark, sf_dir, monkeypatch):
+    """The same from scores as from values, with repeated rows, nulls and NaN; what is written is a row for each shape, not for each case."""
+    rng = np.random.default_rng(12)
+    rows = [(m, f"c{c}" if c else None, f"A{c % 5}", *(float(x) if x < 3 else (None if x < 3.5 else math.nan) for x in rng.choice([-0.0, 0.0, 1, 2, 3, 3.7], 2))) for m in ("a", "b", None) for c in range(40) for _ in range(int(rng.integers(1, 6)))]
+    df = spark.createDataFrame(rows, "model_id string, case_id string, anchor_id string, red_flags double, disposition double")
+    columns = ("red_flags", "disposition")
+    near = lambda found: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in sorted(found.collect())]
+    assert near(agreement.agreement_of_scores(df, columns)) == near(agreement.agreement(agreement.case_values(df, columns)))
+    made, real = [], agreement.agreement_of_shapes
+    monkeypatch.setattr(agreement, "agreement_of_shapes", lambda shapes: made.append(shapes) or real(shapes))
+    plan = registry.QUERIES["run_agreement"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and made[0].count() <= 2 * 6 * 6
