@@ -25,15 +25,17 @@ from math import exp, factorial
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import shared_folder
+
 #: Clusters that are broadcast to the draws at most.
 BROADCAST_CLUSTERS = 1_000_000
-#: Clusters of a block about, when there are more; replicates whose counts are laid out at a time; clusters that are weighed at a time.
-BLOCK, REPLICATES, CHUNK = 1 << 16, 64, 128
+#: Clusters of a block about, when there are more (so few that their counts stay in the cache); replicates whose counts are laid out at a time;
+#: clusters that are weighed at a time; slots that are drawn at a time.
+BLOCK, REPLICATES, CHUNK, SLOTS = 1 << 15, 64, 128, 1 << 14
 #: Multipliers of a 32-bit mixing function and of the slots for either key; below 2^31 and 2^32, so that no product leaves 64 bits. Fixed values.
 MIX, SPREAD, MASK = (569420461, 1935289751), (2654435769, 2246822519), 4294967295
 #: A Poisson(1) weight is the number of these that a number of 32 bits reaches.
@@ -66,9 +68,12 @@ def mean_difference(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _mixed_array(x: np.ndarray) -> np.ndarray:
+    """``x`` (of 32 bits, whose products wrap as under ``MASK``) mixed in its place."""
     for shift, by in zip((16, 15), MIX, strict=True):
-        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(by)) & np.uint64(MASK)
-    return x ^ (x >> np.uint64(15))
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(by)
+    x ^= x >> np.uint32(15)
+    return x
 
 
 def _keys(text: Column) -> tuple[Column, Column]:
@@ -77,8 +82,21 @@ def _keys(text: Column) -> tuple[Column, Column]:
 
 
 def _number_array(keys: tuple, slots: np.ndarray) -> np.ndarray:
-    one, two = (_mixed_array(k ^ ((slots * np.uint64(by)) & np.uint64(MASK))) for k, by in zip(keys, SPREAD, strict=True))
-    return (one + two) & np.uint64(MASK)
+    """Numbers of 32 bits of two keys and the slots."""
+    one, two = (_mixed_array(np.asarray(k).astype(np.uint32) ^ (slots.astype(np.uint32) * np.uint32(by))) for k, by in zip(keys, SPREAD, strict=True))
+    one += two
+    return one
+
+
+def _drawn_numbers(keys: tuple, size: int, out: np.ndarray) -> np.ndarray:
+    """The clusters that a replicate draws, some slots at a time, so that what is worked on stays in the cache."""
+    for at in range(0, size, SLOTS):
+        end = min(size, at + SLOTS)
+        drawn = _number_array(keys, np.arange(at, end, dtype=np.uint32)).astype(np.uint64)
+        drawn *= np.uint64(size)
+        drawn >>= np.uint64(32)
+        out[at:end] = drawn
+    return out[:size]
 
 
 @dataclass(frozen=True)
@@ -102,20 +120,20 @@ class Clusters:
         return len(self.local) if self.local is not None else self.stats.count()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that it is computed once, in parallel."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def gathered(stats: DataFrame, by: tuple[str, ...] = (), values: tuple[str, ...] = ("s", "n")) -> Clusters:
-    """Computes ``stats`` (by, cluster, values) once. More clusters than are broadcast are checkpointed, where a folder is set for that."""
-    stats = stats.select(*by, "cluster", *values)
+    """Computes ``stats`` (by, cluster, values) once and writes it. Not more clusters than are broadcast are read to the driver."""
+    once = written(stats.select(*by, "cluster", *values), "clusters")
     spark = stats.sparkSession
-    once = stats.persist(StorageLevel.DISK_ONLY)
-    rows = once.limit(BROADCAST_CLUSTERS + 1).toArrow()
-    if rows.num_rows <= BROADCAST_CLUSTERS:
-        once.unpersist()
-        return Clusters(spark, by, values, rows.sort_by([(c, "ascending") for c in (*by, "cluster")]).to_pandas(), stats)
-    if spark.sparkContext.getCheckpointDir() is None:
+    if once.count() > BROADCAST_CLUSTERS:
         return Clusters(spark, by, values, None, once)
-    kept = once.checkpoint()
-    once.unpersist()
-    return Clusters(spark, by, values, None, kept)
+    return Clusters(spark, by, values, once.toArrow().sort_by([(c, "ascending") for c in (*by, "cluster")]).to_pandas(), once)
 
 
 def _drawn_in_arrays(clusters: Clusters, n_boot: int, seed: int) -> DataFrame:
@@ -127,12 +145,14 @@ def _drawn_in_arrays(clusters: Clusters, n_boot: int, seed: int) -> DataFrame:
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, spans = kept.value
+        drawn, last, sums = np.empty(max(map(len, spans), default=0), np.int64), None, None
         for b in batches:
             out = np.empty((len(b), len(values)))
             for i, (group, one, two) in enumerate(zip(b["group"], b["one"], b["two"], strict=True)):
-                at = spans[group]
-                k = (_number_array((np.uint64(one), np.uint64(two)), np.arange(len(at), dtype=np.uint64)) * np.uint64(len(at)) >> np.uint64(32)).astype(np.int64)
-                out[i] = np.bincount(k, minlength=len(at)) @ table[at]
+                if group != last:  # a group's replicates stand together
+                    last, sums = group, np.ascontiguousarray(table[spans[group]].T)
+                size = sums.shape[1]
+                out[i] = sums @ np.bincount(_drawn_numbers((one, two), size, drawn), minlength=size).astype(np.float64)
             yield pd.DataFrame({"group": b["group"], "b": b["b"], **{v: out[:, j] for j, v in enumerate(values)}})
 
     key = _keys(F.concat(F.lit(f"{seed}|"), F.col("b").cast("string")))
@@ -146,8 +166,22 @@ def _drawn_in_arrays(clusters: Clusters, n_boot: int, seed: int) -> DataFrame:
 
 
 def _stream(seed: int, kind: int, at: int) -> np.random.Generator:
-    """Random numbers that belong to a node (kind 0), or to a block's clusters (kind 1)."""
-    return np.random.Generator(np.random.Philox(np.random.SeedSequence((seed, kind, at))))
+    """Random numbers that belong to a node (kind 0), or to a block's clusters (kind 1), of which there are many."""
+    bits = np.random.SFC64 if kind else np.random.Philox
+    return np.random.Generator(bits(np.random.SeedSequence((seed, kind, at))))
+
+
+def _drawn_among(stream: np.random.Generator, size: int, n: int) -> np.ndarray:
+    """``n`` of the numbers below ``size``, each as likely: the upper half of a number of 32 bits times ``size``; what falls below the remainder of 2^32 is drawn again."""
+    product = stream.bit_generator.random_raw((n + 1) // 2).view(np.uint32)[:n].astype(np.uint64)
+    product *= np.uint64(size)
+    found = product >> np.uint64(32)
+    product &= np.uint64(MASK)
+    again = (1 << 32) % size
+    if again and n and product.min() < again:
+        bad = np.flatnonzero(product < again)
+        found[bad] = stream.integers(size, size=len(bad))
+    return found.view(np.int64)
 
 
 def draws_of_block(sizes: np.ndarray, block: int, n_boot: int, seed: int) -> np.ndarray:
@@ -183,9 +217,12 @@ def _drawn_by_counts(clusters: Clusters, n_boot: int, seed: int) -> DataFrame:
             sizes[r["block"]] = r["here"]
         block, table = int(right["block"].iloc[0]), left[list(values)].to_numpy(np.float64)
         draws, stream, out = draws_of_block(sizes, block, n_boot, seed), _stream(seed, 1, block), np.empty((n_boot, len(values)))
+        counts = np.empty((min(n_boot, REPLICATES), len(table)))
         for k in range(0, n_boot, REPLICATES):
-            counts = np.stack([np.bincount(stream.integers(len(table), size=n), minlength=len(table)) for n in draws[k : k + REPLICATES]])
-            out[k : k + REPLICATES] = counts @ table
+            part = draws[k : k + REPLICATES]
+            for i, n in enumerate(part):
+                counts[i] = np.bincount(_drawn_among(stream, len(table), int(n)), minlength=len(table))
+            out[k : k + REPLICATES] = counts[: len(part)] @ table
         return pd.DataFrame({**{c: [left[c].iloc[0]] * n_boot for c in by}, "b": np.arange(n_boot, dtype=np.int32), **{v: out[:, j] for j, v in enumerate(values)}})
 
     keys = [*by, "block"]
@@ -255,7 +292,7 @@ def compare_models(scores: DataFrame, models: list[str] | None = None, on: tuple
     require_clusters(clusters)
     two = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     pair = F.explode(F.array(*[F.struct(F.lit(names[i]).alias("model_a"), F.lit(names[j]).alias("model_b"), ((F.col(f"m{i}") - F.col(f"m{j}")) / F.col("n")).alias("diff")) for i, j in two]))
-    drawn = replicates(clusters, n_boot, seed).select("b", pair.alias("p")).select("b", "p.*")
+    drawn = written(replicates(clusters, n_boot, seed), "replicates").select("b", pair.alias("p")).select("b", "p.*")  # read three times, drawn once
     keys = ("model_a", "model_b")
     spread = drawn.groupBy(*keys).agg(F.stddev_samp("diff").alias("se"), F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     whole = clusters.totals().select(pair.alias("p")).select("p.model_a", "p.model_b", F.col("p.diff").alias("mean_difference"))
@@ -280,7 +317,7 @@ def poisson_bootstrap(pairs: DataFrame, cluster: str = "anchor_id", n_boot: int
             for k in range(0, len(pdf), CHUNK):
                 part = pdf.iloc[k : k + CHUNK]
                 keys = (part["one"].to_numpy(np.uint64)[:, None], part["two"].to_numpy(np.uint64)[:, None])
-                u = _number_array(keys, slots[None, :]).astype(np.uint32)
+                u = _number_array(keys, slots[None, :])
                 w = np.zeros(u.shape, np.uint8)
                 for t in POISSON:
                     w += u >= np.uint32(min(t, MASK))
