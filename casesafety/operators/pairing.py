@@ -32,10 +32,10 @@ def unscored_cases(cases: DataFrame, preds: DataFrame) -> DataFrame:
     return open_.select(F.explode(rest).alias("model_id"), "case_id")
 
 
-def pair_models(scores: DataFrame, model_a: str, model_b: str, on: tuple[str, ...] = ("case_id", "run_id"), cluster: str = "anchor_id", value: str = "cscs") -> DataFrame:
-    """(on, cluster, score_a, score_b), one shuffle; an item that one model lacks has null there."""
+def pair_models(scores: DataFrame, model_a: str, model_b: str, on: tuple[str, ...] = ("case_id", "run_id"), cluster: str = "anchor_id", value: str = "cscs", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(on, cluster, score_a, score_b, carried), one shuffle; an item that one model lacks has null there. ``carried`` columns are facts of the item; of several values the last is taken."""
     of = lambda m: F.max(F.when(F.col("model_id") == m, F.col(value)))
-    return scores.where(F.col("model_id").isin(model_a, model_b)).groupBy(*on).agg(F.max(cluster).alias(cluster), of(model_a).alias("score_a"), of(model_b).alias("score_b"))
+    return scores.where(F.col("model_id").isin(model_a, model_b)).groupBy(*on).agg(F.max(cluster).alias(cluster), of(model_a).alias("score_a"), of(model_b).alias("score_b"), *[F.max(c).alias(c) for c in carried])
 
 
 def duplicate_predictions(preds: DataFrame) -> DataFrame:

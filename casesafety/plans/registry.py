@@ -483,8 +483,7 @@ _STATS_BY = f"SELECT domain, anchor_id AS cluster, sum(score_a - score_b) AS s,
     f"SELECT m.domain, round(mean_difference, 6) AS mean_difference, round(ci_2_5, 6) AS ci_2_5, round(ci_97_5, 6) AS ci_97_5 FROM (SELECT domain, sum(s) / sum(n) AS mean_difference FROM ({_STATS_BY}) GROUP BY domain) m JOIN (SELECT domain, quantile_cont(diff, 0.025) AS ci_2_5, quantile_cont(diff, 0.975) AS ci_97_5 FROM ({_draws(_STATS_BY, 'domain')}) GROUP BY domain) c ON m.domain = c.domain",
 )
 def bootstrap_by_group(spark, d):
-    s = scores(spark, d)
-    of = pairing.pair_models(s, "m0", "m1").join(s.select("case_id", "domain").distinct(), "case_id")
+    of = pairing.pair_models(scores(spark, d), "m0", "m1", carried=("domain",))
     return rounded(bootstrap.bootstrap_by_group(of, ("domain",), n_boot=N_BOOT), "mean_difference", "ci_2_5", "ci_97_5")
 
 
@@ -492,7 +491,7 @@ def bootstrap_by_group(spark, d):
 def bootstrap_counts(spark, d):
     """Draws of each replicate when cases, dealt to blocks, are the clusters: as many as there are cases."""
     stats = bootstrap.cluster_stats(pairs(spark, d), "case_id").withColumn("one", F.lit(1.0))
-    clusters = bootstrap.Clusters(spark, (), ("s", "n", "one"), None, stats)
+    clusters = bootstrap.Clusters(spark, (), ("s", "n", "one"), None, bootstrap.written(stats, "clusters"))
     return bootstrap.replicates(clusters, N_BOOT).select("b", F.col("one").cast("long").alias("drawn"))
 
 
