@@ -362,3 +362,22 @@ def test_agreement_shuffles_rows_and_not_values(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(agreement, "agreement_of_shapes", lambda shapes: made.append(shapes) or real(shapes))
     plan = registry.QUERIES["run_agreement"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "o_orderkey" not in plan and made[0].count() <= 2 * 6 * 6
+
+
+def test_draws_among_a_block_are_as_likely(monkeypatch):
+    """Numbers that can't be dealt out evenly are drawn again."""
+    for size in (1, 7, 3 << 29):
+        found = bootstrap._drawn_among(bootstrap._stream(1, 1, size), size, 30001)
+        assert len(found) == 30001 and found.min() >= 0 and found.max() < size
+        thirds = np.bincount(found * 7 // max(7, size), minlength=7)
+        assert size == 1 or ((thirds - 30001 / 7) ** 2 / (30001 / 7)).sum() < 30
+    assert len(bootstrap._drawn_among(bootstrap._stream(1, 1, 0), 5, 0)) == 0
+
+
+def test_replicates_are_drawn_once_and_clusters_summed_once(spark, sf_dir, monkeypatch):
+    """What is read several times was written: no plan goes back to the tables, and none draws again."""
+    for name in ("compare_models", "bootstrap_counts", "bootstrap_by_group"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "o_orderkey" not in plan and (name != "compare_models" or "MapInPandas" not in plan)
+    facts = spark.createDataFrame([("c1", m, "r", "A", v, "x") for m, v in (("m0", 1.0), ("m1", 2.0))], "case_id string, model_id string, run_id string, anchor_id string, cscs double, domain string")
+    assert [tuple(r) for r in pairing.pair_models(facts, "m0", "m1", carried=("domain",)).collect()] == [("c1", "r", "A", 1.0, 2.0, "x")]
