@@ -25,6 +25,7 @@ from math import exp, factorial
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,7 +122,9 @@ class Clusters:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that it is computed once, in parallel."""
+    """``df`` written to the shared folder and read back, so that it is computed once, in parallel. On a cluster without such a folder it is kept on the executors' disks."""
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and df.sparkSession.sparkContext.master.split("[")[0] != "local":
+        return df.persist(StorageLevel.DISK_ONLY)
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
