@@ -19,6 +19,8 @@ TASK_CHARS = 1 << 23
 PIECE_WORDS = 1 << 20
 #: Odd multiplier of an n-gram's hash before its next word's is added.
 SPREAD = 0x9E3779B97F4A7C15
+#: Rows of sums that a task adds up before they are shuffled.
+MERGE_ROWS = 1 << 21
 #: Hashed sums that are added up at a time.
 SLICE = 1 << 16
 
@@ -105,6 +107,25 @@ def _grams(words: pa.ListArray, low: int, high: int, keep: np.ndarray | None = N
             yield grams, key, times
 
 
+def _merged(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordBatch]:
+    """Sums of the other columns by ``keys`` over consecutive rows, about ``MERGE_ROWS`` at a time."""
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        names = some[0].schema.names
+        added = pa.Table.from_batches(some).group_by(list(keys), use_threads=False).aggregate([(x, "sum") for x in names if x not in keys])
+        yield from added.select([x if x in keys else f"{x}_sum" for x in names]).rename_columns(names).to_batches()
+
+    some, rows = [], 0
+    for batch in batches:
+        some.append(batch)
+        rows += batch.num_rows
+        if rows >= MERGE_ROWS:
+            yield from sums()
+            some, rows = [], 0
+    if some:
+        yield from sums()
+
+
 def _counted(df: DataFrame, id_col: str, text_col: str, low: int, high: int, kept: Callable[[], np.ndarray | None] = lambda: None) -> DataFrame:
     """(id, term, tf) of each row by itself; nothing is shuffled."""
 
@@ -133,20 +154,26 @@ def _totals(df: DataFrame, id_col: str, text_col: str, low: int, high: int, kept
                 yield pa.RecordBatch.from_arrays([grams, *map(pa.array, sums)], names=["term", "df", "tf"])
 
     words = df.select(id_col, tokens(F.col(text_col)).alias("_words"))
-    return words.mapInArrow(count, "term string, df long, tf long")
+    return words.mapInArrow(lambda batches: _merged(count(batches), "term"), "term string, df long, tf long")
 
 
-def _dealt(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """Rows whose id no other row has, dealt out by it with about ``TASK_CHARS`` characters to a task; and the other rows, if there are any."""
+def _summed(parts: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """Sums of the other columns of what ``_merged`` gives, by ``keys``, in ``tasks`` tasks. The session's number of shuffle partitions doesn't grow with the texts; this does, so
+    a task's table of sums stays as large as it is."""
+    return parts.repartition(tasks, *keys).groupBy(*keys).agg(*[F.sum(x).alias(x) for x in parts.columns if x not in keys])
+
+
+def _dealt(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows whose id no other row has, dealt out by it with about ``TASK_CHARS`` characters to a task; the other rows, if there are any; and the number of such tasks."""
     rows = df.select(id_col, text_col)
     per = rows.groupBy(id_col).agg(F.count("*").alias("_rows"), F.sum(F.length(text_col)).alias("_chars"))
     most, chars = per.agg(F.max("_rows"), F.sum("_chars")).first()
     n = max(df.sparkSession.sparkContext.defaultParallelism, -(-(chars or 0) // TASK_CHARS))
     if (most or 0) < 2:
-        return rows.repartition(n, id_col), None
+        return rows.repartition(n, id_col), None, n
     often = per.where("_rows > 1").select(F.col(id_col).alias("_often"))
     same = F.col(id_col).eqNullSafe(F.col("_often"))
-    return rows.join(often, same, "left_anti").repartition(n, id_col), rows.join(often, same, "left_semi").repartition(n)
+    return rows.join(often, same, "left_anti").repartition(n, id_col), rows.join(often, same, "left_semi").repartition(n), n
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, low: int = 1, high: int = 2) -> DataFrame:
@@ -154,9 +181,15 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, low: int = 1, high: i
 
     Texts, not terms, are dealt out by id, and what groups by it again needs no further shuffle. Only the terms of ids that several rows have are shuffled and added up.
     """
-    once, again = _dealt(df, id_col, text_col)
+    once, again, tasks = _dealt(df, id_col, text_col)
     counts = _counted(once, id_col, text_col, low, high)
-    return counts if again is None else counts.unionByName(_counted(again, id_col, text_col, low, high).groupBy(id_col, "term").agg(F.sum("tf").alias("tf")))
+    return counts if again is None else counts.unionByName(_counted_again(again, tasks, id_col, text_col, low, high))
+
+
+def _counted_again(again: DataFrame, tasks: int, id_col: str, text_col: str, low: int, high: int, kept: Callable[[], np.ndarray | None] = lambda: None) -> DataFrame:
+    """(id, term, tf) of rows whose ids others have, too."""
+    counts = _counted(again, id_col, text_col, low, high, kept)
+    return _summed(counts.mapInArrow(lambda batches: _merged(batches, id_col, "term"), counts.schema), tasks, id_col, "term")
 
 
 def term_totals(df: DataFrame, id_col: str, text_col: str, low: int = 1, high: int = 2) -> DataFrame:
@@ -164,12 +197,12 @@ def term_totals(df: DataFrame, id_col: str, text_col: str, low: int = 1, high: i
     return _added(*_dealt(df, id_col, text_col), id_col, text_col, low, high)
 
 
-def _added(once: DataFrame, again: DataFrame | None, id_col: str, text_col: str, low: int, high: int, kept: Callable[[], np.ndarray | None] = lambda: None) -> DataFrame:
+def _added(once: DataFrame, again: DataFrame | None, tasks: int, id_col: str, text_col: str, low: int, high: int, kept: Callable[[], np.ndarray | None] = lambda: None) -> DataFrame:
     parts = _totals(once, id_col, text_col, low, high, kept)
     if again is not None:
-        counts = _counted(again, id_col, text_col, low, high, kept).groupBy(id_col, "term").agg(F.sum("tf").alias("tf"))
-        parts = parts.unionByName(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")))
-    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+        counts = _counted_again(again, tasks, id_col, text_col, low, high, kept).select("term", F.lit(1).cast("long").alias("df"), "tf")
+        parts = parts.unionByName(counts.mapInArrow(lambda batches: _merged(batches, "term"), "term string, df long, tf long"))
+    return _summed(parts, tasks, "term")
 
 
 def _reached(df: DataFrame, text_col: str, low: int, high: int, bits: int, least: int) -> np.ndarray:
@@ -236,12 +269,13 @@ def vocabulary_of_texts(df: DataFrame, id_col: str, text_col: str, low: int = 1,
     """
     some = term_totals(df.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(share)) == 0), id_col, text_col, low, high).where(F.col("df") >= min_df)
     n, least = some.select("tf").orderBy(F.desc("tf")).limit(max_features).agg(F.count("*"), F.min("tf")).first()
-    once, again = _dealt(df, id_col, text_col)
+    once, again, tasks = _dealt(df, id_col, text_col)
     if n < max_features:
-        return vocabulary_of_totals(_added(once, again, id_col, text_col, low, high), min_df, max_features)
+        return vocabulary_of_totals(_added(once, again, tasks, id_col, text_col, low, high), min_df, max_features)
     reached = _reached(once if again is None else once.unionByName(again), text_col, low, high, bits, least)
     flags = df.sparkSession.sparkContext.broadcast(reached)
-    return vocabulary_of_totals(_added(once, again, id_col, text_col, low, high, lambda: np.unpackbits(flags.value).astype(bool)), min_df, max_features)
+    totals = _added(once, again, tasks, id_col, text_col, low, high, lambda: np.unpackbits(flags.value).astype(bool))
+    return vocabulary_of_totals(totals.where(F.col("tf") >= F.lit(least)), min_df, max_features)
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, n_rows: int, id_col: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import term_totals, vocabulary_of_totals, with_terms
+from ..functions.text import vocabulary_of_texts, with_terms
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -52,7 +52,7 @@ def fit_safety_classifier(df: DataFrame, text: str = "text", label: str = "label
     """Fits on the labelled rows. Only the vocabulary, of at most ``max_features`` terms, passes through the driver."""
     fit_guard(df, label)
     rows = df.where(F.col(label).isNotNull())
-    terms = [r["term"] for r in vocabulary_of_totals(term_totals(rows, id_col, text), min_df, max_features).orderBy("idx").select("term").collect()]
+    terms = [r["term"] for r in vocabulary_of_texts(rows, id_col, text, min_df=min_df, max_features=max_features).orderBy("idx").select("term").collect()]
     words = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="counts")
     # Counted once, for the document frequencies and the fit; the weighted rows are small, so few partitions do.
     counted = words.transform(with_terms(rows, text)).select(F.col(label).alias("label"), "counts").persist()

@@ -345,6 +345,33 @@ def test_vocabulary_of_texts_counts_candidates_only(spark, monkeypatch):
     assert made[-1].count() * 4 < text.term_totals(df, "response_id", "text").count()
 
 
+def test_sums_of_terms_are_dealt_by_size_of_the_texts(spark, monkeypatch):
+    """A task's table of terms stays small however few shuffle partitions the session has (four here), with repeated ids, too."""
+    monkeypatch.setattr(text, "TASK_CHARS", 2000)
+    monkeypatch.setattr(text, "MERGE_ROWS", 50, raising=False)
+    once = [(i, " ".join(f"t{i}x{k}" for k in range(60))) for i in range(100)]
+    for rows in (once, [(i // 2, t) for i, t in once]):
+        df = spark.createDataFrame(rows, "response_id long, text string")
+        totals = text.term_totals(df, "response_id", "text", 1, 1)
+        assert totals.count() == 6000
+        assert max(r["count"] for r in totals.groupBy(F.spark_partition_id()).count().collect()) < 600
+        counts = text.term_counts(df, "response_id", "text", 1, 1)
+        assert counts.count() == 6000
+        assert max(r["count"] for r in counts.groupBy(F.spark_partition_id()).count().collect()) < 1200
+
+
+def test_the_classifier_counts_candidates_only(spark, monkeypatch):
+    """Its words are those of the whole list; the last list is made of no more terms than can be on it."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) if x < 3000), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "response_id long, text string, label int")
+    want = [r["term"] for r in text.vocabulary(text.term_counts(df, "response_id", "text"), 2, 5).orderBy("idx").collect()]
+    listed, real = [], text.vocabulary_of_totals
+    monkeypatch.setattr(text, "vocabulary_of_totals", lambda totals, *a: listed.append(totals) or real(totals, *a))
+    assert classifier.fit_safety_classifier(df, max_features=5, max_iter=2).words.vocabulary == want
+    assert listed and listed[-1].count() * 4 < text.term_totals(df, "response_id", "text").count()
+
+
 def test_registered_candidates_make_no_row_for_an_id_and_term(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(text, "term_counts", None)
     assert registry.QUERIES["vocabulary_of_candidates"](spark, sf_dir).count() > 0
